@@ -42,7 +42,7 @@ def a13_median_center(spark: SparkSession, sf_dir: str) -> DataFrame:
 def a15_fold_change(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = quantify.median_center(_matrix(spark, sf_dir), "file")
     fc = quantify.fold_change(done, "feature", F.substring("file", 1, 1), "A", "N")
-    return fc.select("feature", F.round("log2_fc", 4).alias("log2_fc"), F.round("mean_abundance", 4).alias("mean_abundance"))
+    return fc.select("feature", (F.round("log2_fc", 4) + F.lit(0.0)).alias("log2_fc"), F.round("mean_abundance", 4).alias("mean_abundance"))
 
 
 QUERIES = {"a06_matrix": a06_matrix, "a13_median_center": a13_median_center, "a15_fold_change": a15_fold_change}
@@ -52,5 +52,5 @@ ORACLES = {
     "a15_fold_change": _MATRIX_SQL
     + """, s AS (SELECT feature, avg(CASE WHEN file LIKE 'A%' THEN log_q END) AS a, avg(CASE WHEN file LIKE 'N%' THEN log_q END) AS b
     FROM c GROUP BY feature)
-    SELECT feature, round(a - b, 4) AS log2_fc, round((a + b) / 2, 4) AS mean_abundance FROM s WHERE a IS NOT NULL AND b IS NOT NULL""",
+    SELECT feature, round(a - b, 4) + 0.0 AS log2_fc, round((a + b) / 2, 4) AS mean_abundance FROM s WHERE a IS NOT NULL AND b IS NOT NULL""",
 }
