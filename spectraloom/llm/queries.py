@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spectraloom.llm import chat, lines, multiset
+from spectraloom.llm import bpe, chat, lines, media, mixing, multiset, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,29 @@ SELECT conv_id, CAST(n_turns AS BIGINT) AS n_turns, sha256(spoken) AS turns_sha2
 """
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = warc.round_trip(_table(spark, sf_dir, "pages"))
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP2_SQL = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS b, sha256(coalesce(html, '')) AS d FROM pages),
+f AS (SELECT d, min(page_id) AS first FROM p WHERE b >= 100 GROUP BY d)
+SELECT page_id, b AS payload_bytes, p.d AS payload_digest,
+  CASE WHEN first IS NULL OR first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN first <> page_id THEN first END AS refers_to
+FROM p LEFT JOIN f ON p.d = f.d
+"""
+
+
+def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each use of a document in a mixture of 2.8 nats, no document used over four times, of as many tokens as there are."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    budget = docs.agg(F.sum(mixing.default_tokens(F.col("text")))).first()[0] or 1
+    uses = mixing.mix(docs, budget=budget, target_entropy=2.8, max_repeats=4.0, detail=True)
+    return uses.select("doc_id", "source", F.col("_pass").cast("long").alias("pass"), F.col("_block").alias("block"), F.col("_tokens").alias("n_tokens"))
+
+
 def op5_multiset_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multiset.edited_pairs(_table(spark, sf_dir, "documents"))
 
@@ -57,9 +80,25 @@ SELECT doc_id, CAST(count(*) AS BIGINT) AS n_lines, CAST(sum(CASE WHEN gone THEN
 FROM m GROUP BY doc_id
 """
 
+
+
+def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe.digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.digests(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
+    "op2_warc": op2_warc,
+    "op4_source_mixing": op4_source_mixing,
     "op5_multiset_fingerprint": op5_multiset_fingerprint,
     "op6_line_dedup": op6_line_dedup,
+    "op7_byte_bpe": op7_byte_bpe,
+    "op10_media_columns": op10_media_columns,
 }
-ORACLES = {"op1_chat_formatting": OP1_SQL, "op6_line_dedup": OP6_SQL}
+ORACLES = {"op1_chat_formatting": OP1_SQL, "op2_warc": OP2_SQL, "op6_line_dedup": OP6_SQL}
