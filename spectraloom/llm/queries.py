@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spectraloom.llm import bpe, chat, lines, media, mixing, multiset, warc
+from spectraloom.llm import bpe, chat, lines, media, mixing, multiset, partenum, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +51,10 @@ FROM p LEFT JOIN f ON p.d = f.d
 """
 
 
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return partenum.similarity_components(_table(spark, sf_dir, "documents"), k=3, percent=90)
+
+
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each use of a document in a mixture of 2.8 nats, no document used over four times, of as many tokens as there are."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
@@ -95,6 +99,7 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_warc": op2_warc,
+    "op3_ngram_jaccard": op3_ngram_jaccard,
     "op4_source_mixing": op4_source_mixing,
     "op5_multiset_fingerprint": op5_multiset_fingerprint,
     "op6_line_dedup": op6_line_dedup,
