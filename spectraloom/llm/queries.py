@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spectraloom.llm import bpe, chat, lines, media, mixing, multiset, partenum, warc
+from spectraloom.llm import bpe, chat, crf, lines, media, mixing, multiset, partenum, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -92,6 +92,13 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+def op9_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = _table(spark, sf_dir, "labels").where(~crf.held_out("doc_id"))
+    scored = crf.score_documents(docs, crf.train(docs, labels)).withColumn("held_out", crf.held_out("doc_id"))
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digests(_table(spark, sf_dir, "documents"))
 
@@ -104,6 +111,7 @@ QUERIES = {
     "op5_multiset_fingerprint": op5_multiset_fingerprint,
     "op6_line_dedup": op6_line_dedup,
     "op7_byte_bpe": op7_byte_bpe,
+    "op9_quality_crf": op9_quality_crf,
     "op10_media_columns": op10_media_columns,
 }
 ORACLES = {"op1_chat_formatting": OP1_SQL, "op2_warc": OP2_SQL, "op6_line_dedup": OP6_SQL}
