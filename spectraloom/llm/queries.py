@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spectraloom.llm import bpe, chat, crf, lines, media, mixing, multiset, partenum, warc
+from spectraloom.llm import bpe, chat, crf, lines, maxent, media, mixing, multiset, partenum, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -92,6 +92,10 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+def op8_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent.score_documents(_table(spark, sf_dir, "documents"))
+
+
 def op9_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = _table(spark, sf_dir, "labels").where(~crf.held_out("doc_id"))
@@ -111,6 +115,7 @@ QUERIES = {
     "op5_multiset_fingerprint": op5_multiset_fingerprint,
     "op6_line_dedup": op6_line_dedup,
     "op7_byte_bpe": op7_byte_bpe,
+    "op8_maxent_lm": op8_maxent_lm,
     "op9_quality_crf": op9_quality_crf,
     "op10_media_columns": op10_media_columns,
 }
