@@ -25,7 +25,7 @@ from spectraloom.llm.common import written
 from spectraloom.llm.words import groups, hash_words, mix64
 
 #: Classes of frequent words and the words in each; classes of other words.
-HEAD_CLASSES, CLASS_WORDS, TAIL_CLASSES = 32, 32, 32
+HEAD_CLASSES, CLASS_WORDS, TAIL_CLASSES = 24, 32, 24
 HEAD = HEAD_CLASSES * CLASS_WORDS
 CLASSES = HEAD_CLASSES + TAIL_CLASSES
 #: What a context position may hold: a frequent word, a tail class, or the text's beginning.
@@ -36,10 +36,14 @@ PAIRS = 1 << 13
 ROWS = 3 * KINDS + PAIRS + 1
 BATCH = 8192
 #: Words that make up at least this share of the corpus go to every task: so many at most.
-FREQUENT = 1 << 16
+FREQUENT = 1 << 18
 #: Stands for the end of a text among the words' hashes. No word has white space.
 END = int(mix64(np.array([0x5EED], np.uint64))[0])
 ENDINGS = 1 << 16
+#: Bits of a hash that the table of frequent words is entered by.
+LOOKUP = 18
+_EDGE = np.zeros(256, bool)
+_EDGE[[0, 32, 9, 10, 11, 12, 13]] = True
 
 
 def in_training(id_col: str, modulus: int = 7, fold: int = 2) -> Column:
@@ -54,7 +58,7 @@ def tokens_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """
     hashed, at = hash_words(texts)
     data = np.frombuffer(b"\0\0\0" + b" ".join(texts) + b" ", np.uint8)
-    blank = np.isin(data[3:], np.frombuffer(b" \t\n\x0b\x0c\r", np.uint8))
+    blank = _EDGE[data[3:]] & (data[3:] != 0)
     stops = np.flatnonzero(blank[1:] & ~blank[:-1]) + 4 if len(data) > 4 else np.zeros(0, np.int64)
     if len(stops) != len(hashed):
         raise AssertionError("words and their ends differ in number")
@@ -62,7 +66,7 @@ def tokens_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     whole = np.ones(len(hashed), bool)
     for back in (1, 2, 3):
         byte = data[stops - back]
-        whole &= ~np.isin(byte, np.frombuffer(b"\0 \t\n\x0b\x0c\r", np.uint8))
+        whole &= ~_EDGE[byte]
         tail = tail * np.uint64(256) + np.where(whole, byte, 0).astype(np.uint64)
     ending = (mix64(tail) & np.uint64(ENDINGS - 1)).astype(np.int64)
     counts = np.bincount(at, minlength=len(texts)) + 1
@@ -82,6 +86,7 @@ class Vocabulary:
     total: int  # training tokens
     types: int  # distinct training tokens
     words: np.ndarray  # hashes of frequent words, sorted
+    first: np.ndarray  # where the words of each prefix begin; the last entry is their number
     counts: np.ndarray
     head: np.ndarray  # their place among the HEAD most frequent, or -1
     tail_class: np.ndarray  # of each hashed ending
@@ -93,10 +98,18 @@ class Vocabulary:
         """(index among the frequent words, whether it is one) of each token."""
         if not len(self.words):
             return np.zeros(len(tokens), np.int64), np.zeros(len(tokens), bool)
-        # A table over the first bits gives the place, but for the few that must step on.
-        at = np.searchsorted(self.words, tokens)
-        at[at == len(self.words)] = 0
-        return at, self.words[at] == tokens
+        bucket = (tokens >> np.uint64(64 - LOOKUP)).astype(np.int64)
+        at = self.first[bucket]
+        known = self.words[at] == tokens
+        # A bucket holds few words; what its first is not steps on inside it.
+        left = np.flatnonzero(~known)
+        step = 1
+        while len(left := left[self.first[bucket[left]] + step < self.first[bucket[left] + 1]]):
+            found = self.words[self.first[bucket[left]] + step] == tokens[left]
+            at[left[found]] += step
+            known[left[found]] = True
+            left, step = left[~found], step + 1
+        return at, known
 
     def kinds(self, tokens: np.ndarray, endings: np.ndarray, at: np.ndarray, known: np.ndarray) -> np.ndarray:
         head = np.where(known, self.head[at] if len(self.head) else -1, -1)
@@ -146,7 +159,10 @@ def make_vocabulary(counts: DataFrame) -> Vocabulary:
     empty = np.concatenate([shares.sum(axis=1) == 0, np.zeros(TAIL_CLASSES, bool)])
     word_logits = np.where(shares > 0, np.log(np.maximum(shares, 1)), -40.0)
     class_logits = np.where(empty, -40.0, np.log((by_class + 1) / (by_class.sum() + CLASSES)))
-    return Vocabulary(total, types, words, held, head, tail_class, tail_log, class_logits.astype(np.float32), word_logits.astype(np.float32))
+    prefixes = (words >> np.uint64(64 - LOOKUP)).astype(np.int64)
+    first = np.searchsorted(prefixes, np.arange((1 << LOOKUP) + 1))
+    first[:-1] = np.minimum(first[:-1], max(0, len(words) - 1))
+    return Vocabulary(total, types, words, first, held, head, tail_class, tail_log, class_logits.astype(np.float32), word_logits.astype(np.float32))
 
 
 @dataclass
@@ -182,16 +198,30 @@ def features(kinds: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
-    x -= x.max(axis=1, keepdims=True)
+    if x.size and not x.max() < 60:  # far from what training reaches
+        x -= x.max(axis=1, keepdims=True)
     np.exp(x, out=x)
-    x /= x.sum(axis=1, keepdims=True)
+    x /= np.einsum("ij->i", x)[:, None]
     return x
 
 
+def _segment_sums(ranked: np.ndarray, cut: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Sums of the runs of rows that begin at cut: long runs each on its own, short ones a row at a time side by side."""
+    out = ranked[cut]
+    for i in np.flatnonzero(lengths > 16).tolist():
+        out[i] = np.einsum("ij->j", ranked[cut[i] : cut[i] + lengths[i]])
+    left, step = np.flatnonzero((lengths > 1) & (lengths <= 16)), 1
+    while len(left):
+        out[left] += ranked[cut[left] + step]
+        step += 1
+        left = left[lengths[left] > step]
+    return out
+
+
 def _forward(weights: Weights, rows: np.ndarray) -> np.ndarray:
-    x = weights.classes[rows[:, 0]]
+    x = np.take(weights.classes, rows[:, 0], axis=0)
     for j in (1, 2, 3):
-        x += weights.classes[rows[:, j]]
+        x += np.take(weights.classes, rows[:, j], axis=0)
     x += weights.classes[-1]
     return _softmax(x)
 
@@ -231,15 +261,15 @@ class Trainer:
         self.seen = [np.zeros(len(x), np.int64) for x in (start.classes, start.words)]
 
     def _step(self, which: int, table: np.ndarray, rows: np.ndarray, grad: np.ndarray) -> None:
-        order = np.argsort(rows, kind="stable")
+        order = np.argsort(rows.astype(np.uint16), kind="stable")  # the tables have fewer than 65,536 rows
         ranked = rows[order]
         cut = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
-        row = ranked[cut]
-        total = np.add.reduceat(grad[order], cut, axis=0)
+        row, lengths = ranked[cut], np.diff(np.append(cut, len(rows)))
+        total = _segment_sums(np.take(grad, order, axis=0), cut, lengths)
         history = self.past[which][row] + total * total
         self.past[which][row] = history
         table[row] += self.rate * total / np.sqrt(history)
-        self.seen[which][row] += np.diff(np.append(cut, len(rows)))
+        self.seen[which][row] += lengths
 
     def learn(self, kinds: np.ndarray, counts: np.ndarray) -> None:
         every = features(kinds, counts)
