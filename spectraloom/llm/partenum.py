@@ -23,7 +23,7 @@ from spectraloom.llm.common import written
 from spectraloom.llm.components import connected_components
 from spectraloom.llm.words import mix64, shingle_sets
 
-#: Bits of a set's parity sketch, as longs.
+#: Longs of a set's parity sketch at least; large sets have two bits a shingle.
 SKETCH = 16
 #: Ids up to which a list of them is broadcast; a longer one is joined by exchange.
 BROADCAST_IDS = 2_000_000
@@ -41,11 +41,10 @@ class Band:
     parts: int
     skip: int
     spare: int
-    weak: int
 
 
 @lru_cache(None)
-def bands(percent: int, upto: int) -> tuple[Band, ...]:
+def bands(percent: int, upto: int, skip: int = 0) -> tuple[Band, ...]:
     """Equal-size bands [l, r], r = floor(l / similarity), up to one that holds `upto`, and the next.
 
     Sets of sizes up to r that link differ in at most k = 2 r (100 - percent) / (100 + percent)
@@ -57,12 +56,11 @@ def bands(percent: int, upto: int) -> tuple[Band, ...]:
         high = low * 100 // percent
         k = 2 * high * (100 - percent) // (100 + percent)
         if k <= 3:
-            out.append(Band(len(out), high, 1, k + 3 if k else 1, k, 0, 0))
+            out.append(Band(len(out), high, 1, k + 3 if k else 1, k, 0))
         else:
-            skip = 0 if (100 + percent) >= 16 * (100 - percent) else 1
             need = k // (skip + 1) + 1
-            spare = 1 + need * 15 // 100
-            out.append(Band(len(out), high, need + spare, 1 + 2 * skip, skip, spare, 1 + 2 * skip))
+            spare = 1 + need // 12
+            out.append(Band(len(out), high, need + spare, 1 + 2 * skip, skip, spare))
         low = high + 1
     return tuple(out)
 
@@ -84,20 +82,20 @@ def sign(shingles: np.ndarray, band: Band) -> np.ndarray:
     cuts = np.searchsorted(place, np.arange(fine + 1, dtype=np.uint64))
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(shingles + np.uint64(band.number + 1)), dtype=np.uint64)])
     sums = (total[cuts[1:]] - total[cuts[:-1]]).reshape(band.partitions, band.parts)
-    counts = np.diff(cuts[:: band.parts])
-    chosen = np.arange(band.partitions)
-    # Thin partitions say little. They are left out where enough others must agree: those with
-    # more than weak + skip shingles in one set have more than weak in any set that agrees.
-    if band.spare and (counts <= band.weak + band.skip).sum() <= band.spare:
-        chosen = chosen[counts > band.weak]
-    keep = _subsets(band.parts, band.skip)
-    sums = sums[chosen]
+    sizes = np.diff(cuts).reshape(band.partitions, band.parts)
     if band.skip == 0:
-        signed = sums.sum(axis=1, dtype=np.uint64)[:, None]
+        signed, rest = sums.sum(axis=1, dtype=np.uint64)[:, None], sizes.sum(axis=1)[:, None]
     else:
+        keep = _subsets(band.parts, band.skip)
         signed = np.stack([sums[:, row].sum(axis=1, dtype=np.uint64) for row in keep], axis=1)
-    name = (np.uint64(band.number) << np.uint64(40)) + (chosen.astype(np.uint64)[:, None] * np.uint64(len(keep)) + np.arange(len(keep), dtype=np.uint64)[None, :])
-    return mix64(mix64(signed) + mix64(name)).ravel()
+        rest = np.stack([sizes[:, row].sum(axis=1) for row in keep], axis=1)
+    name = (np.uint64(band.number) << np.uint64(40)) + np.arange(signed.size, dtype=np.uint64).reshape(signed.shape)
+    made = mix64(mix64(signed) + mix64(name))
+    # Signatures of few shingles say little. Of the spare + 1 partitions in which similar sets agree, one at
+    # least has no signature of fewer shingles than the (spare + 1)-th thinnest partition of either
+    # set; what agrees has the same size in both, so thinner signatures can go.
+    floor = np.partition(rest.min(axis=1), band.spare)[band.spare] if band.spare else 0
+    return made[rest >= floor]
 
 
 def signatures(shingles: np.ndarray, percent: int) -> np.ndarray:
@@ -110,42 +108,61 @@ def signatures(shingles: np.ndarray, percent: int) -> np.ndarray:
 
 
 def sketch(shingles: np.ndarray) -> np.ndarray:
-    """Parities of 1,024 counters: sets that differ in h shingles differ in at most h of the bits."""
-    odd = np.bincount((shingles & np.uint64(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH) & 1
+    """Parities of counters, two for each shingle and 1,024 at least, a power of two.
+
+    Sets that differ in h shingles differ in at most h of the bits. Halves of a longer sketch
+    fold into a shorter one by exclusive or.
+    """
+    bits = max(64 * SKETCH, 1 << (2 * len(shingles) - 1).bit_length())
+    odd = np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-_SIGNED = f"doc_id long, n_shingles long, digest binary, sketch array<long>, signatures array<long>"
+_SIZED = "doc_id long, n_shingles long, digest binary, sketch array<long>"
+
+
+def _batches(batches, k: int) -> Iterator[tuple]:
+    for batch in batches:
+        for i in range(0, batch.num_rows, 256):
+            part = batch.slice(i, 256)
+            yield part.column(0), shingle_sets([t or "" for t in part.column(1).to_pylist()], k)
 
 
-def signed_sets(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """A row for each document: size and digest of its set; for the first of each task's copies also sketch and signatures."""
+def sized_sets(docs: DataFrame, k: int) -> DataFrame:
+    """A row for each document: size, digest and sketch of its set."""
+    import pyarrow as pa
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, sets in _batches(batches, k):
+            named = [len(s) > 0 and valid for s, valid in zip(sets, ids.is_valid().to_pylist(), strict=True)]
+            digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if ok else None for s, ok in zip(sets, named, strict=True)]
+            sketches = [sketch(s) if ok else None for s, ok in zip(sets, named, strict=True)]
+            columns = [ids, pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(sketches, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "digest", "sketch"])
+
+    return docs.mapInArrow(run, _SIZED)
+
+
+def signed_rows(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """(sig, b): the signatures of documents; of equal sets that a task meets, the first alone is signed."""
     import pyarrow as pa
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
-        for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
-                ids = part.column(0)
-                sets = shingle_sets([t or "" for t in part.column(1).to_pylist()], k)
-                digests, sketches, signed = [], [], []
-                for s, valid in zip(sets, ids.is_valid().to_pylist(), strict=True):
-                    d = hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) and valid else None
-                    digests.append(d)
-                    new = d is not None and d not in seen
-                    if new:
-                        if len(seen) >= REMEMBERED:
-                            seen.clear()
-                        seen.add(d)
-                    sketches.append(sketch(s) if new else None)
-                    signed.append(signatures(s, percent).view(np.int64) if new else None)
-                yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(sketches, pa.list_(pa.int64())), pa.array(signed, pa.list_(pa.int64()))],
-                    ["doc_id", "n_shingles", "digest", "sketch", "signatures"],
-                )
-
-    return docs.mapInArrow(run, _SIGNED)
+        for ids, sets in _batches(batches, k):
+            numbers, signed = [], []
+            for i, s in zip(ids.to_pylist(), sets, strict=True):
+                if i is None or not len(s) or (d := hashlib.blake2b(s.tobytes(), digest_size=16).digest()) in seen:
+                    continue
+                if len(seen) >= REMEMBERED:
+                    seen.clear()
+                seen.add(d)
+                numbers.append(i)
+                signed.append(signatures(s, percent))
+            if numbers:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(signed).view(np.int64)), pa.array(np.repeat(np.array(numbers, np.int64), [len(x) for x in signed]))], ["sig", "b"])
+
+    return docs.mapInArrow(run, "sig long, b long")
 
 
 def _only(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
@@ -159,11 +176,8 @@ def verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFra
     import pyarrow as pa
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
-                sets = shingle_sets([t or "" for t in part.column(1).to_pylist()], k)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["id", "set"])
+        for ids, sets in _batches(batches, k):
+            yield pa.RecordBatch.from_arrays([ids, pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["id", "set"])
 
     ids = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "candidates")
     sets = _only(docs, ids, "left_semi").mapInArrow(run, "id long, set array<long>")
@@ -175,11 +189,18 @@ def verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFra
     return both.where((100 + percent) * shared >= percent * (F.size("_sa") + F.size("_sb"))).select("a", "b")
 
 
-def _may_link(na: Column, nb: Column, sa: list[Column], sb: list[Column], percent: int) -> Column:
+def _may_link(na: Column, nb: Column, a: Column, b: Column, percent: int) -> Column:
     """What sizes and sketches leave possible: bounds only, nothing that links is lost."""
-    apart = sum((F.bit_count(x.bitwiseXOR(y)) for x, y in zip(sa, sb, strict=True)), F.lit(0))
+
+    def fold(x: Column, y: Column) -> Column:
+        half = F.size(y)
+        return F.when(F.size(x) > half, F.zip_with(F.slice(x, F.lit(1), half), F.slice(x, half + 1, half), lambda p, q: p.bitwiseXOR(q))).otherwise(x)
+
+    bits = F.zip_with(fold(a, b), fold(b, a), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    apart = F.aggregate(bits, F.lit(0), lambda n, x: n + x)
     sizes = F.least(na, nb) * 100 >= F.greatest(na, nb) * percent
-    return sizes & (apart * (100 + percent) <= (na + nb) * (100 - percent))
+    # Linked sets are of one band or the next, so their sketches' lengths differ by a factor of two at most.
+    return F.when(sizes, apart * (100 + percent) <= (na + nb) * (100 - percent)).otherwise(False)
 
 
 def similarity_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -197,26 +218,24 @@ def similarity_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col
     never expanded into its pairs and no link between components is missed.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    table = written(signed_sets(docs, k, percent), "signed")
+    table = written(sized_sets(docs, k), "sized")
     classes = table.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).where("n > 1").select("digest", "rep")
-    parity = [F.get("sketch", F.lit(i)).alias(f"s{i}") for i in range(SKETCH)]
-    nodes = table.where("signatures IS NOT NULL").select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), *parity)
+    nodes = table.where("sketch IS NOT NULL").select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "sketch")
 
     def side(name: str) -> DataFrame:
-        return nodes.select(F.col("id").alias(name), F.col("n").alias(f"n_{name}"), *[F.col(f"s{i}").alias(f"{name}{i}") for i in range(SKETCH)])
-
-    def admitted() -> Column:
-        return _may_link(F.col("n_a"), F.col("n_b"), [F.col(f"a{i}") for i in range(SKETCH)], [F.col(f"b{i}") for i in range(SKETCH)], percent)
+        return nodes.select(*[F.col(c).alias(name if c == "id" else f"{name}_{c}") for c in nodes.columns])
 
-    rows = table.where("signatures IS NOT NULL").select(F.col("doc_id").alias("b"), F.explode("signatures").alias("sig"))
+    admitted = _may_link(F.col("a_n"), F.col("b_n"), F.col("a_sketch"), F.col("b_sketch"), percent)
     lead = F.first("b").over(W.partitionBy("sig").orderBy("b").rowsBetween(W.unboundedPreceding, 0))
-    shared = written(rows.withColumn("a", lead).where("a <> b"), "shared")
+    shared = written(signed_rows(docs, k, percent).withColumn("a", lead).where("a <> b"), "shared")
 
     counted = shared.groupBy("a", "b").agg(F.count("*").alias("n_shared"))
-    stars = counted.join(side("b"), "b").join(side("a"), "a").where(admitted())
+    stars = counted.join(side("b"), "b").join(side("a"), "a").where(admitted)
     stars = stars.groupBy("b").agg(F.max_by("a", F.struct("n_shared", -F.col("a"))).alias("a")).select("a", "b")
     stars = written(stars, "stars")
-    copies = table.where("signatures IS NOT NULL").join(classes, "digest").where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
+    # Copies that several tasks signed are nodes of their own; they hang on their class's smallest.
+    signed = shared.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    copies = table.select("doc_id", "digest").join(signed, "doc_id", "left_semi").join(classes, "digest").where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     links = written(verified(docs, stars, k, percent).unionByName(copies), "links")
     found = connected_components(links)
 
@@ -227,7 +246,7 @@ def similarity_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col
     members = written(members.select("sig", "x.id", "x.c").distinct().join(nodes, "id"), "members")
     left = members.select("sig", *[F.col(c).alias(f"l_{c}") for c in members.columns if c != "sig"])
     apart = (F.col("l_id") < F.col("id")) & (F.col("l_c") != F.col("c"))
-    apart = apart & _may_link(F.col("l_n"), F.col("n"), [F.col(f"l_s{i}") for i in range(SKETCH)], [F.col(f"s{i}") for i in range(SKETCH)], percent)
+    apart = apart & _may_link(F.col("l_n"), F.col("n"), F.col("l_sketch"), F.col("sketch"), percent)
     across = left.join(members, (left["sig"] == members["sig"]) & apart).select(F.col("l_id").alias("a"), F.col("id").alias("b")).distinct()
     across = written(across.join(stars, ["a", "b"], "left_anti"), "across")
     if across.head(1):
