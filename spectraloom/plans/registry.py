@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from spectraloom.plans import quant
+from spectraloom.plans import quant, relational
 
-QUERIES = {**quant.QUERIES}
-ORACLES = {**quant.ORACLES}
+QUERIES = {**quant.QUERIES, **relational.QUERIES}
+ORACLES = {**quant.ORACLES, **relational.ORACLES}
