@@ -41,13 +41,17 @@ def lanes(text: Column) -> Column:
     return F.get(F.transform(F.array(paragraphs(text)), lambda parts: _sums(parts)), F.lit(0))
 
 
+def _hashed(seed: int):
+    return lambda p: F.xxhash64(F.lit(seed), p)
+
+
 def _sums(parts: Column) -> Column:
     low = lambda v: v.bitwiseAND(F.lit(LANE))
     zero = F.lit(0).cast("long")
     pairs = []
     for j in range(DENSE // 2):
         both = F.aggregate(
-            F.transform(parts, lambda p, j=j: F.xxhash64(F.lit(j), p)),
+            F.transform(parts, _hashed(j)),
             F.struct(zero.alias("lo"), zero.alias("hi")),
             lambda a, h: F.struct((a.lo + low(h)).alias("lo"), (a.hi + F.shiftrightunsigned(h, 32)).alias("hi")),
             lambda a: F.array(low(a.lo), low(a.hi)),
