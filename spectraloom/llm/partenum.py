@@ -203,6 +203,13 @@ def _may_link(na: Column, nb: Column, a: Column, b: Column, percent: int) -> Col
     return F.when(sizes, apart * (100 + percent) <= (na + nb) * (100 - percent)).otherwise(False)
 
 
+def _joined(found: DataFrame, links: DataFrame) -> DataFrame:
+    """Components after further links."""
+    if not links.head(1):
+        return found
+    return connected_components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(links))
+
+
 def similarity_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) of each document, by the links 100 |A and B| >= percent |A or B|.
 
@@ -213,7 +220,8 @@ def similarity_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col
 
     Equal sets are one class from the start. In every signature's bucket the smallest document
     leads; a document is compared with the leader that it shares most signatures with, among
-    those that sizes and sketches admit. Buckets that then hold several components are
+    those that sizes and sketches admit; where that leaves components apart, with its other leaders
+    and with its predecessors in its buckets. Buckets that then hold several components are
     joined across these, again only where sizes and sketches admit a link, so a group of copies is
     never expanded into its pairs and no link between components is missed.
     """
@@ -226,8 +234,9 @@ def similarity_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col
         return nodes.select(*[F.col(c).alias(name if c == "id" else f"{name}_{c}") for c in nodes.columns])
 
     admitted = _may_link(F.col("a_n"), F.col("b_n"), F.col("a_sketch"), F.col("b_sketch"), percent)
-    lead = F.first("b").over(W.partitionBy("sig").orderBy("b").rowsBetween(W.unboundedPreceding, 0))
-    shared = written(signed_rows(docs, k, percent).withColumn("a", lead).where("a <> b"), "shared")
+    bucket = W.partitionBy("sig").orderBy("b")
+    lead = F.first("b").over(bucket.rowsBetween(W.unboundedPreceding, 0))
+    shared = written(signed_rows(docs, k, percent).withColumns({"a": lead, "p": F.lag("b").over(bucket)}).where("a <> b"), "shared")
 
     counted = shared.groupBy("a", "b").agg(F.count("*").alias("n_shared"))
     stars = counted.join(side("b"), "b").join(side("a"), "a").where(admitted)
@@ -239,8 +248,19 @@ def similarity_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col
     links = written(verified(docs, stars, k, percent).unionByName(copies), "links")
     found = connected_components(links)
 
-    named = shared.join(found.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a", "left").join(found.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b", "left")
-    named = named.select("sig", "a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb"))
+    def by_component() -> DataFrame:
+        rows = shared
+        for c in ("a", "p", "b"):
+            rows = rows.join(found.select(F.col("id").alias(c), F.col("component").alias(f"c{c}")), c, "left")
+        return rows.select("sig", "a", "p", "b", *[F.coalesce(f"c{c}", c).alias(f"c{c}") for c in ("a", "p", "b")])
+
+    # Where components meet in buckets still: each member with all its leaders and all its predecessors.
+    near = by_component().select(F.explode(F.array(F.struct("a", "b", F.col("ca").alias("c"), "cb"), F.struct(F.col("p").alias("a"), "b", F.col("cp").alias("c"), "cb"))).alias("x"))
+    near = near.where("x.c <> x.cb").select("x.a", "x.b").distinct().join(stars, ["a", "b"], "left_anti")
+    near = written(near.join(side("b"), "b").join(side("a"), "a").where(admitted).select("a", "b"), "near")
+    if near.head(1):
+        found = _joined(found, written(verified(docs, near, k, percent), "links"))
+    named = by_component()
     open_ = named.where("ca <> cb").select("sig").distinct()
     members = named.join(open_, "sig", "left_semi").select("sig", F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("ca").alias("c")), F.struct(F.col("b").alias("id"), F.col("cb").alias("c")))).alias("x"))
     members = written(members.select("sig", "x.id", "x.c").distinct().join(nodes, "id"), "members")
@@ -248,11 +268,9 @@ def similarity_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col
     apart = (F.col("l_id") < F.col("id")) & (F.col("l_c") != F.col("c"))
     apart = apart & _may_link(F.col("l_n"), F.col("n"), F.col("l_sketch"), F.col("sketch"), percent)
     across = left.join(members, (left["sig"] == members["sig"]) & apart).select(F.col("l_id").alias("a"), F.col("id").alias("b")).distinct()
-    across = written(across.join(stars, ["a", "b"], "left_anti"), "across")
+    across = written(across.join(stars.unionByName(near), ["a", "b"], "left_anti"), "across")
     if across.head(1):
-        more = written(verified(docs, across, k, percent), "links")
-        if more.head(1):
-            found = connected_components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
+        found = _joined(found, written(verified(docs, across, k, percent), "links"))
     named = table.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left").withColumn("rep", F.coalesce("rep", "doc_id"))
     return named.join(found.select(F.col("id").alias("rep"), "component"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
 
