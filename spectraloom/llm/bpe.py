@@ -22,7 +22,7 @@ WHITE = [9, 10, 11, 12, 13, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028,
 #: What follows the apostrophe of a contraction.
 SHORT, LONG = "stmd", ("re", "ve", "ll")
 #: Characters handled at once, and pieces a worker remembers.
-SLICE, CACHED = 1 << 20, 400_000
+SLICE, CACHED = 1 << 20, 200_000
 
 
 @lru_cache(None)
