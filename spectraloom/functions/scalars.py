@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Masses in dalton.
-PROTON, C13_STEP, WATER = 1.007276466812, 1.003354835, 18.0105646863
+PROTON, C13_STEP, WATER = 1.007276554940804, 1.00335483507, 18.0105646863
 AVERAGINE_LAMBDA = 0.000594
 
 
@@ -74,10 +74,28 @@ def scan_number(native: Column) -> Column:
     return F.coalesce(F.nullif(F.regexp_extract(native, r"scan=(\d+)", 1), F.lit("")), native)
 
 
+def safe_dir_name(filename: Column) -> Column:
+    """A run's folder: the name without its spectrum suffix, odd characters as underscores."""
+    return F.regexp_replace(F.regexp_replace(filename, r"(\.centroid)?\.mz(ML|ml)$", ""), "[^A-Za-z0-9_.-]+", "_")
+
+
+def scan_key(filename: Column, scan: Column) -> Column:
+    return F.concat(filename, F.lit(":scan="), scan)
+
+
+def fraction_name(filename: Column) -> Column:
+    return F.when(F.contains(filename, F.lit("_GuHCl_")), "GuHCl").when(F.contains(filename, F.lit("_NaCl_")), "NaCl").otherwise("")
+
+
+def replicate_name(filename: Column) -> Column:
+    return F.regexp_extract(filename, r"_(\d+)(?:_|\.centroid)", 1)
+
+
 def join_unique(values: Column) -> Column:
-    """Distinct non-blank values, numbers first by size, joined by semicolons."""
+    """Distinct non-blank values, whole numbers first by size, joined by semicolons."""
     kept = F.array_distinct(F.filter(values, lambda v: v.isNotNull() & (v != "")))
-    keyed = F.transform(kept, lambda v: F.struct(v.try_cast("double").isNull().alias("text"), v.try_cast("double").alias("number"), v.alias("value")))
+    number = lambda v: F.when(v.rlike("^[0-9]+$"), v.try_cast("decimal(38,0)"))
+    keyed = F.transform(kept, lambda v: F.struct(number(v).isNull().alias("text"), number(v).alias("number"), v.alias("value")))
     return F.array_join(F.transform(F.array_sort(keyed), lambda s: s.value), ";")
 
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from spectraloom.plans import quant, relational
+from spectraloom.plans import quant, relational, sequences
 
-QUERIES = {**quant.QUERIES, **relational.QUERIES}
-ORACLES = {**quant.ORACLES, **relational.ORACLES}
+PARTS = (quant, relational, sequences)
+QUERIES = {name: q for part in PARTS for name, q in part.QUERIES.items()}
+ORACLES = {name: q for part in PARTS for name, q in part.ORACLES.items()}

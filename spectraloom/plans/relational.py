@@ -39,8 +39,8 @@ def sc_peptide_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT p_partkey, round((p_retailprice - 1.007276466812) * p_size, 4) AS neutral, round(greatest(0.01, p_retailprice * 20 / 1e6), 6) AS tol,
-  round(p_retailprice / p_size + 1.007276466812 + 2 * 1.003354835 / p_size, 4) AS third,
+SELECT p_partkey, round((p_retailprice - 1.007276554940804) * p_size, 4) AS neutral, round(greatest(0.01, p_retailprice * 20 / 1e6), 6) AS tol,
+  round(p_retailprice / p_size + 1.007276554940804 + 2 * 1.00335483507 / p_size, 4) AS third,
   round(1 - least(1.0, abs(log2(p_retailprice / p_size)) / 4), 4) AS score
 FROM part""")
 def sc_masses(spark: SparkSession, sf_dir: str) -> DataFrame:
