@@ -93,7 +93,7 @@ def file_key(name: Column) -> Column:
 def write_tsv(rows: DataFrame, path: str, fields: Sequence[str]) -> None:
     """The named fields, in order; fields that the rows lack are blank, others are left out."""
     have = set(rows.columns)
-    rows.select(*[(F.col(f).cast("string") if f in have else F.lit("")).alias(f) for f in fields]).write.mode("overwrite").csv(path, sep="\t", header=True, quote="")
+    rows.select(*[(F.col(f).cast("string") if f in have else F.lit("")).alias(f) for f in fields]).write.mode("overwrite").csv(path, sep="\t", header=True, quote="", emptyValue="")
 
 
 def write_by_file(rows: DataFrame, path: str, key: str = "run_dir") -> None:
