@@ -56,3 +56,30 @@ def overlap_join(left: DataFrame, right: DataFrame, key: str, l0: str, l1: str,
     a, b = left.withColumn("_bin", bins(l0, l1)), right.withColumn("_bin", bins(r0, r1)).withColumnRenamed(key, "_key")
     on = (a["_bin"] == b["_bin"]) & (a[key] == F.col("_key")) & (F.col(l0) < F.col(r1)) & (F.col(r0) < F.col(l1)) & (a["_bin"] == F.floor(F.greatest(F.col(l0), F.col(r0)) / width))
     return a.join(b, on).drop("_bin", "_key")
+
+
+def ppm_join(left: DataFrame, right: DataFrame, a: str, b: str, ppm: float) -> DataFrame:
+    """Pairs whose values differ by at most ppm of the left (positive) one.
+
+    Bins are even in the logarithm and wider than the tolerance at any value.
+    """
+    width = float(2 * ppm / 1e6)
+    at = lambda c: F.floor(F.log(F.col(c)) / width)
+    probe = left.where(F.col(a) > 0).withColumn("_bin", F.explode(F.array(*[at(a) + d for d in (-1, 0, 1)])))
+    filed = right.where(F.col(b) > 0).withColumn("_bin", at(b))
+    return probe.join(filed, "_bin").where(F.abs(F.col(a) - F.col(b)) <= F.col(a) * ppm / 1e6).drop("_bin")
+
+
+def points_in_boxes(
+    points: DataFrame, boxes: DataFrame, key: str, box_key: str, along: tuple[str, str, str], across: tuple[str, str, str], width: float, point_id: list[str], order: list[Column]
+) -> DataFrame:
+    """Each point in the first (by order) of the boxes of its key that hold it, bounds included; points in none are left out.
+
+    Boxes are filed under every bin of the first axis that they touch, points under their one.
+    """
+    p, lo, hi = along
+    q, low, high = across
+    filed = boxes.withColumn("_bin", F.explode(F.sequence(F.floor(F.col(lo) / width), F.floor(F.col(hi) / width))))
+    put = points.withColumn("_bin", F.floor(F.col(p) / width))
+    on = (put["_bin"] == filed["_bin"]) & (put[key] == filed[box_key]) & F.col(p).between(F.col(lo), F.col(hi)) & F.col(q).between(F.col(low), F.col(high))
+    return keep_last(put.join(filed, on).drop("_bin"), point_id, order)

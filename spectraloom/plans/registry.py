@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from spectraloom.plans import quant, relational, sequences
+from spectraloom.plans import inventory, quant, relational, sequences
 
-PARTS = (quant, relational, sequences)
+PARTS = (quant, relational, sequences, inventory)
 QUERIES = {name: q for part in PARTS for name, q in part.QUERIES.items()}
 ORACLES = {name: q for part in PARTS for name, q in part.ORACLES.items()}
