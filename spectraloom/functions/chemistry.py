@@ -6,7 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -111,9 +112,27 @@ def cut_sites(sequence: Column) -> Column:
     return F.when(F.length(sequence) > 0, run).otherwise(F.array().cast("array<int>"))
 
 
+def digest_rows(rows: DataFrame, key: str, sequence: str, missed: int = 2, least: int = 7, most: int = 50) -> DataFrame:
+    """(key, start, end, peptide): the digest as rows, for long sequences. Pieces are cut once and joined to the next ones."""
+    cut = rows.where(F.length(sequence) > 0).select(key, F.posexplode(F.split(sequence, "(?<=[KR])(?=[^P])")).alias("_i", "_p"))
+    by = W.partitionBy(key).orderBy("_i")
+    start = F.coalesce(F.sum(F.length("_p")).over(by.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).cast("int")
+    # A join with a piece past the end is null.
+    joined = [F.concat("_p", *[F.lead("_p", j).over(by) for j in range(1, m + 1)]) for m in range(missed + 1)]
+    each = cut.select(key, start.alias("start"), F.array(*joined).alias("_all")).select(key, "start", F.explode("_all").alias("peptide"))
+    return each.where(F.length("peptide").between(least, most)).select(key, "start", (F.col("start") + F.length("peptide")).alias("end"), "peptide")
+
+
 def digest(sequence: Column, missed: int = 2, least: int = 7, most: int = 50) -> Column:
-    """Distinct (start, end, peptide) spans, half-open from 0, of the tryptic digest within the length bounds."""
-    sites = cut_sites(sequence)
+    """Distinct (start, end, peptide) spans, half-open from 0, of the tryptic digest within the length bounds.
+
+    For sequences of a protein's length; `digest_rows` takes any.
+    """
+    return F.get(F.transform(F.array(cut_sites(sequence)), lambda sites: _spans(sequence, sites, missed, least, most)), F.lit(0))
+
+
+def _spans(sequence: Column, sites: Column, missed: int, least: int, most: int) -> Column:
+    # The sites are bound once by the caller's lambda: a column used in a lambda is worked out for every element.
     froms = F.when(F.size(sites) > 1, F.sequence(F.lit(1), F.size(sites) - 1)).otherwise(F.array().cast("array<int>"))
     spans = F.flatten(
         F.transform(

@@ -78,13 +78,13 @@ def a34_positional_bias(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH s AS (SELECT doc_id, upper(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS q FROM documents),
 x AS (SELECT doc_id, q, i AS cut FROM (SELECT doc_id, q, unnest(range(1, length(q))) AS i FROM s) WHERE substr(q, i, 1) IN ('K', 'R') AND substr(q, i + 1, 1) <> 'P'
   UNION ALL SELECT doc_id, q, 0 FROM s WHERE q <> '' UNION ALL SELECT doc_id, q, length(q) FROM s WHERE q <> ''),
-o AS (SELECT doc_id, q, cut, row_number() OVER (PARTITION BY doc_id ORDER BY cut) AS n FROM x)
-SELECT a.doc_id, CAST(count(*) AS BIGINT) AS spans, CAST(sum(b.cut - a.cut) AS BIGINT) AS residues, CAST(count(DISTINCT substr(a.q, a.cut + 1, b.cut - a.cut)) AS BIGINT) AS peptides
-FROM o a JOIN o b ON a.doc_id = b.doc_id AND b.n - a.n BETWEEN 1 AND 3 WHERE b.cut - a.cut BETWEEN 7 AND 50 GROUP BY 1""")
+o AS (SELECT doc_id, cut, row_number() OVER (PARTITION BY doc_id ORDER BY cut) AS n FROM x)
+SELECT a.doc_id, CAST(count(*) AS BIGINT) AS spans, CAST(sum(b.cut - a.cut) AS BIGINT) AS residues, CAST(count(DISTINCT substr(s.q, a.cut + 1, b.cut - a.cut)) AS BIGINT) AS peptides
+FROM o a JOIN o b ON a.doc_id = b.doc_id AND b.n - a.n BETWEEN 1 AND 3 JOIN s ON s.doc_id = a.doc_id WHERE b.cut - a.cut BETWEEN 7 AND 50 GROUP BY 1""")
 def i12_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = F.upper(F.regexp_replace("text", "[^A-Za-z]", ""))
-    d = table(spark, sf_dir, "documents").select("doc_id", q.alias("q")).select("doc_id", F.explode(C.digest(F.col("q"))).alias("s"))
-    return d.groupBy("doc_id").agg(F.count("*").alias("spans"), F.sum(F.col("s.end") - F.col("s.start")).alias("residues"), F.countDistinct("s.peptide").alias("peptides"))
+    d = table(spark, sf_dir, "documents").select("doc_id", q.alias("q"))
+    return C.digest_rows(d, "doc_id", "q").groupBy("doc_id").agg(F.count("*").alias("spans"), F.sum(F.length("peptide")).alias("residues"), F.countDistinct("peptide").alias("peptides"))
 
 
 @query("""

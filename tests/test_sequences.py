@@ -23,6 +23,12 @@ def test_digest_and_tiling(spark):
     assert [tuple(x) for x in row[0][2]] == [(0, 4, False), (4, 12, True)] and row[1][0] == [] and row[1][1] == []
 
 
+def test_digest_rows_are_the_column(spark):
+    df = spark.createDataFrame([(1, "AKPRAAAAAAAKCCRDDK"), (2, ""), (3, None), (4, "KKKRP")], "id int, s string")
+    want = {(r.id, *r.x) for r in df.select("id", F.explode(C.digest(F.col("s"), 2, 1, 9)).alias("x")).collect()}
+    assert {tuple(r) for r in C.digest_rows(df, "id", "s", 2, 1, 9).collect()} == want and len(want) > 5
+
+
 def test_coverage_string(spark):
     assert spark.createDataFrame([("ABCDE", [2, 4, 2, 9])], "s string, c array<int>").select(C.coverage_string(F.col("s"), F.col("c"))).first()[0] == "AB|CD|E"
 
