@@ -50,6 +50,8 @@ class Settings:
     mass_ppm: float = 12.0
     mass_abs: float = 0.002
     group_rt_score: float = 0.55
+    #: Islands that begin in one unit of m/z are followed in one call.
+    unit: float = 1.0
 
 
 def islands(points: DataFrame, ppm: float, least: float) -> DataFrame:
@@ -146,7 +148,7 @@ def chain(first: np.ndarray, last: np.ndarray, mean: np.ndarray, count: np.ndarr
 def lines(points: DataFrame, s: Settings = Settings()) -> DataFrame:
     """Points with their `line` (unique within file and island); lines of too few points are left out.
 
-    One task follows one island of one file, that is, a band of m/z about as wide as a few tolerances;
+    One call follows the islands of one file that begin in one unit of m/z;
     only where points leave no gap over a long stretch does an island grow.
     """
 
@@ -161,7 +163,8 @@ def lines(points: DataFrame, s: Settings = Settings()) -> DataFrame:
 
     rows = islands(points.select("file_id", "scan", "rt", "mz", "intensity"), max(s.line_ppm, s.merge_ppm), max(s.line_abs, s.merge_abs))
     kind = rows.select("file_id", "island", F.lit(0).cast("long").alias("line"), "scan", "rt", "mz", "intensity").schema
-    return rows.groupBy("file_id", "island").applyInPandas(run, kind)
+    # Islands that begin in one unit of m/z share a call: they do not meet in it either.
+    return rows.groupBy("file_id", F.floor(F.col("island") / s.unit)).applyInPandas(run, kind)
 
 
 def line_table(line_points: DataFrame, s: Settings = Settings()) -> DataFrame:

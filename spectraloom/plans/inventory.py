@@ -265,7 +265,7 @@ def d03_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select(F.col("user_id").alias("file_id"), hour.alias("hour"), F.col("value").alias("mz"), F.lit(1.0).alias("intensity"))
     scans = e.select("file_id", "hour").distinct().withColumn("scan", (F.row_number().over(W.partitionBy("file_id").orderBy("hour")) - 1).cast("long"))
     pts = e.join(scans, ["file_id", "hour"]).select("file_id", "scan", F.col("scan").cast("double").alias("rt"), "mz", "intensity")
-    wide = detect.Settings(line_abs=0.5, merge_abs=0.8, least_points=2)
+    wide = detect.Settings(line_abs=0.5, merge_abs=0.8, least_points=2, unit=1000.0)
     return detect.line_table(detect.lines(pts, wide), wide).drop("long")
 
 
