@@ -99,7 +99,7 @@ class Vocabulary:
         if not len(self.words):
             return np.zeros(len(tokens), np.int64), np.zeros(len(tokens), bool)
         bucket = (tokens >> np.uint64(64 - LOOKUP)).astype(np.int64)
-        at = self.first[bucket]
+        at = np.minimum(self.first[bucket], len(self.words) - 1)  # buckets after the last word are empty
         known = self.words[at] == tokens
         # A bucket holds few words; what its first is not steps on inside it.
         left = np.flatnonzero(~known)
@@ -161,7 +161,6 @@ def make_vocabulary(counts: DataFrame) -> Vocabulary:
     class_logits = np.where(empty, -40.0, np.log((by_class + 1) / (by_class.sum() + CLASSES)))
     prefixes = (words >> np.uint64(64 - LOOKUP)).astype(np.int64)
     first = np.searchsorted(prefixes, np.arange((1 << LOOKUP) + 1))
-    first[:-1] = np.minimum(first[:-1], max(0, len(words) - 1))
     return Vocabulary(total, types, words, first, held, head, tail_class, tail_log, class_logits.astype(np.float32), word_logits.astype(np.float32))
 
 

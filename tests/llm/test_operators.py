@@ -188,6 +188,13 @@ def test_maxent_base(spark, docs):
     assert maxent.score_documents(docs.limit(0)).count() == 0
 
 
+def test_maxent_finds_every_frequent_word(spark):
+    hashes = [5 << 46, (9 << 46) + 1, (9 << 46) + 2]  # the last two share a prefix
+    vocabulary = maxent.make_vocabulary(spark.createDataFrame([(h, 7, 0) for h in hashes], "h long, c long, e int"))
+    at, known = vocabulary.find(np.array([*hashes, (9 << 46) + 3, 3 << 46, (1 << 64) - 1], np.uint64))
+    assert known.tolist() == [True] * 3 + [False] * 3 and at[:3].tolist() == [0, 1, 2]
+
+
 def test_mixing(spark, docs):
     rows = [(i, "x" * 40, "big" if i < 900 else "small") for i in range(1000)]
     frame = spark.createDataFrame(rows, SCHEMA)
