@@ -4,7 +4,8 @@ A token's probability is its class's, given hashed n-gram and skip features of t
 before it, times its own within the class. Frequent words share classes of equal size, in which
 a second softmax looks at the token before. All other words are put into classes by their
 endings; within those a word counts as often as it did in training, plus one, so that
-unknown words have a share as well and every text a probability.
+unknown words have a share as well and every text a probability. Classes, their words and the
+hashed features grow with the number of distinct training words (`Shape`).
 
 Counts cover all training documents. Weights come from rounds of distributed gradient
 updates: each task starts from the common weights, goes over its documents once, and what
@@ -13,6 +14,7 @@ tasks changed is averaged by feature.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -24,16 +26,8 @@ from pyspark.sql import functions as F
 from spectraloom.llm.common import written
 from spectraloom.llm.words import groups, hash_words, mix64
 
-#: Classes of frequent words and the words in each; classes of other words.
-HEAD_CLASSES, CLASS_WORDS, TAIL_CLASSES = 24, 32, 24
-HEAD = HEAD_CLASSES * CLASS_WORDS
-CLASSES = HEAD_CLASSES + TAIL_CLASSES
-#: What a context position may hold: a frequent word, a tail class, or the text's beginning.
-KINDS = HEAD + TAIL_CLASSES + 1
-BEGIN = KINDS - 1
-#: Rows of the weight table: three positions before, hashed pairs, and the bias.
-PAIRS = 1 << 13
-ROWS = 3 * KINDS + PAIRS + 1
+#: Classes of frequent words at least, and as many words in each and classes of other words.
+LEAST_SIDE = 32
 BATCH = 8192
 #: Words that make up at least this share of the corpus go to every task: so many at most.
 FREQUENT = 1 << 18
@@ -46,6 +40,49 @@ _EDGE = np.zeros(256, bool)
 _EDGE[[0, 32, 9, 10, 11, 12, 13]] = True
 
 
+@dataclass(frozen=True)
+class Shape:
+    """Sizes of the model: `side` classes of `side` frequent words, and `side` classes of other words."""
+
+    side: int
+
+    @staticmethod
+    def of(types: int) -> Shape:
+        """About as many frequent words as the square root of the distinct ones; all of them are FREQUENT ones."""
+        return Shape(min(math.isqrt(FREQUENT), max(LEAST_SIDE, math.ceil(types**0.25 / 8) * 8)))
+
+    @property
+    def head(self) -> int:
+        return self.side * self.side
+
+    @property
+    def classes(self) -> int:
+        return 2 * self.side
+
+    @property
+    def kinds(self) -> int:
+        """What a context position may hold: a frequent word, a tail class, or the text's beginning (the last)."""
+        return self.head + self.side + 1
+
+    @property
+    def pairs(self) -> int:
+        return 8 * self.head
+
+    @property
+    def rows(self) -> int:
+        """Of the class table: three positions before, hashed pairs, and the bias."""
+        return 3 * self.kinds + self.pairs + 1
+
+    @property
+    def word_rows(self) -> int:
+        """Of the word table: (class, token before), hashed where these are too many for a task's memory."""
+        return min(self.side * self.kinds, (1 << 17) + 8 * self.head)
+
+    def named(self, kinds: np.ndarray) -> np.ndarray:
+        """The class of each token."""
+        return np.where(kinds < self.head, kinds // self.side, kinds - self.head + self.side)
+
+
 def in_training(id_col: str, modulus: int = 7, fold: int = 2) -> Column:
     """False for the held-out fold; ids that are null are in training."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % modulus != fold, F.lit(True))
@@ -81,14 +118,15 @@ def tokens_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 @dataclass
 class Vocabulary:
-    """What the counts say: all of it is bounded by the constants above, not by the corpus."""
+    """What the counts say: at most FREQUENT words and ENDINGS endings, whatever the corpus."""
 
+    shape: Shape
     total: int  # training tokens
     types: int  # distinct training tokens
     words: np.ndarray  # hashes of frequent words, sorted
     first: np.ndarray  # where the words of each prefix begin; the last entry is their number
     counts: np.ndarray
-    head: np.ndarray  # their place among the HEAD most frequent, or -1
+    head: np.ndarray  # their place among the most frequent, or -1
     tail_class: np.ndarray  # of each hashed ending
     tail_log: np.ndarray  # log10 of a tail class's tokens + types + 1
     class_logits: np.ndarray
@@ -113,7 +151,7 @@ class Vocabulary:
 
     def kinds(self, tokens: np.ndarray, endings: np.ndarray, at: np.ndarray, known: np.ndarray) -> np.ndarray:
         head = np.where(known, self.head[at] if len(self.head) else -1, -1)
-        return np.where(head >= 0, head, HEAD + self.tail_class[endings])
+        return np.where(head >= 0, head, self.shape.head + self.tail_class[endings])
 
 
 def count_tokens(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -134,11 +172,13 @@ def count_tokens(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def make_vocabulary(counts: DataFrame) -> Vocabulary:
     total, types = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    shape = Shape.of(types)
+    side = shape.side
     # A share of at least 1/FREQUENT: FREQUENT words can have that, no more.
     frequent = sorted((r.h & (1 << 64) - 1, r.c, r.e) for r in counts.where(F.col("c") * FREQUENT >= total).collect())
     words = np.array([r[0] for r in frequent], np.uint64)
     held = np.array([r[1] for r in frequent], np.int64)
-    order = np.lexsort((words, -held))[:HEAD]
+    order = np.lexsort((words, -held))[: shape.head]
     head = np.full(len(words), -1, np.int64)
     head[order] = np.arange(len(order))
     tokens, kinds = np.zeros(ENDINGS, np.int64), np.zeros(ENDINGS, np.int64)
@@ -147,21 +187,21 @@ def make_vocabulary(counts: DataFrame) -> Vocabulary:
     for i in order:  # what is left of each ending without the head
         tokens[frequent[i][2]] -= held[i]
         kinds[frequent[i][2]] -= 1
-    own = TAIL_CLASSES * 3 // 4
-    tail_class = own + np.arange(ENDINGS) % (TAIL_CLASSES - own)
+    own = side * 3 // 4
+    tail_class = own + np.arange(ENDINGS) % (side - own)
     tail_class[np.argsort(-tokens, kind="stable")[:own]] = np.arange(own)
-    tail_tokens = np.bincount(tail_class, tokens, TAIL_CLASSES)
-    tail_log = np.log10(tail_tokens + np.bincount(tail_class, kinds, TAIL_CLASSES) + 1)
-    shares = np.zeros(HEAD)
+    tail_tokens = np.bincount(tail_class, tokens, side)
+    tail_log = np.log10(tail_tokens + np.bincount(tail_class, kinds, side) + 1)
+    shares = np.zeros(shape.head)
     shares[: len(order)] = held[order]
-    shares = shares.reshape(HEAD_CLASSES, CLASS_WORDS)
+    shares = shares.reshape(side, side)
     by_class = np.concatenate([shares.sum(axis=1), tail_tokens])
-    empty = np.concatenate([shares.sum(axis=1) == 0, np.zeros(TAIL_CLASSES, bool)])
+    empty = np.concatenate([shares.sum(axis=1) == 0, np.zeros(side, bool)])
     word_logits = np.where(shares > 0, np.log(np.maximum(shares, 1)), -40.0)
-    class_logits = np.where(empty, -40.0, np.log((by_class + 1) / (by_class.sum() + CLASSES)))
+    class_logits = np.where(empty, -40.0, np.log((by_class + 1) / (by_class.sum() + shape.classes)))
     prefixes = (words >> np.uint64(64 - LOOKUP)).astype(np.int64)
     first = np.searchsorted(prefixes, np.arange((1 << LOOKUP) + 1))
-    return Vocabulary(total, types, words, first, held, head, tail_class, tail_log, class_logits.astype(np.float32), word_logits.astype(np.float32))
+    return Vocabulary(shape, total, types, words, first, held, head, tail_class, tail_log, class_logits.astype(np.float32), word_logits.astype(np.float32))
 
 
 @dataclass
@@ -173,12 +213,13 @@ class Weights:
 
     @staticmethod
     def start(vocabulary: Vocabulary) -> Weights:
-        out = Weights(np.zeros((ROWS, CLASSES), np.float32), np.zeros((HEAD_CLASSES * KINDS, CLASS_WORDS), np.float32))
+        shape = vocabulary.shape
+        out = Weights(np.zeros((shape.rows, shape.classes), np.float32), np.zeros((shape.word_rows, shape.side), np.float32))
         out.classes[-1] = vocabulary.class_logits
         return out
 
 
-def features(kinds: np.ndarray, counts: np.ndarray) -> np.ndarray:
+def features(shape: Shape, kinds: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Rows of the weight table for each token: the tokens one, two and three before, the pair before.
 
     The bias, the table's last row, is added to all.
@@ -187,12 +228,12 @@ def features(kinds: np.ndarray, counts: np.ndarray) -> np.ndarray:
     place = np.arange(n) - np.repeat(np.cumsum(counts) - counts, counts)
     out = np.empty((n, 4), np.int64)
     for back in (1, 2, 3):
-        before = np.full(n, BEGIN, np.int64)
+        before = np.full(n, shape.kinds - 1, np.int64)
         before[back:] = kinds[:-back] if back < n else kinds[:0]
-        before[place < back] = BEGIN
-        out[:, back - 1] = (back - 1) * KINDS + before
-    pair = mix64((out[:, 0] * KINDS + out[:, 1] + 1).astype(np.uint64))
-    out[:, 3] = 3 * KINDS + (pair & np.uint64(PAIRS - 1)).astype(np.int64)
+        before[place < back] = shape.kinds - 1
+        out[:, back - 1] = (back - 1) * shape.kinds + before
+    pair = mix64((out[:, 0] * shape.kinds + out[:, 1] + 1).astype(np.uint64))
+    out[:, 3] = 3 * shape.kinds + (pair % np.uint64(shape.pairs)).astype(np.int64)
     return out
 
 
@@ -225,27 +266,30 @@ def _forward(weights: Weights, rows: np.ndarray) -> np.ndarray:
     return _softmax(x)
 
 
-def _word_rows(kinds: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of frequent words: which tokens they are, their class and token before, their place in the class."""
-    at = np.flatnonzero(kinds < HEAD)
-    group, place = np.divmod(kinds[at], CLASS_WORDS)
-    return at, group * KINDS + rows[at, 0], place
+def _word_rows(shape: Shape, kinds: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of frequent words: which tokens they are, their row of the word table, their class, their place in it."""
+    at = np.flatnonzero(kinds < shape.head)
+    group, place = np.divmod(kinds[at], shape.side)
+    where = group * shape.kinds + rows[at, 0]
+    if shape.word_rows < shape.side * shape.kinds:
+        where = (mix64(where.astype(np.uint64)) % np.uint64(shape.word_rows)).astype(np.int64)
+    return at, where, group, place
 
 
 def log_probabilities(weights: Weights, vocabulary: Vocabulary, kinds: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """log10 of each token's class and, for frequent words, of the word in it; else less the class's log size."""
-    every = features(kinds, counts)
+    shape = vocabulary.shape
+    every = features(shape, kinds, counts)
     out = np.empty(len(kinds))
     for a in range(0, len(kinds), BATCH):
         own, rows = kinds[a : a + BATCH], every[a : a + BATCH]
         p = _forward(weights, rows)
-        named = np.where(own < HEAD, own // CLASS_WORDS, own - HEAD + HEAD_CLASSES)
-        value = np.log10(np.maximum(p[np.arange(len(own)), named], 1e-30))
-        at, where, place = _word_rows(own, rows)
-        q = _softmax(weights.words[where] + vocabulary.word_logits[where // KINDS])
+        value = np.log10(np.maximum(p[np.arange(len(own)), shape.named(own)], 1e-30))
+        at, where, group, place = _word_rows(shape, own, rows)
+        q = _softmax(weights.words[where] + vocabulary.word_logits[group])
         value[at] += np.log10(np.maximum(q[np.arange(len(at)), place], 1e-30))
-        tail = own >= HEAD
-        value[tail] -= vocabulary.tail_log[own[tail] - HEAD]
+        tail = own >= shape.head
+        value[tail] -= vocabulary.tail_log[own[tail] - shape.head]
         out[a : a + BATCH] = value
     return out
 
@@ -260,7 +304,8 @@ class Trainer:
         self.seen = [np.zeros(len(x), np.int64) for x in (start.classes, start.words)]
 
     def _step(self, which: int, table: np.ndarray, rows: np.ndarray, grad: np.ndarray) -> None:
-        order = np.argsort(rows.astype(np.uint16), kind="stable")  # the tables have fewer than 65,536 rows
+        # Sixteen bits are sorted by radix; larger tables need more.
+        order = np.argsort(rows.astype(np.uint16 if len(table) <= 1 << 16 else np.int32), kind="stable")
         ranked = rows[order]
         cut = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
         row, lengths = ranked[cut], np.diff(np.append(cut, len(rows)))
@@ -271,16 +316,17 @@ class Trainer:
         self.seen[which][row] += lengths
 
     def learn(self, kinds: np.ndarray, counts: np.ndarray) -> None:
-        every = features(kinds, counts)
+        shape = self.vocabulary.shape
+        every = features(shape, kinds, counts)
         for a in range(0, len(kinds), BATCH):
             own, rows = kinds[a : a + BATCH], every[a : a + BATCH]
             grad = -_forward(self.weights, rows)
-            grad[np.arange(len(own)), np.where(own < HEAD, own // CLASS_WORDS, own - HEAD + HEAD_CLASSES)] += 1
+            grad[np.arange(len(own)), shape.named(own)] += 1
             for j in range(4):
                 self._step(0, self.weights.classes, rows[:, j], grad)
-            at, where, place = _word_rows(own, rows)
+            at, where, group, place = _word_rows(shape, own, rows)
             if len(at):
-                grad = -_softmax(self.weights.words[where] + self.vocabulary.word_logits[where // KINDS])
+                grad = -_softmax(self.weights.words[where] + self.vocabulary.word_logits[group])
                 grad[np.arange(len(at)), place] += 1
                 self._step(1, self.weights.words, where, grad)
 
@@ -295,6 +341,7 @@ def train_round(docs: DataFrame, vocabulary: Broadcast, weights: Weights, id_col
 
     spark = docs.sparkSession
     start = spark.sparkContext.broadcast(weights)
+    sizes = (weights.classes.shape, weights.words.shape)
 
     def learn(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = vocabulary.value
@@ -313,7 +360,7 @@ def train_round(docs: DataFrame, vocabulary: Broadcast, weights: Weights, id_col
                 yield pa.RecordBatch.from_arrays([pa.array(row * 2 + which), pa.array(trainer.seen[which][row]), pa.array(packed, pa.binary())], ["row", "n", "change"])
 
     def average(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = [np.zeros((ROWS, CLASSES), np.float32), np.zeros((HEAD_CLASSES * KINDS, CLASS_WORDS), np.float32)]
+        sums = [np.zeros(size, np.float32) for size in sizes]
         seen = [np.zeros(len(x), np.int64) for x in sums]
         for batch in batches:
             row, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()
@@ -382,7 +429,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 text = np.repeat(np.arange(b - a), n)
                 value = log_probabilities(learnt, known_words, kinds, n)
                 gain = np.where(known, logs[at] if len(logs) else 0.0, 0.0)
-                value += np.where(kinds >= HEAD, gain, 0.0)  # log10(c + 1); the others' come with the join
+                value += np.where(kinds >= known_words.shape.head, gain, 0.0)  # log10(c + 1); the others' come with the join
                 base = np.bincount(text, gain - scale, b - a)
                 rare = np.flatnonzero(~known)
                 pair = np.stack([text[rare].astype(np.uint64), tokens[rare]], axis=1)

@@ -195,6 +195,29 @@ def test_maxent_finds_every_frequent_word(spark):
     assert known.tolist() == [True] * 3 + [False] * 3 and at[:3].tolist() == [0, 1, 2]
 
 
+def test_maxent_grows_with_the_vocabulary(spark):
+    def made(n):
+        h = (F.xxhash64("id").bitwiseAND(F.lit((1 << 63) - 1))).alias("h")
+        return maxent.make_vocabulary(spark.range(n).select(h, F.lit(1).cast("long").alias("c"), F.lit(0).alias("e")))
+
+    few = made(2000)
+    assert (few.head >= 0).sum() == 1024 and few.shape.classes == 64  # 768 words and 48 classes are too few
+    small, large = maxent.Shape.of(10**5), maxent.Shape.of(10**7)
+    assert all(getattr(large, k) > getattr(small, k) for k in ("head", "classes", "kinds", "pairs", "word_rows"))
+    # The rows stay in the tables of a shape whose word rows are hashed, and learning fits what it sees.
+    shape = maxent.Shape(72)
+    assert shape.word_rows < shape.side * shape.kinds
+    side, head = shape.side, shape.head
+    v = maxent.Vocabulary(shape, 0, 0, *[np.zeros(0, np.int64)] * 5, np.zeros(side), np.zeros(2 * side, np.float32), np.zeros((side, side), np.float32))
+    kinds, counts = np.array([0, head - 1, head, head + side - 1] * 50), np.array([200])
+    assert 3 * shape.kinds <= maxent.features(shape, kinds, counts)[:, 3].min() and maxent.features(shape, kinds, counts).max() < shape.rows - 1
+    trainer = maxent.Trainer(maxent.Weights.start(v), v, 0.3)
+    before = maxent.log_probabilities(trainer.weights, v, kinds, counts).sum()
+    for _ in range(5):
+        trainer.learn(kinds, counts)
+    assert maxent.log_probabilities(trainer.weights, v, kinds, counts).sum() > before
+
+
 def test_mixing(spark, docs):
     rows = [(i, "x" * 40, "big" if i < 900 else "small") for i in range(1000)]
     frame = spark.createDataFrame(rows, SCHEMA)
