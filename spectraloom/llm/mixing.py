@@ -15,6 +15,8 @@ BROADCAST_SOURCES = 10_000
 #: Bits of a pass's permutation key that name the block, and the sub-block.
 BITS = 12
 GRID = 64
+#: Powers of two up to which the exponent is sought; what is then left of the entropy is of sources equal in size.
+HIGHEST = 40
 
 
 @dataclass(frozen=True)
@@ -44,6 +46,8 @@ def _at(shares: DataFrame, total: int, exponents: list[float]) -> list[tuple[flo
     p = F.col("_tokens") / F.lit(float(total))
     x = F.explode(F.array(*[F.lit(e) for e in exponents])).alias("x")
     parts = shares.where("_tokens > 0").select(x, F.log(p).alias("l"), p.alias("p"))
+    # Against the largest share, so that high exponents leave it at 1.
+    parts = parts.crossJoin(F.broadcast(parts.agg(F.max("l").alias("top")))).select("x", (F.col("l") - F.col("top")).alias("l"), "p")
     raised = F.exp(F.col("x") * F.col("l"))
     sums = parts.groupBy("x").agg(F.sum(raised).alias("s"), F.sum(raised * F.col("l")).alias("sl"), F.max(raised / F.col("p")).alias("r"))
     rows = sums.select("x", (F.log("s") - F.col("x") * F.col("sl") / F.col("s")).alias("h"), (F.col("r") / F.col("s")).alias("r")).collect()
@@ -51,25 +55,34 @@ def _at(shares: DataFrame, total: int, exponents: list[float]) -> list[tuple[flo
 
 
 def find_exponent(shares: DataFrame, total: int, budget: int | None, target_entropy: float | None, max_repeats: float | None, rounds: int = 4) -> tuple[float, float, float]:
-    """The least exponent in [0, 1] that meets both limits, with its entropy and repeats.
+    """The least exponent that meets both limits, with its entropy and repeats.
 
-    Entropy and the repeats of the smallest source both fall as the exponent rises, so
+    Entropy falls as the exponent rises, and so do the repeats of the smallest source up to 1, so
     every round keeps one step of a grid of GRID: a section into 64 instead of 2.
-    target_entropy: nats; weights are as flat as that and no flatter. max_repeats: how often a
-    document may be used at most. Where even shares in proportion (1) repeat more, 1 is taken.
-    Without a budget it is the least at which no source loses a document.
+    target_entropy: nats; weights are as flat as that and no flatter. Where shares in proportion
+    (1) are flatter, the exponent is above 1, and the largest source repeats most. max_repeats: how
+    often a document may be used at most. Without a target, 1 is taken where even that repeats more;
+    with one, limits that cannot both be met raise a ValueError. Without a budget it is the
+    least at which no source loses a document.
     """
 
+    def repeated(row) -> float:
+        x, _, r = row
+        return r * (budget / total) if budget else spread[x]
+
     def fits(row) -> bool:
-        x, h, r = row
-        repeats = r * (budget / total) if budget else None
-        if target_entropy is not None and h > target_entropy:
+        if target_entropy is not None and row[1] > target_entropy:
             return False
-        if max_repeats is not None:
-            return (repeats if budget else spread[x]) <= max_repeats
-        return True
-
-    low, high = 0.0, 1.0
+        return max_repeats is None or above or repeated(row) <= max_repeats
+
+    low, high, above = 0.0, 1.0, False
+    if target_entropy is not None:
+        doubled = _at(shares, total, [2.0**i for i in range(HIGHEST + 1)])
+        enough = next((x for x, h, _ in doubled if h <= target_entropy), None)
+        if enough is None:
+            raise ValueError(f"no exponent brings the sources' entropy to {target_entropy} nats: the largest, equal in size, leave {doubled[-1][1]:.6f}")
+        if enough > 1:  # repeats rise from here on: the least exponent that meets the entropy repeats least
+            low, high, above = enough / 2, enough, True
     best = None
     for _ in range(rounds):
         grid = [low + (high - low) * i / GRID for i in range(GRID + 1)]
@@ -80,13 +93,15 @@ def find_exponent(shares: DataFrame, total: int, budget: int | None, target_entr
         low, high = grid[max(0, found - 1)], grid[found]
         if found == 0:
             break
+    if target_entropy is not None and max_repeats is not None and repeated(best) > max_repeats * (1 + 1e-9):
+        raise ValueError(f"{target_entropy} nats and at most {max_repeats} repeats cannot both be met: exponent {best[0]:.6f} has {best[1]:.6f} nats and repeats a source {repeated(best):.6f} times")
     return best
 
 
 def _spread(shares: DataFrame, exponents: list[float]) -> dict[float, float]:
-    """Repeats of the smallest source when the largest is used once."""
+    """Repeats of the smallest source when the largest is used once; of the largest, the smallest used once, above 1."""
     ends = shares.where("_tokens > 0").agg(F.min("_tokens"), F.max("_tokens")).first()
-    return {e: (ends[1] / ends[0]) ** (1 - e) for e in exponents}
+    return {e: (ends[1] / ends[0]) ** abs(1 - e) for e in exponents}
 
 
 def plan_mix(docs: DataFrame, source_col: str, tokens: Column, budget: int | None, target_entropy: float | None, max_repeats: float | None) -> Plan:
@@ -94,13 +109,15 @@ def plan_mix(docs: DataFrame, source_col: str, tokens: Column, budget: int | Non
     counted = docs.groupBy(source_key(F.col(source_col)).alias("_key")).agg(F.sum(tokens).cast("long").alias("_tokens"))
     shares = written(counted, "shares")
     n, total, largest = shares.agg(F.count("*"), F.sum("_tokens"), F.max("_tokens")).first()
+    smallest = shares.where("_tokens > 0").agg(F.min("_tokens")).first()[0]
     if not total:
         zero = F.lit(0).cast("long")
         return Plan(1.0, 0.0, 0.0, 0, shares.select("_key", "_tokens", zero.alias("_quota"), zero.alias("_passes"), zero.alias("_rest")), n)
     x, entropy, _ = find_exponent(shares, total, budget, target_entropy, max_repeats)
-    raised = F.pow(F.col("_tokens") / F.lit(float(total)), F.lit(x))
+    raised = F.pow(F.col("_tokens") / F.lit(float(largest)), F.lit(x))
     scale = shares.where("_tokens > 0").agg(F.sum(raised)).first()[0]
-    whole = budget or round(largest / ((largest / total) ** x / scale))
+    once = largest if x <= 1 else smallest
+    whole = budget or round(once * scale / (once / largest) ** x)
     weight = F.when(F.col("_tokens") > 0, raised / F.lit(scale)).otherwise(0.0)
     # Half a token is added so that a quota of exactly one pass is not lost to rounding.
     quota = F.floor(weight * F.lit(float(whole)) + 0.5).cast("long")

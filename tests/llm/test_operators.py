@@ -234,3 +234,27 @@ def test_mixing(spark, docs):
     uses = Counter(r.doc_id for r in mixing.mix(docs).collect())
     assert set(uses) == {d[0] for d in DOCS} and max(uses.values()) <= 4 and uses[5] == 1
     assert mixing.mix(docs, max_repeats=1.0).count() == len(DOCS) and mixing.mix(docs.limit(0)).count() == 0
+
+
+def test_mixing_below_the_entropy_of_the_corpus(spark):
+    sizes = {"a": 260, "b": 250, "c": 240, "d": 250}
+    rows = [(i, "x" * 40, s) for i, s in enumerate(s for s, n in sizes.items() for _ in range(n))]
+    frame = spark.createDataFrame(rows, SCHEMA)
+
+    def entropy(x):
+        w = np.array(list(sizes.values())) ** x
+        return -(w / w.sum() * np.log(w / w.sum())).sum()
+
+    shares = frame.groupBy(mixing.source_key(F.col("source")).alias("_key")).agg(F.sum(mixing.default_tokens(F.col("text"))).alias("_tokens"))
+    x, h, _ = mixing.find_exponent(shares, 10_000, 10_000, 1.2, 4.0)
+    assert x > 1 and abs(entropy(x) - 1.2) < 1e-4 and abs(h - 1.2) < 1e-4
+    used = Counter(r.source for r in mixing.mix(frame, budget=10_000, target_entropy=1.2).collect())
+    want = np.array([260, 250, 240, 250]) ** x
+    assert all(abs(used[s] - 1000 * w) < 2 for s, w in zip("abcd", want / want.sum()))
+    # Without a budget every document is used; the largest source is the one that repeats.
+    uses = Counter(r.doc_id for r in mixing.mix(frame, target_entropy=1.38).collect())
+    assert len(uses) == 1000 and {uses[i] for i in range(510, 750)} == {1} and max(uses.values()) == max(uses[i] for i in range(260)) > 1
+    with pytest.raises(ValueError, match="cannot both be met"):
+        mixing.mix(frame, budget=10_000, target_entropy=0.3, max_repeats=2.0)
+    with pytest.raises(ValueError, match="equal in size"):
+        mixing.mix(frame.where("source IN ('b', 'd')"), budget=5000, target_entropy=0.6)
