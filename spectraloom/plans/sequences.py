@@ -98,6 +98,13 @@ def d22_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.components(c.join(s, "k").select("a", "b").distinct(), "a", "b")
 
 
+@query(None)
+def d22_components_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts and suppliers (ids below 0) that any line item links: whole tables, where `d22_components` has its SQL's few ids."""
+    l = table(spark, sf_dir, "lineitem")  # noqa: E741
+    return graph.components(l.select(F.col("l_partkey").alias("a"), (-F.col("l_suppkey")).alias("b")).distinct(), "a", "b")
+
+
 @query(None)
 def i03_isotope_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Isotope peaks of the averagine composition of each part's price as a mass."""

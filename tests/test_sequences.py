@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from spectraloom.functions import chemistry as C
 from spectraloom.functions import scalars as S
 from spectraloom.operators import graph, motifs
+from spectraloom.plans import registry
 
 
 def test_masses_and_compositions(spark):
@@ -111,3 +112,20 @@ def test_representatives(spark):
 
 def test_join_unique_orders_whole_numbers(spark):
     assert spark.createDataFrame([(["10", "9", "b", "1.5", "", "9"],)], "v array<string>").select(S.join_unique(F.col("v"))).first()[0] == "9;10;1.5;b"
+
+
+def test_components_of_whole_tables(spark, tmp_path):
+    links = [(p, p % 1000 // 10) for p in range(1, 3000, 7)] + [(5000, 2000), (5001, 2000), (5001, 2001)]  # far beyond 59 and 39 ids
+    spark.createDataFrame(links * 2, "l_partkey long, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for p, s in links:
+        a, b = find(p), find(-s)
+        root[max(a, b)] = min(a, b)
+    got = dict(map(tuple, registry.QUERIES["d22_components_whole"](spark, str(tmp_path)).collect()))
+    assert got == {x: find(x) for x in list(root)} and got[5000] == got[-2001] == -2001
