@@ -175,38 +175,78 @@ b AS (SELECT event_id AS box, user_id AS u, t - 3600 AS t0, t + 3600 AS t1, valu
 """
 
 
-def _boxes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Events as points, and boxes around every seventh of them."""
+#: The same with a box around every event.
+_ALL_BOXES = """
+WITH e AS (SELECT event_id, user_id, value, epoch_us(ts) / 1e6 AS t FROM events),
+b AS (SELECT event_id AS box, user_id AS u, t - 3600 AS t0, t + 3600 AS t1, value - 2 AS v0, value + 2 AS v1, value AS quality FROM e)
+"""
+
+
+def _boxes(spark: SparkSession, sf_dir: str, every: int = 7) -> tuple[DataFrame, DataFrame]:
+    """Events as points, and boxes around every seventh of them, or around all (1)."""
     e = table(spark, sf_dir, "events").select("event_id", "user_id", "value", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"))
     v, t = F.col("value"), F.col("t")
-    b = e.where("event_id % 7 = 0").select(F.col("event_id").alias("box"), F.col("user_id").alias("u"), (t - 3600).alias("t0"), (t + 3600).alias("t1"), (v - 2).alias("v0"), (v + 2).alias("v1"), v.alias("quality"))
+    b = (e if every == 1 else e.where(F.col("event_id") % every == 0)).select(F.col("event_id").alias("box"), F.col("user_id").alias("u"), (t - 3600).alias("t0"), (t + 3600).alias("t1"), (v - 2).alias("v0"), (v + 2).alias("v1"), v.alias("quality"))
     return e, b
 
 
-@query(_BOXES + "SELECT a.box AS l, b.box AS r FROM b a JOIN b ON a.u = b.u AND a.box < b.box AND a.t0 < b.t1 AND b.t0 < a.t1 AND a.v0 < b.v1 AND b.v0 < a.v1")
-def j26_box_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, b = _boxes(spark, sf_dir)
+_OVERLAP = "SELECT a.box AS l, b.box AS r FROM b a JOIN b ON a.u = b.u AND a.box < b.box AND a.t0 < b.t1 AND b.t0 < a.t1 AND a.v0 < b.v1 AND b.v0 < a.v1"
+
+
+def _overlap(b: DataFrame) -> DataFrame:
     a, c = b.toDF(*[f"l_{x}" for x in b.columns]), b.toDF(*[f"r_{x}" for x in b.columns])
     j = joins.overlap_join(a.withColumnRenamed("l_u", "u"), c.withColumnRenamed("r_u", "u"), "u", "l_t0", "l_t1", "r_t0", "r_t1", 7200.0)
     return j.where("l_box < r_box AND l_v0 < r_v1 AND r_v0 < l_v1").select(F.col("l_box").alias("l"), F.col("r_box").alias("r"))
 
 
-@query(_BOXES + """, j AS (SELECT event_id, box, row_number() OVER (PARTITION BY event_id ORDER BY quality DESC, box) AS n FROM e JOIN b ON user_id = u AND t BETWEEN t0 AND t1 AND value BETWEEN v0 AND v1)
-SELECT event_id, box FROM j WHERE n = 1""")
-def j27_point_in_box(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e, b = _boxes(spark, sf_dir)
+@query(_BOXES + _OVERLAP)
+def j26_box_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _overlap(_boxes(spark, sf_dir)[1])
+
+
+@query(_ALL_BOXES + _OVERLAP)
+def j26_box_overlap_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _overlap(_boxes(spark, sf_dir, 1)[1])
+
+
+_IN_BOX = """, j AS (SELECT event_id, box, row_number() OVER (PARTITION BY event_id ORDER BY quality DESC, box) AS n FROM e JOIN b ON user_id = u AND t BETWEEN t0 AND t1 AND value BETWEEN v0 AND v1)
+SELECT event_id, box FROM j WHERE n = 1"""
+
+
+def _in_box(e: DataFrame, b: DataFrame) -> DataFrame:
     return joins.points_in_boxes(e, b, "user_id", "u", ("t", "t0", "t1"), ("value", "v0", "v1"), 7200.0, ["event_id"], [F.desc("quality"), F.asc("box")]).select("event_id", "box")
 
 
-@query(_BOXES + """, j AS (SELECT event_id, min(CASE WHEN quality > 60 THEN 0 WHEN quality > 30 THEN 1 ELSE 2 END) AS c FROM e JOIN b ON user_id = u AND t BETWEEN t0 AND t1 AND value BETWEEN v0 AND v1 GROUP BY 1)
-SELECT event_id, CAST(coalesce(c, 3) AS INTEGER) AS class FROM e LEFT JOIN j USING (event_id)""")
-def a28_point_class(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e, b = _boxes(spark, sf_dir)
+@query(_BOXES + _IN_BOX)
+def j27_point_in_box(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _in_box(*_boxes(spark, sf_dir))
+
+
+@query(_ALL_BOXES + _IN_BOX)
+def j27_point_in_box_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _in_box(*_boxes(spark, sf_dir, 1))
+
+
+_CLASS = """, j AS (SELECT event_id, min(CASE WHEN quality > 60 THEN 0 WHEN quality > 30 THEN 1 ELSE 2 END) AS c FROM e JOIN b ON user_id = u AND t BETWEEN t0 AND t1 AND value BETWEEN v0 AND v1 GROUP BY 1)
+SELECT event_id, CAST(coalesce(c, 3) AS INTEGER) AS class FROM e LEFT JOIN j USING (event_id)"""
+
+
+def _class(e: DataFrame, b: DataFrame) -> DataFrame:
     c = F.when(F.col("quality") > 60, 0).when(F.col("quality") > 30, 1).otherwise(2)
     best = joins.points_in_boxes(e, b.withColumn("c", c), "user_id", "u", ("t", "t0", "t1"), ("value", "v0", "v1"), 7200.0, ["event_id"], [F.asc("c")]).select("event_id", "c")
     return e.join(best, "event_id", "left").select("event_id", F.coalesce("c", F.lit(3)).alias("class"))
 
 
+@query(_BOXES + _CLASS)
+def a28_point_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _class(*_boxes(spark, sf_dir))
+
+
+@query(_ALL_BOXES + _CLASS)
+def a28_point_class_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _class(*_boxes(spark, sf_dir, 1))
+
+
 @query("""
 SELECT o_orderkey, o_totalprice, o_orderpriority FROM orders WHERE o_totalprice BETWEEN 100000 AND 200000 AND o_orderstatus = 'O' AND o_custkey BETWEEN 10 AND 1000
 ORDER BY o_orderpriority, abs(o_totalprice - 150000), o_orderkey LIMIT 40""")
@@ -215,6 +255,15 @@ def j29_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.orderBy("o_orderpriority", F.abs(F.col("o_totalprice") - 150000), "o_orderkey").limit(40).select("o_orderkey", "o_totalprice", "o_orderpriority")
 
 
+@query("""
+SELECT o_orderkey, o_totalprice, o_orderpriority FROM orders WHERE o_totalprice BETWEEN 100000 AND 200000 AND o_orderstatus = 'O' AND o_orderdate >= TIMESTAMP '1997-01-01' AND o_orderdate < TIMESTAMP '1999-01-01'
+ORDER BY o_orderpriority, abs(o_totalprice - 150000), o_orderkey LIMIT 40""")
+def j29_candidates_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates of every customer, in a window of dates."""
+    o = table(spark, sf_dir, "orders").where("o_totalprice BETWEEN 100000 AND 200000 AND o_orderstatus = 'O' AND o_orderdate >= '1997-01-01' AND o_orderdate < '1999-01-01'")
+    return o.orderBy("o_orderpriority", F.abs(F.col("o_totalprice") - 150000), "o_orderkey").limit(40).select("o_orderkey", "o_totalprice", "o_orderpriority")
+
+
 @query("""
 WITH s AS (SELECT s_suppkey, s_acctbal / 10 + 1000 AS y, unnest(range(-1, 3)) AS k FROM supplier)
 SELECT DISTINCT s_suppkey, p_partkey FROM s JOIN part ON abs(p_retailprice - (y + k * 1.00335)) <= 0.2""")

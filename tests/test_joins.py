@@ -2,6 +2,7 @@ from pyspark.sql import functions as F
 
 from spectraloom.functions import scalars as S
 from spectraloom.operators import joins
+from spectraloom.plans import registry
 
 
 def test_band_join_bounds(spark):
@@ -33,3 +34,18 @@ def test_lists_and_sites(spark):
     row = spark.createDataFrame([("decoy_A;B, C", "AKPRKG", " ")], "a string, s string, n string")
     got = row.select(S.items(F.col("a")), S.is_decoy(F.col("a")), S.cleavage_sites(F.col("s")), S.to_double(F.col("n"))).first()
     assert tuple(got) == (["decoy_A", "B", "C"], True, [4, 5], None)
+
+
+def test_every_event_has_a_box(spark, tmp_path):
+    rows = [(i, 1 + i // 20, 10.0 * (i % 20), "2024-01-01 00:00:00") for i in range(1, 60)]
+    spark.createDataFrame(rows, "event_id long, user_id long, value double, ts string").withColumn("ts", F.col("ts").cast("timestamp")).write.parquet(f"{tmp_path}/events.parquet")
+    run = lambda name: {tuple(r) for r in registry.QUERIES[name](spark, str(tmp_path)).collect()}
+    assert run("j27_point_in_box_whole") == {(i, i) for i in range(1, 60)} and not run("j26_box_overlap_whole")
+    assert run("a28_point_class_whole") == {(i, 0 if v > 60 else 1 if v > 30 else 2) for i, _, v, _ in rows}
+
+
+def test_candidates_of_later_customers(spark, tmp_path):
+    rows = [(1, 5_000_000, "O", 150000.0, "1998-01-01", "1-URGENT"), (2, 10, "O", 150000.0, "2000-01-01", "1-URGENT")]
+    orders = spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate string, o_orderpriority string")
+    orders.withColumn("o_orderdate", F.col("o_orderdate").cast("timestamp")).write.parquet(f"{tmp_path}/orders.parquet")
+    assert [r.o_orderkey for r in registry.QUERIES["j29_candidates_whole"](spark, str(tmp_path)).collect()] == [1]
