@@ -61,7 +61,7 @@ def m05_motifs_6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(None)
 def m06_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups, members = motifs.representatives(_proteins(spark, sf_dir), None)
-    return motifs.postings(motifs.mine_all(motifs.windows(groups, 5, 8), 5, 8), members)
+    return motifs.postings(motifs.mine_all(motifs.windows(groups)), members)
 
 
 @query(f"""

@@ -129,3 +129,9 @@ def test_components_of_whole_tables(spark, tmp_path):
         root[max(a, b)] = min(a, b)
     got = dict(map(tuple, registry.QUERIES["d22_components_whole"](spark, str(tmp_path)).collect()))
     assert got == {x: find(x) for x in list(root)} and got[5000] == got[-2001] == -2001
+
+
+def test_postings_have_motifs_of_all_lengths(spark, tmp_path):
+    spark.createDataFrame([(1, "acdefghiklmn"), (2, "acdef")], "p_partkey long, p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    found = registry.QUERIES["m06_postings"](spark, str(tmp_path)).collect()
+    assert {len(r.motif_text) for r in found} == set(range(5, 13)) and {r.protein_id for r in found} == {1, 2}
