@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import math
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Lanes that every part adds to; lanes of which it adds to one: LEVELS groups of WIDTH.
-DENSE, LEVELS, WIDTH = 16, 8, 8
+#: The thinnest lanes take 2^-30 of the parts each: some stay as they are however many parts change in a row's text.
+DENSE, LEVELS, WIDTH = 16, 28, 8
 SPARSE = LEVELS * WIDTH
 LANE = 0xFFFFFFFF
 
@@ -21,12 +25,11 @@ def paragraphs(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), r"\n|(?<=[.!?])[ ]")
 
 
-def _lane(h: Column) -> Column:
-    """The sparse lane of a hash: level l with probability 2^-(l+1), so that long texts leave some levels thin."""
-    level = F.lit(LEVELS - 1)
-    for i in reversed(range(LEVELS - 1)):
-        level = F.when(h.bitwiseAND(F.lit(1 << i)) != 0, i).otherwise(level)
-    return level * WIDTH + F.shiftright(h, LEVELS).bitwiseAND(F.lit(WIDTH - 1)).cast("int")
+def _level(h: Column) -> Column:
+    """The level of a hash: l with probability 2^-(l+1), so that long texts leave some levels thin."""
+    # The zeros below the lowest bit that is set, the last level's bit at the latest.
+    low = h.bitwiseAND(F.lit((1 << LEVELS) - 1)).bitwiseOR(F.lit(1 << (LEVELS - 1)))
+    return F.bit_count(F.bitwise_not(low).bitwiseAND(low - 1))
 
 
 def lanes(text: Column) -> Column:
@@ -58,11 +61,13 @@ def _sums(parts: Column) -> Column:
         )
         pairs.append(both)
     hashed = F.transform(parts, lambda p: F.xxhash64(F.lit(1000), p))
-    placed = F.transform(hashed, lambda h: F.struct(_lane(h).alias("lane"), F.shiftrightunsigned(h, 32).alias("v")))
+    placed = F.transform(hashed, lambda h: F.struct(_level(h).alias("level"), F.shiftright(h, LEVELS).bitwiseAND(F.lit(WIDTH - 1)).alias("at"), F.shiftrightunsigned(h, 32).alias("v")))
+    # Lanes are kept by level, so that a part looks at LEVELS + WIDTH places.
     summed = F.aggregate(
         placed,
-        F.array_repeat(zero, SPARSE),
-        lambda a, x: F.transform(a, lambda v, i: F.when(i == x.lane, low(v + x.v)).otherwise(v)),
+        F.array_repeat(F.array_repeat(zero, WIDTH), LEVELS),
+        lambda a, x: F.transform(a, lambda row, l: F.when(l == x.level, F.transform(row, lambda v, i: F.when(i == x["at"], low(v + x.v)).otherwise(v))).otherwise(row)),
+        lambda a: F.flatten(a),
     )
     return F.concat(F.flatten(F.array(*pairs)), summed)
 
@@ -76,20 +81,42 @@ def to_hex(lanes_: Column) -> Column:
     return F.array_join(F.transform(lanes_, lambda v: F.lower(F.lpad(F.hex(v), 8, "0"))), "")
 
 
+@lru_cache(1)
+def _parts_of() -> tuple[float, ...]:
+    """For each number of sparse lanes left alone, the number of distinct parts that leave so many on average."""
+    rates = [2.0 ** -(min(level + 1, LEVELS - 1)) / WIDTH for level in range(LEVELS)]
+
+    def alone(parts: float) -> float:
+        return WIDTH * sum(math.exp(parts * math.log1p(-q)) for q in rates)
+
+    out = []
+    for n in range(SPARSE + 1):
+        low, high = 0.0, 2.0**40
+        for _ in range(100):
+            mid = (low + high) / 2
+            low, high = (mid, high) if alone(mid) > max(n, 0.5) else (low, mid)
+        out.append(low)
+    return tuple(out)
+
+
+def _parts(alone: Column) -> Column:
+    same = F.aggregate(alone, F.lit(0), lambda n, x: n + x.cast("int"))
+    return F.get(F.array(*[F.lit(x) for x in _parts_of()]), same)
+
+
 def likeness(a: Column, b: Column) -> Column:
-    """Of two arrays of lanes, 0 to 1: equal sparse lanes among those that either uses.
+    """Of two arrays of lanes, 0 to 1: 1 less the parts that differ over the parts of both.
 
-    A text that shares parts with another leaves the same sums in the lanes that only
-    shared parts fall in. Equal fingerprints give 1; so do two that use no lane.
+    Parts that differ leave as they are the lanes that they miss, parts leave at 0 those that they
+    miss; every level's lanes take a known share of the parts, so the number of lanes left
+    tells how many (distinct) parts there were, at any length: nearly exactly for a few,
+    within about 28 % (one deviation) for many. Texts that share half of their parts have about
+    0.5, unrelated ones about 0. Equal fingerprints give 1.
     """
-    sides = F.zip_with(F.slice(a, DENSE + 1, SPARSE), F.slice(b, DENSE + 1, SPARSE), lambda x, y: F.when((x == 0) & (y == 0), 0).when(x == y, 1).otherwise(-1))
-    counts = F.aggregate(
-        sides,
-        F.struct(F.lit(0).alias("same"), F.lit(0).alias("used")),
-        lambda n, x: F.struct((n.same + F.when(x == 1, 1).otherwise(0)).alias("same"), (n.used + F.abs(x)).alias("used")),
-        lambda n: F.when(n.used == 0, 1.0).otherwise(n.same / n.used),
-    )
-    return F.when(a == b, 1.0).otherwise(counts)
+    sparse = lambda v: F.slice(v, DENSE + 1, SPARSE)
+    differ = _parts(F.zip_with(sparse(a), sparse(b), lambda x, y: x == y))
+    both = _parts(F.transform(sparse(a), lambda x: x == 0)) + _parts(F.transform(sparse(b), lambda x: x == 0))
+    return F.when((a == b) | (both <= 0), 1.0).otherwise(F.greatest(F.lit(0.0), 1 - differ / both))
 
 
 def with_next(docs: DataFrame, id_col: str, text_col: str, derived: dict[str, Column], per_range: int = 512, most_ranges: int = 65_536) -> DataFrame:

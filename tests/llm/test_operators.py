@@ -258,3 +258,18 @@ def test_mixing_below_the_entropy_of_the_corpus(spark):
         mixing.mix(frame, budget=10_000, target_entropy=0.3, max_repeats=2.0)
     with pytest.raises(ValueError, match="equal in size"):
         mixing.mix(frame.where("source IN ('b', 'd')"), budget=5000, target_entropy=0.6)
+
+
+def test_likeness_at_every_length(spark):
+    rows = []
+    for n in (40, 1000, 10_000, 100_000):
+        a = [f"a{n} {i}" for i in range(n)]
+        other = [f"b{n} {i}" for i in range(n)]
+        rows.append((n, "\n".join(a), "\n".join(a[: n // 2] + other[: n // 2]), "\n".join(other)))
+    frame = spark.createDataFrame(rows, "n int, a string, half string, other string").select("n", *[multiset.lanes(F.col(c)).alias(c) for c in ("a", "half", "other")])
+    got = frame.select("n", multiset.likeness(F.col("a"), F.col("half")).alias("half"), multiset.likeness(F.col("a"), F.col("other")).alias("other"), multiset.likeness(F.col("a"), F.col("a")).alias("same")).collect()
+    for r in got:
+        assert 0.25 < r.half < 0.75 and r.other < 0.3 and r.same == 1, r
+    one = spark.createDataFrame([("a\nb\nc\nd", "a\nb\nc\ne")], "a string, b string").select(multiset.likeness(multiset.lanes(F.col("a")), multiset.lanes(F.col("b"))))
+    assert abs(one.first()[0] - 0.75) < 0.2
+    assert multiset._parts_of()[multiset.SPARSE] < 1e-6 and abs(multiset._parts_of()[multiset.SPARSE - 1] - 1) < 1e-6
