@@ -44,7 +44,7 @@ class Band:
 
 
 @lru_cache(None)
-def bands(percent: int, upto: int, skip: int = 0) -> tuple[Band, ...]:
+def bands(percent: int, upto: int, skip: int = 1) -> tuple[Band, ...]:
     """Equal-size bands [l, r], r = floor(l / similarity), up to one that holds `upto`, and the next.
 
     Sets of sizes up to r that link differ in at most k = 2 r (100 - percent) / (100 + percent)

@@ -88,6 +88,18 @@ def test_signatures_meet():
                     assert np.intersect1d(partenum.signatures(a, percent), partenum.signatures(b, percent)).size
 
 
+def test_large_bands_sign_subsets():
+    for percent in (90, 80):
+        large = [b for b in partenum.bands(percent, 2000) if b.largest > 40]
+        assert all(b.skip >= 1 and b.parts > b.skip for b in large)
+        # A shingle in each partition differs: whole partitions would not agree, subsets of their parts do.
+        band, rng = large[-1], np.random.default_rng(2)
+        a = np.unique(rng.integers(0, 1 << 63, 2000, dtype=np.uint64) << np.uint64(1))
+        place = ((a >> np.uint64(32)) * np.uint64(band.partitions)) >> np.uint64(32)
+        b = np.delete(a, np.unique(place, return_index=True)[1])
+        assert np.intersect1d(partenum.sign(a, band), partenum.sign(b, band)).size
+
+
 def test_components_of_texts(spark, docs):
     near = [(i, " ".join(f"v{(j * (1 if j != i * 7 else 31)) % 5000}" for j in range(400)), "z") for i in range(100, 140)]
     frame = docs.unionByName(spark.createDataFrame(near, SCHEMA))
