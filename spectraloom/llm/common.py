@@ -13,29 +13,65 @@ ASCII_SPACE = " \t\n\x0b\x0c\r"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
+#: Bytes of a batch of rows that goes to a Python worker; a longer row is a batch of its own.
+BATCH_BYTES = 4 << 20
+_BY_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see.
+    """The folder that the driver and all executors see: spark.checkpoint.dir of the session.
 
-    spark.checkpoint.dir of the session; where it is unset (single-machine tests),
-    a temporary folder that is then set as the checkpoint folder.
+    Where it is unset and everything runs on one machine (a local master, as in tests), a
+    temporary folder that is then set as the checkpoint folder. A cluster without the setting raises.
     """
     context = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not found:
+        if context.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors see")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="spectraloom-"))
         found = context.getCheckpointDir()
     return found.rstrip("/")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of the session hold BATCH_BYTES at most, unless it already has a bound below that.
+
+    The session's own bounds, 10,000 rows and 64 MB, are held by a worker several times over.
+    """
+    held = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(_BY_BYTES))
+    if held > BATCH_BYTES:
+        spark.conf.set(_BY_BYTES, str(BATCH_BYTES))
+
+
 def fresh_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
+def written(df: DataFrame, what: str, compression: str = "snappy") -> DataFrame:
     """The frame as a table in the shared folder: cuts the lineage and survives lost executors."""
-    path = fresh_path(df.sparkSession, what)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = fresh_path(spark, what)
+    df.write.option("compression", compression).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made._written = path
+    return made
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables that `written` made, once nothing reads them any more."""
+    for table in tables:
+        context = table.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(table._written)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def long_ids(docs: DataFrame, id_col: str) -> Column:
+    """The ids as longs; ids of a type that is not integral raise, as a cast would lose them."""
+    kind = docs.schema[id_col].dataType.typeName()
+    if kind not in ("byte", "short", "integer", "long", "void"):
+        raise ValueError(f"{id_col} must be integral, it is {kind}")
+    return F.col(f"`{id_col}`").cast("long")
 
 
 def ascii_lower(text: Column) -> Column:
@@ -48,3 +84,15 @@ def free_name(df: DataFrame, *names: str) -> None:
     missing = [n for n in names if n not in df.columns]
     if missing:
         raise ValueError(f"columns {missing} are not in {df.columns}")
+
+
+def own_names(df: DataFrame, *names: str) -> list[str]:
+    """For each name one that no column of the frame has, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out

@@ -7,9 +7,13 @@ endings; within those a word counts as often as it did in training, plus one, so
 unknown words have a share as well and every text a probability. Classes, their words and the
 hashed features grow with the number of distinct training words (`Shape`).
 
-Counts cover all training documents. Weights come from rounds of distributed gradient
-updates: each task starts from the common weights, goes over its documents once, and what
-tasks changed is averaged by feature.
+Counts cover all training documents. A word's probability within a class of frequent words has one
+feature, the token before, and is its counts', smoothed. Class weights start from each feature's own counts
+and are mended in rounds of distributed gradient updates: tasks sum what the features of their
+documents observe and what the common weights expect, the sums are added up, and one step is made
+from them. Sums do not depend on how documents are spread over tasks.
+
+Documents are tokenised once, into a table of slices: distinct hashes and each token's place among them.
 """
 
 from __future__ import annotations
@@ -19,16 +23,24 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark import Broadcast
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spectraloom.llm.common import written
+from spectraloom.llm.common import bounded_batches, long_ids, written
 from spectraloom.llm.words import groups, hash_words, mix64
 
 #: Classes of frequent words at least, and as many words in each and classes of other words.
 LEAST_SIDE = 32
 BATCH = 8192
+#: Tokens that a class's own share, and a word's within its class, weigh as much as where a feature's counts are smoothed.
+CLASS_PRIOR, WORD_PRIOR = 100.0, 5.0
+#: Features of a token overlap: what each says alone counts so much, and so much of a step is made.
+SHARE, RATE, STEP_PRIOR = 0.4, 0.4, 150.0
+#: Distinct words whose counts a task holds; tokens that a task sums over at least, in units of the model's numbers and in all.
+HELD_WORDS, TASK_SHARE, TASK_TOKENS = 2_000_000, 4, 8_000_000
+#: Rows of a table that travel together, and pairs of a slice and a rare word that are looked up together.
+BLOCK, LOOKED_UP = 512, 1 << 20
 #: Words that make up at least this share of the corpus go to every task: so many at most.
 FREQUENT = 1 << 18
 #: Stands for the end of a text among the words' hashes. No word has white space.
@@ -154,19 +166,88 @@ class Vocabulary:
         return np.where(head >= 0, head, self.shape.head + self.tail_class[endings])
 
 
-def count_tokens(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(h, c, e): hash, count and ending of every distinct token of the training documents."""
+@dataclass
+class Slice:
+    """About a megabyte of texts as tokens. words: distinct hashes in ascending order; places: of each token among them."""
+
+    held: np.ndarray
+    turn: np.ndarray
+    n: np.ndarray  # tokens of each text
+    words: np.ndarray
+    endings: np.ndarray  # of each distinct word
+    places: np.ndarray
+
+    @staticmethod
+    def rows(batch) -> Iterator[Slice]:
+        held, turn = batch.column("held").to_pylist(), batch.column("turn").to_pylist()
+        packed = [batch.column(c).to_pylist() for c in ("n", "words", "endings", "places")]
+        for i in range(batch.num_rows):
+            n, words, endings, places = (x[i] for x in packed)
+            words = np.frombuffer(words, np.uint64)
+            wide = np.uint16 if len(words) <= 1 << 16 else np.uint32
+            yield Slice(np.array(held[i], bool), np.array(turn[i], np.int64), np.frombuffer(n, np.uint32).astype(np.int64), words, np.frombuffer(endings, np.uint16).astype(np.int64), np.frombuffer(places, wide))
+
+    def kinds(self, vocabulary: Vocabulary) -> np.ndarray:
+        return vocabulary.kinds(self.words, self.endings, *vocabulary.find(self.words))[self.places]
+
+
+_SLICES = "slice long, ids array<long>, held array<boolean>, turn array<int>, n binary, words binary, endings binary, places binary"
+
+
+def tokenise(docs: DataFrame, rounds: int) -> DataFrame:
+    """The table of slices of (doc_id, text), written once; turn is the round a document's gradients belong to."""
     import pyarrow as pa
 
+    names = [x.split()[0] for x in _SLICES.split(", ")]
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 40
         for batch in batches:
-            texts = [(t or "").encode().lower() for t in batch.column(0).to_pylist()]
+            texts = [(t or "").encode().lower() for t in batch.column(3).to_pylist()]
+            made: list[tuple] = []
             for a, b in groups(texts):
-                tokens, endings, _ = tokens_of(texts[a:b])
-                h, first, c = np.unique(tokens, return_index=True, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c.astype(np.int64)), pa.array(endings[first].astype(np.int32))], ["h", "c", "e"])
+                tokens, endings, n = tokens_of(texts[a:b])
+                distinct, first, places = np.unique(tokens, return_index=True, return_inverse=True)
+                wide = np.uint16 if len(distinct) <= 1 << 16 else np.uint32
+                part = batch.slice(a, b - a)
+                made.append((number, *(part.column(i).to_pylist() for i in range(3)), *(x.tobytes() for x in (n.astype(np.uint32), distinct, endings[first].astype(np.uint16), places.astype(wide)))))
+                number += 1
+            if made:
+                types = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), *[pa.binary()] * 4]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*made), types, strict=True)], names)
+
+    turn = F.pmod(F.xxhash64("doc_id", "text"), F.lit(rounds)).cast("int")
+    marked = docs.select("doc_id", (~in_training("doc_id")).alias("held"), turn.alias("turn"), "text")
+    return written(marked.mapInArrow(run, _SLICES), "slices", "zstd")
+
+
+def count_tokens(slices: DataFrame) -> DataFrame:
+    """(h, c, e): hash, count and ending of every distinct token of the training documents."""
+    import pyarrow as pa
+
+    def summed(parts: list[np.ndarray]) -> np.ndarray:
+        h, first, at = np.unique(np.concatenate([p[0] for p in parts]), return_index=True, return_inverse=True)
+        c = np.bincount(at, np.concatenate([p[1] for p in parts]).astype(np.float64)).astype(np.uint64)
+        return np.stack([h, c, np.concatenate([p[2] for p in parts])[first]])
 
-    found = docs.where(in_training(id_col)).select(text_col).mapInArrow(run, "h long, c long, e int")
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made(rows: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(rows[0].view(np.int64)), pa.array(rows[1].astype(np.int64)), pa.array(rows[2].astype(np.int32))], ["h", "c", "e"])
+
+        held: list[np.ndarray] = []
+        for batch in batches:
+            for s in Slice.rows(batch):
+                c = np.bincount(s.places[np.repeat(~s.held, s.n)], minlength=len(s.words))
+                own = np.flatnonzero(c)
+                held.append(np.stack([s.words[own], c[own].astype(np.uint64), s.endings[own].astype(np.uint64)]))
+                if sum(p.shape[1] for p in held) > HELD_WORDS:
+                    held = [summed(held)]
+                    if held[0].shape[1] > HELD_WORDS // 2:
+                        yield made(held.pop())
+        if held:
+            yield made(summed(held))
+
+    found = slices.select("held", "turn", "n", "words", "endings", "places").mapInArrow(run, "h long, c long, e int")
     return written(found.groupBy("h").agg(F.sum("c").alias("c"), F.min("e").alias("e")), "counts")
 
 
@@ -245,25 +326,16 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _segment_sums(ranked: np.ndarray, cut: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Sums of the runs of rows that begin at cut: long runs each on its own, short ones a row at a time side by side."""
-    out = ranked[cut]
-    for i in np.flatnonzero(lengths > 16).tolist():
-        out[i] = np.einsum("ij->j", ranked[cut[i] : cut[i] + lengths[i]])
-    left, step = np.flatnonzero((lengths > 1) & (lengths <= 16)), 1
-    while len(left):
-        out[left] += ranked[cut[left] + step]
-        step += 1
-        left = left[lengths[left] > step]
-    return out
-
-
-def _forward(weights: Weights, rows: np.ndarray) -> np.ndarray:
+def _logits(weights: Weights, rows: np.ndarray) -> np.ndarray:
     x = np.take(weights.classes, rows[:, 0], axis=0)
     for j in (1, 2, 3):
         x += np.take(weights.classes, rows[:, j], axis=0)
     x += weights.classes[-1]
-    return _softmax(x)
+    return x
+
+
+def _forward(weights: Weights, rows: np.ndarray) -> np.ndarray:
+    return _softmax(_logits(weights, rows))
 
 
 def _word_rows(shape: Shape, kinds: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -283,8 +355,10 @@ def log_probabilities(weights: Weights, vocabulary: Vocabulary, kinds: np.ndarra
     out = np.empty(len(kinds))
     for a in range(0, len(kinds), BATCH):
         own, rows = kinds[a : a + BATCH], every[a : a + BATCH]
-        p = _forward(weights, rows)
-        value = np.log10(np.maximum(p[np.arange(len(own)), shape.named(own)], 1e-30))
+        x = _logits(weights, rows)
+        top = x.max(axis=1)
+        sums = np.einsum("ij->i", np.exp(x - top[:, None]))
+        value = np.maximum((x[np.arange(len(own)), shape.named(own)] - top - np.log(sums)) / math.log(10), -30.0)
         at, where, group, place = _word_rows(shape, own, rows)
         q = _softmax(weights.words[where] + vocabulary.word_logits[group])
         value[at] += np.log10(np.maximum(q[np.arange(len(at)), place], 1e-30))
@@ -294,184 +368,294 @@ def log_probabilities(weights: Weights, vocabulary: Vocabulary, kinds: np.ndarra
     return out
 
 
-class Trainer:
-    """A task's gradient updates: steps scaled by each weight's own history, summed by feature in batches."""
-
-    def __init__(self, start: Weights, vocabulary: Vocabulary, rate: float):
-        self.weights = Weights(start.classes.copy(), start.words.copy())
-        self.vocabulary, self.rate = vocabulary, rate
-        self.past = [np.full(x.shape, 1.0, np.float32) for x in (start.classes, start.words)]
-        self.seen = [np.zeros(len(x), np.int64) for x in (start.classes, start.words)]
-
-    def _step(self, which: int, table: np.ndarray, rows: np.ndarray, grad: np.ndarray) -> None:
-        # Sixteen bits are sorted by radix; larger tables need more.
-        order = np.argsort(rows.astype(np.uint16 if len(table) <= 1 << 16 else np.int32), kind="stable")
-        ranked = rows[order]
-        cut = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
-        row, lengths = ranked[cut], np.diff(np.append(cut, len(rows)))
-        total = _segment_sums(np.take(grad, order, axis=0), cut, lengths)
-        history = self.past[which][row] + total * total
-        self.past[which][row] = history
-        table[row] += self.rate * total / np.sqrt(history)
-        self.seen[which][row] += lengths
-
-    def learn(self, kinds: np.ndarray, counts: np.ndarray) -> None:
+def _segment_sums(ranked: np.ndarray, cut: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Sums of the runs of rows that begin at cut: long runs each on its own, short ones a row at a time side by side."""
+    out = ranked[cut]
+    for i in np.flatnonzero(lengths > 16).tolist():
+        out[i] = np.einsum("ij->j", ranked[cut[i] : cut[i] + lengths[i]])
+    left, step = np.flatnonzero((lengths > 1) & (lengths <= 16)), 1
+    while len(left):
+        out[left] += ranked[cut[left] + step]
+        step += 1
+        left = left[lengths[left] > step]
+    return out
+
+
+class Sums:
+    """A task's sums over the tokens it has seen: tables that are added up over tasks.
+
+    Of the first pass (no weights): how often each feature's tokens are of each class, and each (class,
+    token before) of each word. Of a round: the same of classes, and what the weights expect.
+    """
+
+    def __init__(self, vocabulary: Vocabulary, weights: Weights | None = None):
+        shape = vocabulary.shape
+        self.vocabulary, self.weights = vocabulary, weights
+        size = (shape.rows, shape.classes)
+        self.tables = [np.zeros(size, np.uint32), np.zeros((shape.word_rows, shape.side), np.uint32) if weights is None else np.zeros(size, np.float32)]
+
+    def add(self, kinds: np.ndarray, counts: np.ndarray) -> None:
         shape = self.vocabulary.shape
-        every = features(shape, kinds, counts)
+        every, named = features(shape, kinds, counts), shape.named(kinds)
+        observed = self.tables[0]
+        for j in range(4):
+            np.add.at(observed.reshape(-1), every[:, j] * shape.classes + named, np.uint32(1))
+        observed[-1] += np.bincount(named, minlength=shape.classes).astype(np.uint32)
+        if self.weights is None:
+            _, where, _, place = _word_rows(shape, kinds, every)
+            np.add.at(self.tables[1].reshape(-1), where * shape.side + place, np.uint32(1))
+            return
+        expected = self.tables[1]
         for a in range(0, len(kinds), BATCH):
-            own, rows = kinds[a : a + BATCH], every[a : a + BATCH]
-            grad = -_forward(self.weights, rows)
-            grad[np.arange(len(own)), shape.named(own)] += 1
+            rows = every[a : a + BATCH]
+            p = _forward(self.weights, rows)
+            expected[-1] += np.einsum("ij->j", p)
             for j in range(4):
-                self._step(0, self.weights.classes, rows[:, j], grad)
-            at, where, group, place = _word_rows(shape, own, rows)
-            if len(at):
-                grad = -_softmax(self.weights.words[where] + self.vocabulary.word_logits[group])
-                grad[np.arange(len(at)), place] += 1
-                self._step(1, self.weights.words, where, grad)
+                # Sixteen bits are sorted by radix; larger tables need more.
+                order = np.argsort(rows[:, j].astype(np.uint16 if shape.rows <= 1 << 16 else np.int32), kind="stable")
+                ranked = rows[order, j]
+                cut = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
+                expected[ranked[cut]] += _segment_sums(np.take(p, order, axis=0), cut, np.diff(np.append(cut, len(ranked))))
 
 
-def train_round(docs: DataFrame, vocabulary: Broadcast, weights: Weights, id_col: str, text_col: str, tasks: int, rate: float) -> Weights:
-    """Weights after every task went once over its share of the documents, averaged by feature.
+def start_weights(vocabulary: Vocabulary, observed: np.ndarray, words: np.ndarray) -> Weights:
+    """From the counts of the whole training corpus: a share of what each feature says alone of classes; a word's smoothed probability."""
+    out = Weights.start(vocabulary)
+    shape = vocabulary.shape
+    share = (observed[-1] + 1.0) / (observed[-1].sum() + shape.classes)
+    n = observed.sum(axis=1, keepdims=True, dtype=np.float64)
+    out.classes[:] = SHARE * np.log((observed + CLASS_PRIOR * share) / ((n + CLASS_PRIOR) * share))
+    out.classes[-1] = vocabulary.class_logits
+    own = np.exp(vocabulary.word_logits.astype(np.float64))
+    own /= own.sum(axis=1, keepdims=True)
+    # The class of each row; hashed rows may hold several and are smoothed towards even shares.
+    group = np.minimum(np.arange(shape.word_rows) // shape.kinds, shape.side - 1)
+    own = own[group] if shape.word_rows == shape.side * shape.kinds else np.full((1, shape.side), 1 / shape.side)
+    n = words.sum(axis=1, keepdims=True, dtype=np.float64)
+    out.words[:] = np.log((words + WORD_PRIOR * own) / ((n + WORD_PRIOR) * np.maximum(own, 1e-12)))
+    return out
+
+
+def stepped(weights: Weights, observed: np.ndarray, expected: np.ndarray, rate: float) -> Weights:
+    """Weights after a step along the gradient, observed less expected counts, on the scale of their logarithms."""
+    total = observed[-1].sum()
+    if not total:
+        return weights
+    prior = STEP_PRIOR * (observed[-1] + 1.0) / (total + len(observed[-1]))
+    change = rate * np.log((observed + prior) / (expected + prior))
+    change[-1] = 0.5 * np.log((observed[-1] + 1.0) / (expected[-1] + 1.0))
+    return Weights((weights.classes + change).astype(np.float32), weights.words)
+
+
+def summed_tables(slices: DataFrame, vocabulary: Broadcast, turn: int | None = None, weights: Weights | None = None) -> list[np.ndarray]:
+    """Sums.tables over all training documents, or those of a round.
 
-    A feature's row is averaged over the tasks that saw it, by how often; others keep theirs. What a
-    task returns, and what the driver gets, is bounded by the size of the table.
+    What tasks send on grows with the tables: a task sums TASK_SHARE times as many tokens as these have
+    numbers, and sends rows it touched. The driver gets one table of each, whose size the model bounds.
     """
     import pyarrow as pa
 
-    spark = docs.sparkSession
+    spark = slices.sparkSession
     start = spark.sparkContext.broadcast(weights)
-    sizes = (weights.classes.shape, weights.words.shape)
+    shape, total = vocabulary.value.shape, vocabulary.value.total
+    per_task = max(TASK_TOKENS, TASK_SHARE * shape.rows * shape.classes)
+    names = ["which", "block", "rows", "numbers"]
+
+    def sent(tables: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for which, table in enumerate(tables):
+            touched = np.flatnonzero(table.any(axis=1))
+            cuts = np.flatnonzero(np.diff(touched // BLOCK, prepend=-1))
+            for own in np.split(touched, cuts[1:]) if len(touched) else []:
+                row = [[which], [int(own[0]) // BLOCK], [own.astype(np.uint32).tobytes()], [table[own].tobytes()]]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names)
+
+    def taken(batches: Iterable[pa.RecordBatch], add) -> None:
+        for batch in batches:
+            for which, rows, numbers in zip(*(batch.column(c).to_pylist() for c in ("which", "rows", "numbers")), strict=True):
+                own = np.frombuffer(rows, np.uint32)
+                add(which, own, numbers)
 
-    def learn(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = vocabulary.value
-        trainer = None
+        sums = Sums(known, start.value)
         for batch in batches:
-            trainer = trainer or Trainer(start.value, known, rate)
-            texts = [(t or "").encode().lower() for t in batch.column(0).to_pylist()]
-            for a, b in groups(texts):
-                tokens, endings, counts = tokens_of(texts[a:b])
-                trainer.learn(known.kinds(tokens, endings, *known.find(tokens)), counts)
-        if trainer:
-            for which, (new, old) in enumerate(((trainer.weights.classes, start.value.classes), (trainer.weights.words, start.value.words))):
-                row = np.flatnonzero(trainer.seen[which])
-                change = (new[row] - old[row]).astype(np.float16)
-                packed = [x.tobytes() for x in change]
-                yield pa.RecordBatch.from_arrays([pa.array(row * 2 + which), pa.array(trainer.seen[which][row]), pa.array(packed, pa.binary())], ["row", "n", "change"])
-
-    def average(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = [np.zeros(size, np.float32) for size in sizes]
-        seen = [np.zeros(len(x), np.int64) for x in sums]
-        for batch in batches:
-            row, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            packed = batch.column(2).to_pylist()
-            for which in (0, 1):
-                own = np.flatnonzero(row % 2 == which)
-                if len(own):
-                    change = np.frombuffer(b"".join([packed[i] for i in own]), np.float16).reshape(len(own), -1)
-                    np.add.at(sums[which], row[own] // 2, change.astype(np.float32) * n[own][:, None])
-                    np.add.at(seen[which], row[own] // 2, n[own])
-        for which in (0, 1):
-            at = np.flatnonzero(seen[which])
-            if len(at):
-                mean = (sums[which][at] / seen[which][at][:, None]).astype(np.float32)
-                yield pa.RecordBatch.from_arrays([pa.array(at * 2 + which), pa.array([x.tobytes() for x in mean], pa.binary())], ["row", "change"])
-
-    changes = docs.where(in_training(id_col)).select(text_col).mapInArrow(learn, "row long, n long, change binary")
-    means = changes.repartition(tasks, "row").mapInArrow(average, "row long, change binary").toArrow()
-    out = Weights(weights.classes.copy(), weights.words.copy())
-    row, packed = means.column("row").to_numpy(), means.column("change").to_pylist()
-    for which, table in ((0, out.classes), (1, out.words)):
-        own = np.flatnonzero(row % 2 == which)
-        if len(own):
-            table[row[own] // 2] += np.frombuffer(b"".join([packed[i] for i in own]), np.float32).reshape(len(own), -1)
+            for s in Slice.rows(batch):
+                own = ~s.held if turn is None else ~s.held & (s.turn == turn)
+                if own.any():
+                    sums.add(s.kinds(known)[np.repeat(own, s.n)], s.n[own])
+        yield from sent(sums.tables)
+
+    kinds = [np.dtype(np.uint32), np.dtype(np.uint32 if weights is None else np.float32)]
+    wide = (shape.classes, shape.side if weights is None else shape.classes)
+
+    def total_of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sums of blocks; a task holds its own blocks of the tables."""
+        held: dict[tuple[int, int], np.ndarray] = {}
+
+        def add(which: int, own: np.ndarray, numbers: bytes) -> None:
+            block = held.setdefault((which, int(own[0]) // BLOCK), np.zeros((BLOCK, wide[which]), np.float64))
+            block[own % BLOCK] += np.frombuffer(numbers, kinds[which]).reshape(len(own), -1)
+
+        taken(batches, add)
+        for (which, at), block in held.items():
+            own = np.flatnonzero(block.any(axis=1))
+            row = [[which], [at], [(own + at * BLOCK).astype(np.uint32).tobytes()], [block[own].tobytes()]]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names)
+
+    schema = "which int, block int, rows binary, numbers binary"
+    parts = slices.select("held", "turn", "n", "words", "endings", "places").coalesce(max(2, -(-total // per_task))).mapInArrow(run, schema)
+    made = parts.repartition("which", "block").mapInArrow(total_of, schema).toArrow()
+    out = [np.zeros((shape.rows, shape.classes)), np.zeros((shape.word_rows if weights is None else shape.rows, wide[1]))]
+
+    def put(which: int, own: np.ndarray, numbers: bytes) -> None:
+        out[which][own] = np.frombuffer(numbers, np.float64).reshape(len(own), -1)
+
+    taken(made.to_batches(), put)
     start.unpersist()
     return out
 
 
-_PARTS = "doc_id long, held_out boolean, k long, h long, tf long, n_tokens long, n_known long, base double, score double"
+@dataclass
+class Model:
+    """A vocabulary, its counts (a table) and the weights learnt."""
 
+    vocabulary: Vocabulary
+    counts: DataFrame
+    weights: Weights
 
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 2, rate: float = 0.3) -> DataFrame:
+
+def train(slices: DataFrame, rounds: int, rate: float = RATE) -> Model:
+    spark = slices.sparkSession
+    counts = count_tokens(slices)
+    vocabulary = spark.sparkContext.broadcast(make_vocabulary(counts))
+    weights = start_weights(vocabulary.value, *summed_tables(slices, vocabulary))
+    for r in range(rounds):
+        weights = stepped(weights, *summed_tables(slices, vocabulary, r, weights), rate)
+    return Model(vocabulary.value, counts, weights)
+
+
+_ASKED = "bucket int, salt int, slice long, words binary, m binary, texts binary, tf binary"
+
+
+def _rare_pairs(slices: DataFrame, vocabulary: Broadcast, buckets: int, salts: int) -> DataFrame:
+    """Rows of a slice's words that are not frequent, dealt into buckets by hash; each word with the texts that hold it."""
+    import pyarrow as pa
+
+    types = [pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 4]
+    names = [x.split()[0] for x in _ASKED.split(", ")]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known_words = vocabulary.value
+        for batch in batches:
+            for number, s in zip(batch.column("slice").to_pylist(), Slice.rows(batch), strict=True):
+                _, known = known_words.find(s.words)
+                rare = np.flatnonzero(~known)
+                deal = (s.words[rare] >> np.uint64(20)).astype(np.int64) % buckets
+                rank = np.full(len(s.words), -1, np.int64)  # of rare words, by bucket
+                order = np.argsort(deal, kind="stable")
+                rank[rare[order]] = np.arange(len(rare))
+                at = rank[s.places]
+                held = np.flatnonzero(at >= 0)
+                text = np.repeat(np.arange(len(s.n)), s.n)[held]
+                pair, tf = np.unique(at[held] * len(s.n) + text, return_counts=True)
+                m = np.bincount(pair // len(s.n), minlength=len(rare))
+                ends = np.concatenate([[0], np.cumsum(m)])
+                cuts = np.searchsorted(deal[order], np.arange(buckets + 1))
+                rows = []
+                for b in np.flatnonzero(np.diff(cuts)).tolist():
+                    lo, hi = cuts[b], cuts[b + 1]
+                    own = slice(ends[lo], ends[hi])
+                    packed = (s.words[rare[order[lo:hi]]], m[lo:hi].astype(np.uint32), (pair[own] % len(s.n)).astype(np.uint32), tf[own].astype(np.uint32))
+                    rows.append((b, number % salts, number, *(x.tobytes() for x in packed)))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), types, strict=True)], names)
+
+    return slices.select("slice", "held", "turn", "n", "words", "endings", "places").mapInArrow(run, _ASKED)
+
+
+def _rare_sums(slices: DataFrame, vocabulary: Broadcast, counts: DataFrame) -> DataFrame:
+    """(slice, at, known, more): what words that are not frequent add to each text.
+
+    Buckets hold LOOKED_UP pairs of a slice and a word on average, whatever the corpus. A word that is not
+    frequent is at most in total / FREQUENT texts; more of these than a bucket should hold are salted.
+    """
+    import pyarrow as pa
+
+    total = vocabulary.value.total
+    pairs = slices.agg(F.coalesce(F.sum(F.octet_length("words")), F.lit(0))).first()[0] // 8
+    buckets, salts = max(16, pairs // LOOKED_UP), 1 + total // (FREQUENT * LOOKED_UP)
+    asked = _rare_pairs(slices, vocabulary, buckets, salts)
+    bucket = (F.shiftrightunsigned("h", 20) % buckets).cast("int").alias("bucket")
+    salt = F.explode(F.sequence(F.lit(0).cast("int"), F.lit(salts - 1).cast("int"))).alias("salt")
+    rare = counts.where(F.col("c") * FREQUENT < total).select(bucket, salt, "h", "c")
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        h = right.column("h").to_numpy().view(np.uint64)
+        order = np.argsort(h)
+        h, c = np.append(h[order], np.uint64(0)), np.append(right.column("c").to_numpy()[order], 0)
+        out: list[list[np.ndarray]] = [[], [], [], []]
+        for number, words, m, texts, tf in zip(*(left.column(x).to_pylist() for x in ("slice", "words", "m", "texts", "tf")), strict=True):
+            words = np.frombuffer(words, np.uint64)
+            at = np.searchsorted(h[:-1], words)
+            held = np.repeat(np.where(h[at] == words, c[at], 0), np.frombuffer(m, np.uint32))
+            texts, tf = np.frombuffer(texts, np.uint32), np.frombuffer(tf, np.uint32)
+            n = int(texts.max()) + 1
+            known, more = np.bincount(texts, tf * (held > 0), n), np.bincount(texts, tf * np.log10(held + 1.0), n)
+            own = np.flatnonzero(known)
+            for x, y in zip(out, (np.full(len(own), number), own, known[own].astype(np.int64), more[own]), strict=True):
+                x.append(y)
+        made = [np.concatenate(x) if x else np.zeros(0) for x in out]
+        return pa.table([pa.array(x, t) for x, t in zip(made, (pa.int64(), pa.int64(), pa.int64(), pa.float64()), strict=True)], ["slice", "at", "known", "more"])
+
+    return asked.groupBy("bucket", "salt").cogroup(rare.groupBy("bucket", "salt")).applyInArrow(run, "slice long, at long, known long, more double")
+
+
+_SCORED = "slice long, at long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double"
+
+
+def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 2, rate: float = RATE) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row.
 
-    Round r learns from the training documents whose hashed id falls to it, so all are used
-    once. Counts of words that are not frequent come by a join on the word's hash; each of them
-    is rare by definition, so no key is hot. Null texts are empty (one end token). Rows of
-    the same id and text are scored alike; a null id is in training. Without training
-    documents every token is unknown.
+    Counts and the start of the weights come from all training documents. Round r's gradients
+    come from those whose hashed id and text fall to it, so all are used once. Scores do not depend on
+    partitions, but for the rounding of sums. Counts of words that are not frequent are looked up by hash.
+
+    Null texts are empty (one end token). Every row has a result; rows of the same id and text are
+    scored alike; a null id is in training. Ids must be integral. Without training documents
+    every token is unknown. Other columns are not read. An empty table gives an empty one.
     """
     import pyarrow as pa
 
     spark = docs.sparkSession
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    counts = count_tokens(docs, "doc_id", "text")
-    vocabulary = spark.sparkContext.broadcast(make_vocabulary(counts))
-    total, types = vocabulary.value.total, vocabulary.value.types
-    weights = Weights.start(vocabulary.value)
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    for r in range(rounds):
-        share = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(rounds)) == r)
-        weights = train_round(share, vocabulary, weights, "doc_id", "text", min(tasks, 24), rate)
-    model = spark.sparkContext.broadcast(weights)
+    bounded_batches(spark)
+    slices = tokenise(docs.select(long_ids(docs, id_col).alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")), rounds)
+    learnt = train(slices, rounds, rate)
+    total, types = learnt.vocabulary.total, learnt.vocabulary.types
+    vocabulary, model = (spark.sparkContext.broadcast(x) for x in (learnt.vocabulary, learnt.weights))
     scale = float(np.log10(total + types + 1))
+    names = [x.split()[0] for x in _SCORED.split(", ")]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known_words, learnt = vocabulary.value, model.value
+        known_words, weights = vocabulary.value, model.value
         logs = np.log10(known_words.counts + 1.0)
         for batch in batches:
-            texts = [(t or "").encode().lower() for t in batch.column(3).to_pylist()]
-            ids, held, keys = batch.column(0), batch.column(1), batch.column(2)
-            for a, b in groups(texts):
-                tokens, endings, n = tokens_of(texts[a:b])
-                at, known = known_words.find(tokens)
-                kinds = known_words.kinds(tokens, endings, at, known)
-                text = np.repeat(np.arange(b - a), n)
-                value = log_probabilities(learnt, known_words, kinds, n)
-                gain = np.where(known, logs[at] if len(logs) else 0.0, 0.0)
-                value += np.where(kinds >= known_words.shape.head, gain, 0.0)  # log10(c + 1); the others' come with the join
-                base = np.bincount(text, gain - scale, b - a)
-                rare = np.flatnonzero(~known)
-                pair = np.stack([text[rare].astype(np.uint64), tokens[rare]], axis=1)
-                order = np.lexsort((pair[:, 1], pair[:, 0]))
-                pair = pair[order]
-                cut = np.flatnonzero(np.concatenate([[True], (pair[1:] != pair[:-1]).any(axis=1)])) if len(pair) else np.zeros(0, np.int64)
-                owner = pa.array(pair[cut, 0].astype(np.int64) + a)
-                tf = np.diff(np.append(cut, len(pair)))
-                # A row for the document itself, its key in place of a word's; then one for each rare word.
-                m = len(cut)
-                none, zero = np.zeros(m, np.int64), np.zeros(m)
-                own = [ids.slice(a, b - a), held.slice(a, b - a), keys.slice(a, b - a), keys.slice(a, b - a)]
-                own += [pa.array(x) for x in (np.zeros(b - a, np.int64), n.astype(np.int64), np.bincount(text, known, b - a).astype(np.int64), base, np.bincount(text, value, b - a))]
-                words = [ids.take(owner), held.take(owner), keys.take(owner), pa.array(pair[cut, 1].view(np.int64))]
-                words += [pa.array(x) for x in (tf.astype(np.int64), none, none, zero, zero)]
-                names = [x.split()[0] for x in _PARTS.split(", ")]
-                yield pa.RecordBatch.from_arrays(own, names)
-                if m:
-                    yield pa.RecordBatch.from_arrays(words, names)
-
-    marked = docs.select("doc_id", (~in_training("doc_id")).alias("held_out"), F.xxhash64("text", F.lit(8)).alias("k"), "text")
-    parts = marked.mapInArrow(run, _PARTS)
-    # Only rare words' counts are needed; frequent ones are with the tasks already.
-    rare = counts.where(F.col("c") * FREQUENT < total).select("h", "c")
-    both = parts.join(rare, "h", "left")
-    more = F.coalesce(F.col("tf") * F.log10(F.col("c") + 1.0), F.lit(0.0))
-    copies = F.sum(F.when(F.col("n_tokens") > 0, 1).otherwise(0))  # rows of the same id and text
-    rows = both.groupBy("doc_id", "held_out", "k").agg(
-        copies.alias("_copies"),
-        F.max("n_tokens").alias("n_tokens"),
-        F.sum(F.col("n_known") + F.when(F.col("c").isNotNull(), F.col("tf")).otherwise(0)).alias("n_known"),
-        F.sum(F.col("base") + more).alias("base"),
-        F.sum(F.col("score") + more).alias("score"),
-    )
-    each = F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))
-    return rows.select(
-        "doc_id",
-        "held_out",
-        "n_tokens",
-        (F.col("n_known") / F.col("_copies")).cast("long").alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base") / F.col("_copies")).alias("base_score"),
-        (F.col("score") / F.col("_copies")).alias("score"),
-        each.alias("_each"),
-    ).drop("_each")
+            for i, s in enumerate(Slice.rows(batch)):
+                found, known = known_words.find(s.words)
+                kinds = known_words.kinds(s.words, s.endings, found, known)[s.places]
+                gain = np.where(known, logs[found] if len(logs) else 0.0, 0.0)[s.places]
+                value = log_probabilities(weights, known_words, kinds, s.n)
+                value += np.where(kinds >= known_words.shape.head, gain, 0.0)  # log10(c + 1); rare words' come later
+                m = len(s.n)
+                text = np.repeat(np.arange(m), s.n)
+                sums = (np.bincount(text, x, m) for x in (known[s.places], gain - scale, value))
+                known_n, base, score = sums
+                columns = [np.full(m, batch.column("slice")[i].as_py()), np.arange(m), None, s.held, s.n, known_n.astype(np.int64), base, score]
+                columns[2] = batch.column("ids")[i].values
+                yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns], names)
+
+    scored = slices.mapInArrow(run, _SCORED)
+    rare = _rare_sums(slices, vocabulary, learnt.counts)
+    none = [F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("boolean").alias("held_out"), F.lit(None).cast("long").alias("n_tokens")]
+    both = scored.unionByName(rare.select("slice", "at", *none, "known", F.col("more").alias("base"), F.col("more").alias("score")))
+    rows = both.groupBy("slice", "at").agg(*[F.max(c).alias(c) for c in ("doc_id", "held_out", "n_tokens")], *[F.sum(c).alias(c) for c in ("known", "base", "score")])
+    return rows.select("doc_id", "held_out", "n_tokens", F.col("known").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")

@@ -223,11 +223,76 @@ def test_maxent_grows_with_the_vocabulary(spark):
     v = maxent.Vocabulary(shape, 0, 0, *[np.zeros(0, np.int64)] * 5, np.zeros(side), np.zeros(2 * side, np.float32), np.zeros((side, side), np.float32))
     kinds, counts = np.array([0, head - 1, head, head + side - 1] * 50), np.array([200])
     assert 3 * shape.kinds <= maxent.features(shape, kinds, counts)[:, 3].min() and maxent.features(shape, kinds, counts).max() < shape.rows - 1
-    trainer = maxent.Trainer(maxent.Weights.start(v), v, 0.3)
-    before = maxent.log_probabilities(trainer.weights, v, kinds, counts).sum()
+    start = weights = maxent.Weights.start(v)
+    before = maxent.log_probabilities(start, v, kinds, counts).sum()
     for _ in range(5):
-        trainer.learn(kinds, counts)
-    assert maxent.log_probabilities(trainer.weights, v, kinds, counts).sum() > before
+        sums = maxent.Sums(v, weights)
+        sums.add(kinds, counts)
+        weights = maxent.stepped(weights, *[x.astype(np.float64) for x in sums.tables], 0.3)
+    assert maxent.log_probabilities(weights, v, kinds, counts).sum() > before
+    sums = maxent.Sums(v)
+    sums.add(kinds, counts)
+    counted = maxent.start_weights(v, *sums.tables)
+    assert maxent.log_probabilities(counted, v, kinds, counts).sum() > before
+
+
+def _spoken(n=120):
+    rng = np.random.default_rng(5)
+    return [(i, " ".join(f"w{int(x)}" for x in rng.zipf(1.3, 60 + i) if x < 400) or None, "a") for i in range(n)]
+
+
+def test_maxent_scores_like_a_plain_walk(spark, docs):
+    """Every token's class and word probability, computed one by one from the model's tables."""
+    frame = spark.createDataFrame(_spoken(), SCHEMA).unionByName(docs)
+    rows = frame.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    model = maxent.train(maxent.tokenise(rows, 2), 2)
+    v, w = model.vocabulary, model.weights
+    shape = v.shape
+    counts = {r.h & (1 << 64) - 1: r.c for r in model.counts.collect()}
+
+    def kind(h, ending):
+        at = np.flatnonzero(v.words == h)
+        place = v.head[at[0]] if len(at) else -1
+        return int(place) if place >= 0 else shape.head + int(v.tail_class[ending])
+
+    def walk(text):
+        tokens, endings, _ = maxent.tokens_of([text.encode().lower()])
+        kinds, total = [kind(*x) for x in zip(tokens, endings)], 0.0
+        for i, k in enumerate(kinds):
+            before = [kinds[i - j] if i >= j else shape.kinds - 1 for j in (1, 2, 3)]
+            on = [j * shape.kinds + b for j, b in enumerate(before)]
+            pair = maxent.mix64(np.array([on[0] * shape.kinds + on[1] + 1], np.uint64))[0] % np.uint64(shape.pairs)
+            on += [3 * shape.kinds + int(pair), shape.rows - 1]
+            x = w.classes[on].astype(np.float64).sum(axis=0)
+            named = k // shape.side if k < shape.head else k - shape.head + shape.side
+            total += (x[named] - np.log(np.exp(x).sum())) / math.log(10)
+            if k < shape.head:
+                assert shape.word_rows == shape.side * shape.kinds
+                y = w.words[named * shape.kinds + before[0]].astype(np.float64) + v.word_logits[named]
+                total += (y[k % shape.side] - np.log(np.exp(y).sum())) / math.log(10)
+            else:
+                total += math.log10(counts.get(int(tokens[i]), 0) + 1) - v.tail_log[k - shape.head]
+        return total
+
+    got = sorted((r.doc_id is None, r.doc_id, r.score) for r in maxent.score_documents(frame).collect())
+    want = sorted((i is None, i, walk(t or "")) for i, t, *_ in [*_spoken(), *DOCS])
+    assert len(got) == len(want) and all(a[1] == b[1] and math.isclose(a[2], b[2], rel_tol=1e-4) for a, b in zip(got, want))
+
+
+def test_maxent_does_not_depend_on_partitions(spark):
+    frame = spark.createDataFrame(_spoken(), SCHEMA)
+    one, many = (sorted((r.doc_id, r.n_known, r.base_score, r.score) for r in maxent.score_documents(frame.repartition(n)).collect()) for n in (1, 16))
+    assert [x[:2] for x in one] == [x[:2] for x in many]
+    assert all(math.isclose(a, b, rel_tol=1e-6) for x, y in zip(one, many) for a, b in zip(x[2:], y[2:]))
+
+
+def test_maxent_learns_and_refuses_text_ids(spark):
+    rows = [(i, " ".join(["the cat sat on a mat", "a dog ran to the door"][(i + j) % 2] for j in range(30)), "a") for i in range(60)]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    held = maxent.score_documents(frame).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
+    assert held[0] > 0.8 * held[1]
+    with pytest.raises(ValueError, match="integral"):
+        maxent.score_documents(frame.withColumn("doc_id", F.col("doc_id").cast("string")))
 
 
 def test_mixing(spark, docs):
