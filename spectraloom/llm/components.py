@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spectraloom.llm.common import written
+from spectraloom.llm.common import dropped, written
 
 
 def connected_components(edges: DataFrame, rounds: int = 40) -> DataFrame:
@@ -19,17 +19,20 @@ def connected_components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     state = _state(now)
     for _ in range(rounds):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        low = _down(large)
-        floor = low.groupBy("a").agg(F.min("b").alias("m"))
+        # Minima by node are written, so that the join of a node with very many edges can be split.
+        least = written(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
+        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        low = written(_down(large), "low")
+        floor = written(low.groupBy("a").agg(F.min("b").alias("m")), "floor")
         small = low.join(floor, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(floor.select("a", F.col("m").alias("b")))
+        before, past = state, now
         now = written(_down(small), "edges")
-        before, state = state, _state(now)
+        dropped(past, least, low, floor)
+        state = _state(now)
         if state == before:
             # Every edge now leads to the smallest node of its component.
             found = now.select(F.col("a").alias("id"), F.col("b").alias("component"))
-            return found.unionByName(now.select(F.col("b").alias("id"), F.col("b").alias("component"))).distinct()
+            return found.unionByName(now.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 

@@ -100,6 +100,70 @@ def test_large_bands_sign_subsets():
         assert np.intersect1d(partenum.sign(a, band), partenum.sign(b, band)).size
 
 
+def test_unlike_sets_share_no_signature():
+    """Subsets of parts that hold no shingle sign alike: they are replaced, so that unlike sets do not meet there."""
+    rng = np.random.default_rng(3)
+    for percent in (90, 80):
+        for n in (12, 30, 60):
+            seen = Counter()
+            for _ in range(1000):
+                shingles = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64) << np.uint64(1))
+                seen.update(set(partenum.signatures(shingles, percent).tolist()))
+            assert max(seen.values()) <= 5
+
+
+@pytest.mark.parametrize("k, percent", [(3, 90), (5, 80)])
+def test_components_like_brute_force(spark, k, percent):
+    """Every pair compared: copies, near copies in chains, short and empty texts, one large group of near copies."""
+    rng = np.random.default_rng(k)
+
+    def text(n):
+        return [f"t{x}" for x in rng.integers(0, 10**6, n)]
+
+    made = []
+    for n in [0, 1, 2, 4, 7, 12, 20, 33, 60, 150, 400]:
+        for _ in range(3):
+            base = text(n)
+            made += [base, list(base)]
+            for _ in range(4):  # each a step further from the first
+                base = list(base)
+                for _ in range(max(1, n // 70)):
+                    if base:
+                        base[rng.integers(0, len(base))] = f"n{rng.integers(0, 10**6)}"
+                made.append(base)
+    large = text(200)
+    made += [[*large[:i], f"one{i}", *large[i + 1 :]] for i in range(0, 200, 2)]
+    order = rng.permutation(len(made))
+    texts = [" ".join(made[i]) for i in order]
+    frame = spark.createDataFrame([(int(i) * 7, t or None, "a") for i, t in enumerate(texts)], SCHEMA)
+    sets = [{tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if (w := t.split()) else set() for t in texts]
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(sets)):
+        for j in range(i):
+            if sets[i] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in partenum.similarity_components(frame, k, percent).collect()}
+    assert got == {i * 7: (len(s), find(i) * 7) for i, s in enumerate(sets)}
+    with pytest.raises(ValueError, match="integral"):
+        partenum.similarity_components(frame.withColumn("doc_id", F.col("doc_id").cast("string")))
+
+
+def test_common_signatures_are_summed_up_before_they_are_dealt(spark):
+    """A signature that all documents share: a task sends one row of it by its own key, the others spread."""
+    shared = " ".join(f"c{i}" for i in range(300))
+    frame = spark.createDataFrame([(i, shared + f" u{i}") for i in range(2000)], "doc_id long, text string").coalesce(2)
+    rows = partenum.signed_rows(frame, 5, 80)
+    assert rows.groupBy("deal").count().agg(F.max("count")).first()[0] <= 2
+    assert rows.groupBy(F.coalesce(F.get("met", F.lit(0)), "deal")).count().agg(F.max("count")).first()[0] > 1500
+
+
 def test_components_of_texts(spark, docs):
     near = [(i, " ".join(f"v{(j * (1 if j != i * 7 else 31)) % 5000}" for j in range(400)), "z") for i in range(100, 140)]
     frame = docs.unionByName(spark.createDataFrame(near, SCHEMA))
