@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -44,8 +45,14 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(_BY_BYTES, str(BATCH_BYTES))
 
 
+#: What `fresh_path` gave out and nothing has deleted yet, by session.
+_made: dict[str, SparkSession] = {}
+
+
 def fresh_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    _made[path] = spark
+    return path
 
 
 def written(df: DataFrame, what: str, compression: str = "snappy") -> DataFrame:
@@ -58,12 +65,28 @@ def written(df: DataFrame, what: str, compression: str = "snappy") -> DataFrame:
     return made
 
 
+def _delete(path: str) -> None:
+    context = _made.pop(path).sparkContext
+    if context._jsc is not None:  # else it was stopped
+        there = context._jvm.org.apache.hadoop.fs.Path(path)
+        there.getFileSystem(context._jsc.hadoopConfiguration()).delete(there, True)
+
+
 def dropped(*tables: DataFrame) -> None:
     """Deletes tables that `written` made, once nothing reads them any more."""
     for table in tables:
-        context = table.sparkSession.sparkContext
-        path = context._jvm.org.apache.hadoop.fs.Path(table._written)
-        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(table._written)
+
+
+@atexit.register
+def release(spark: SparkSession | None = None) -> None:
+    """Deletes what the operators left in the shared folder for their results, of a session or of all; those can no longer be read.
+
+    Called at the end of the driver, too.
+    """
+    for path, made_by in list(_made.items()):
+        if spark is None or spark is made_by:
+            _delete(path)
 
 
 def long_ids(docs: DataFrame, id_col: str) -> Column:

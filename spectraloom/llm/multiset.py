@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from spectraloom.llm.common import long_ids
+
 #: Lanes that every part adds to; lanes of which it adds to one: LEVELS groups of WIDTH.
 #: The thinnest lanes take 2^-30 of the parts each: some stay as they are however many parts change in a row's text.
 DENSE, LEVELS, WIDTH = 16, 28, 8
@@ -119,20 +121,39 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when((a == b) | (both <= 0), 1.0).otherwise(F.greatest(F.lit(0.0), 1 - differ / both))
 
 
+def _range_of(ids: Column, bounds: list[int]) -> Column:
+    """How many of the ascending bounds are at most the id: a binary search; -1 for a null id.
+
+    The bounds are one folded literal, looked into once for each power of two.
+    """
+    if not bounds:
+        return F.when(ids.isNull(), -1).otherwise(0).cast("long")
+    held = F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<bigint>")
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(len(bounds).bit_length()))])
+    found = F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(held, at + step - 1) <= ids, at + step).otherwise(at))
+    return F.when(ids.isNull(), -1).otherwise(found).cast("long")
+
+
 def with_next(docs: DataFrame, id_col: str, text_col: str, derived: dict[str, Column], per_range: int = 512, most_ranges: int = 65_536) -> DataFrame:
     """(id, text, derived columns) with `next_<c>` of the row after it by (id, text); the last gets the first.
 
-    Ids are cut into ranges of about `per_range` rows, `most_ranges` of them at most, by the
-    least, the greatest and the number of ids. A window looks ahead inside a range; the first
+    Ids are cut into ranges of about `per_range` rows, `most_ranges` of them at most, at quantiles of the
+    ids, however these are spread. A window looks ahead inside a range; the first
     row of each range is copied to the range before it, so no task needs more than its own.
-    The list of ranges is broadcast: `most_ranges` bounds it. A null id stands before all others.
+    The list of ranges is broadcast: `most_ranges` bounds it. Rows that share an id are of one range. A null id
+    stands before all others. Ids must be integral. Columns other than the two are not read.
     """
-    low, high, n = docs.agg(F.min(id_col), F.max(id_col), F.count(id_col)).first()
-    low, high = low or 0, high or 0
-    width = max(1, (high - low + 1) // max(1, min(most_ranges, n // per_range)))
-    place = F.coalesce(F.floor((F.col("_id") - F.lit(low)) / F.lit(width)).cast("long"), F.lit(-1).cast("long"))
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).withColumn("_range", place)
-    firsts = docs.select(F.col(id_col).alias("_id")).withColumn("_range", place).groupBy("_range").agg(F.min("_id").alias("_first"))
+    ids = long_ids(docs, id_col)
+    plain = docs.select(ids.alias("_id"), F.col(f"`{text_col}`").alias("_text"))
+    n = plain.agg(F.count("_id")).first()[0]
+    count = max(1, min(most_ranges, n // per_range))
+    bounds = []
+    if count > 1:
+        cuts = [i / count for i in range(1, count)]
+        bounds = sorted(set(plain.agg(F.percentile_approx("_id", cuts, 4 * count)).first()[0]))
+    place = _range_of(F.col("_id"), bounds)
+    rows = plain.withColumn("_range", place)
+    firsts = plain.select("_id").withColumn("_range", place).groupBy("_range").agg(F.min("_id").alias("_first"))
     order = W.orderBy("_range")
     links = firsts.select("_range", "_first", F.lag("_range").over(order).alias("_before"), F.max("_range").over(order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)).alias("_last"))
     links = links.select(F.col("_range").alias("_of"), "_first", F.coalesce("_before", "_last").alias("_to"))
@@ -158,7 +179,7 @@ def edited_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     document's first, or all of them. A table of one document is its own successor; an empty
     table gives an empty one; repeated rows stay and follow one another.
     """
-    whole = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias(text_col))
+    whole = docs.select(F.col(f"`{id_col}`"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias(text_col))
     rows = with_next(whole, id_col, text_col, {"_lanes": lanes(F.col("_text"))})
     n = F.length(text_col)
     half = F.floor(n / 2).cast("int")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import io
 import zlib
@@ -13,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spectraloom.llm.common import fresh_path
+from spectraloom.llm.common import bounded_batches, fresh_path, written
 
 #: Fixed values of the format.
 VERSION = b"WARC/1.1"
@@ -22,6 +23,8 @@ EMPTY_DIGEST = hashlib.sha256(b"").hexdigest()
 CHUNK = 1 << 16
 #: An archive is closed once it holds so many compressed bytes.
 ARCHIVE_BYTES = 16 << 20
+#: Revisits up to which their list is broadcast: some 30 MB.
+BROADCAST_ROWS = 200_000
 URN = "urn:x-page:"
 MANIFEST = "path string, n_records long, n_bytes long"
 
@@ -117,10 +120,11 @@ def _headers(lines: Iterable[bytes]) -> dict[str, str]:
     return out
 
 
-def read_records(stream) -> Iterator[Record]:
+def read_records(stream, unverified: bool = False) -> Iterator[Record]:
     """The records of an archive, framed by content-length, their digests verified.
 
-    At most one record is held. Wrong framing or a wrong digest raises WarcError.
+    At most one record is held. Wrong framing or a wrong digest raises WarcError; so does a record
+    without a block digest, or one that carries its payload without the payload's, unless `unverified`.
     """
     for member in _members(stream):
         data = bytearray()
@@ -133,6 +137,8 @@ def read_records(stream) -> Iterator[Record]:
         if not first.startswith(b"WARC/"):
             raise WarcError(f"no version line but {first[:20]!r}")
         headers = _headers(lines)
+        if not headers.get("content-length", "").isdigit():
+            raise WarcError("a record without a content-length")
         length = int(headers["content-length"])
         body = data[end + 4 :]
         for part in member:
@@ -140,20 +146,27 @@ def read_records(stream) -> Iterator[Record]:
         if len(body) != length + 4 or body[length:] != b"\r\n\r\n":
             raise WarcError(f"content-length {length} in a body of {len(body)} bytes")
         record = Record(headers, bytes(body[:length]))
-        _verify(headers.get("warc-block-digest"), record.block)
+        _verify(headers.get("warc-block-digest"), record.block, unverified)
         if headers.get("content-type", "").startswith("application/http"):
             top, found, record.payload = record.block.partition(b"\r\n\r\n")
             if not found:
                 raise WarcError("an HTTP block without the end of its headers")
             record.http = _headers(top.split(b"\r\n")[1:])
-        if headers.get("warc-type") != "revisit":
-            _verify(headers.get("warc-payload-digest"), record.payload)
+            if headers.get("warc-type") != "revisit":
+                _verify(headers.get("warc-payload-digest"), record.payload, unverified)
         yield record
 
 
-def _verify(given: str | None, data: bytes) -> None:
+def _verify(given: str | None, data: bytes, unverified: bool) -> None:
+    """Digests in hexadecimal or, as is usual for SHA-1, base 32."""
     name, _, value = (given or "").partition(":")
-    if name == "sha256" and hashlib.sha256(data).hexdigest() != value:
+    name = name.lower().replace("-", "")
+    if name not in ("sha1", "sha256", "md5"):
+        if unverified:
+            return
+        raise WarcError(f"a record without a digest that can be verified: {given}")
+    found = hashlib.new(name, data).digest()
+    if value.lower() != found.hex() and value.rstrip("=") != base64.b32encode(found).decode().rstrip("="):
         raise WarcError("a digest differs from what was read")
 
 
@@ -161,22 +174,24 @@ def plan_records(pages: DataFrame, min_bytes: int = 100) -> DataFrame:
     """(page_id, url, payload, payload_digest, refers_to) of each page.
 
     Of payloads that are equal and have `min_bytes`, the smallest page_id is written
-    whole, others refer to it. Only (digest, page_id) is summed, on the map side; a very
-    common payload is spread by the skew join. A null html is an empty payload. Rows of the
+    whole, others refer to it. A null html is an empty payload. Rows of the
     same page and payload are all written whole where that page is the smallest; pages
-    without an id are never referred to.
+    without an id are never referred to. Columns other than page_id, url and html are not read.
+
+    That is decided from ids, digests and lengths alone. The first page of each repeated payload is
+    summed on the map side and written, so that Spark may split the join with a very common payload.
+    Payloads go to the list of revisits only where that is longer than BROADCAST_ROWS, and then by page.
     """
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("payload"))
     rows = rows.withColumn("payload_digest", F.sha2("payload", 256))
-    held = (
-        rows.where(F.octet_length("payload") >= min_bytes)
-        .groupBy("payload_digest")
-        .agg(F.min("page_id").alias("_first"), F.count("*").alias("_n"))
-        .where("_n > 1 AND _first IS NOT NULL")
-        .select("payload_digest", "_first")
-    )
-    refers = F.when(F.col("_first") != F.coalesce("page_id", F.lit(None)), F.col("_first")).when(F.col("page_id").isNull(), F.col("_first"))
-    return rows.join(held, "payload_digest", "left").select("page_id", "url", "payload", "payload_digest", refers.alias("refers_to"))
+    keys = rows.where(F.octet_length("payload") >= min_bytes).select("page_id", "payload_digest")
+    held = keys.groupBy("payload_digest").agg(F.min("page_id").alias("_first"), F.count("*").alias("_n")).where("_n > 1 AND _first IS NOT NULL")
+    held = written(held.select("payload_digest", "_first"), "repeated")
+    again = keys.join(held, "payload_digest").where("page_id IS NULL OR page_id <> _first").distinct()
+    again = written(again.select(F.col("page_id").alias("_page"), F.col("payload_digest").alias("_digest"), "_first"), "revisits")
+    near = F.broadcast(again) if again.count() <= BROADCAST_ROWS else again
+    found = rows.join(near, rows["page_id"].eqNullSafe(F.col("_page")) & (F.col("payload_digest") == F.col("_digest")), "left")
+    return found.select("page_id", "url", "payload", "payload_digest", F.col("_first").alias("refers_to"))
 
 
 def write_archives(records: DataFrame, folder: str, date: str = "2024-01-01T00:00:00Z", level: int = 6, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
@@ -208,6 +223,7 @@ def write_archives(records: DataFrame, folder: str, date: str = "2024-01-01T00:0
         yield pd.DataFrame(made, columns=["path", "n_records", "n_bytes"])
 
     spark = records.sparkSession
+    bounded_batches(spark)
     exact = records.withColumns({"page_id": F.col("page_id").cast("decimal(20,0)"), "refers_to": F.col("refers_to").cast("decimal(20,0)")})
     exact.mapInPandas(write, MANIFEST).write.parquet(f"{folder}/manifest")
     return spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")

@@ -32,6 +32,48 @@ def test_lines(spark, docs):
     assert lines.dedup_lines(docs.limit(0)).count() == 0
 
 
+SPLIT = {
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "2k",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k",
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+}
+
+
+@pytest.fixture
+def splitting(spark):
+    """A session in which a join splits even small partitions that stand out."""
+    before = {k: spark.conf.get(k, None) for k in SPLIT}
+    for k, v in SPLIT.items():
+        spark.conf.set(k, v)
+    yield spark
+    for k, v in before.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def _ran(df):
+    """The plan that ran, after its rows came."""
+    rows = df.collect()
+    return rows, df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_common_line_is_split(splitting):
+    """Each document holds one very common line: the join with it is dealt to several tasks."""
+    rows = [(i, f"the one very common line\nown line number {i} {j}") for i in range(20_000) for j in (1,)]
+    frame = splitting.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    got, plan = _ran(lines.dedup_lines(frame))
+    assert "skew=true" in plan
+    assert sum(r.n_dropped for r in got) == len(rows) - 1 and {r.doc_id: r.text for r in got}[7] == "own line number 7 1"
+
+
+def test_lines_keeps_clashing_columns(spark):
+    names = ["_id", "_row", "_lines", "_drop", "_in", "_pos", "_h1", "_first", "_x"]
+    frame = spark.createDataFrame([(1, "shared line of text"), (2, "shared line of text\nx")], "doc_id long, text string")
+    got = lines.dedup_lines(frame.select("doc_id", *[F.lit(i).alias(c) for i, c in enumerate(names)], "text"))
+    assert got.columns == ["doc_id", *names, "text", "n_lines", "n_dropped"]
+    assert {(r.doc_id, r._id, r._x, r.text) for r in got.collect()} == {(1, 0, 8, "shared line of text"), (2, 0, 8, "x")}
+
+
 def test_chat_round_trip(spark):
     odd = ["<|im_end|>\n<|im_start|>assistant\nx", "<\\|", "<\\\\|a", "", None, "<", "tail <", "\\"]
     rows = [(1, i, "assistant" if i % 2 else "us\ner%0A<", t) for i, t in enumerate(odd)] + [(2, None, None, "x"), (2, None, None, "x")]
@@ -74,6 +116,44 @@ def test_warc(spark, tmp_path):
             warc.parse_bytes(bad)
 
 
+def test_warc_digests():
+    """SHA-256 in hexadecimal, SHA-1 in base 32; what carries no digest is refused unless that is asked for."""
+    import base64
+
+    made = zlib.decompress(warc.make_record(1, "u", b"abc", hashlib.sha256(b"abc").hexdigest(), None, "2024-01-01T00:00:00Z"), 31)
+
+    def packed(text):
+        packer = zlib.compressobj(6, zlib.DEFLATED, 31)
+        return packer.compress(text) + packer.flush()
+
+    without = packed(re.sub(rb"WARC-(Payload|Block)-Digest: [^\r]*\r\n", b"", made))
+    with pytest.raises(warc.WarcError):
+        warc.parse_bytes(without)
+    assert [r.payload for r in warc.read_records(__import__("io").BytesIO(without), unverified=True)] == [b"abc"]
+    for data, ok in ((b"abc", True), (b"abd", False)):
+        sha1 = b"sha1:" + base64.b32encode(hashlib.sha1(data).digest())
+        other = packed(re.sub(rb"(WARC-Payload-Digest: )[^\r]*", rb"\g<1>" + sha1, made))
+        if ok:
+            assert warc.parse_bytes(other)[0].payload == b"abc"
+        else:
+            with pytest.raises(warc.WarcError):
+                warc.parse_bytes(other)
+
+
+def test_warc_copies_and_missing_ids(spark):
+    """A third of the pages are one payload; ids are null or repeated; other columns clash with the operator's."""
+    big, other = "copied page " * 20, "other page " * 20
+    rows = [(i, "u", big if i % 3 == 0 else f"page {i} " * 20) for i in range(10, 310)] + [(None, "n", big), (None, "n", other), (400, "a", other), (400, "a", other), (None, None, None)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string").select("*", *[F.lit(1).alias(c) for c in ("payload", "refers_to", "_first", "_page")])
+    planned = warc.plan_records(frame)
+    assert "Exchange hash" not in planned._jdf.queryExecution().executedPlan().toString()  # payloads stay where they are
+    got = warc.round_trip(frame).collect()
+    assert len(got) == len(rows)
+    assert {r.refers_to for r in got if r.page_id and r.page_id < 400 and r.page_id % 3 == 0} == {12, None}
+    assert Counter(r.refers_to for r in got if r.page_id is None) == {12: 1, 400: 1, None: 1}
+    assert [(r.record_type, r.refers_to) for r in got if r.page_id == 400] == [("response", None)] * 2
+
+
 def test_signatures_meet():
     """Sets that link share a signature, whatever their sizes: the guarantee the join rests on."""
     rng = np.random.default_rng(1)
@@ -213,6 +293,21 @@ def test_multiset(spark, docs):
     assert multiset.edited_pairs(docs).count() == len(DOCS) and multiset.edited_pairs(docs.limit(0)).count() == 0
 
 
+def test_next_rows_of_clustered_ids(spark):
+    """One id far off does not put the others into one range; null, repeated ids and clashing columns are kept apart."""
+    ids = [*range(5000), 10**15, -(10**15), 77, None]
+    frame = spark.createDataFrame([(i, f"t{i}") for i in ids], "doc_id long, text string")
+    bounds = [0, 500, 1000, 2000, 4000]
+    spread = frame.groupBy(multiset._range_of(F.col("doc_id"), bounds).alias("r")).count().collect()
+    assert {r.r: r["count"] for r in spread} == {-1: 1, 0: 1, 1: 501, 2: 500, 3: 1000, 4: 2000, 5: 1001}
+    got = multiset.with_next(frame.withColumn("_range", F.lit(1)), "doc_id", "text", {"_n": F.length("_text")}, per_range=64)
+    order = sorted(ids, key=lambda i: (i is not None, i))
+    after = Counter((a, f"t{b}") for a, b in zip(order, order[1:] + order[:1]))
+    assert Counter((r.doc_id, r.next_text) for r in got.collect()) == after
+    with pytest.raises(ValueError, match="integral"):
+        multiset.edited_pairs(frame.withColumn("doc_id", F.col("doc_id").cast("string")))
+
+
 def test_media():
     for n in (0, 1, 64, 65, 2048, 5000):
         raw = os.urandom(n)
