@@ -32,7 +32,10 @@ from spectraloom.llm.words import groups, hash_words, mix64
 
 #: Classes of frequent words at least, and as many words in each and classes of other words.
 LEAST_SIDE = 32
-BATCH = 8192
+#: And at most, which bounds what is broadcast: 160 MB of weights.
+MOST_SIDE = 96
+#: Contexts whose classes are weighed at once, and tokens that are grouped by context at once.
+BATCH, GROUPED = 4096, 1_000_000
 #: Tokens that a class's own share, and a word's within its class, weigh as much as where a feature's counts are smoothed.
 CLASS_PRIOR, WORD_PRIOR = 100.0, 5.0
 #: Features of a token overlap: what each says alone counts so much, and so much of a step is made.
@@ -60,8 +63,8 @@ class Shape:
 
     @staticmethod
     def of(types: int) -> Shape:
-        """About as many frequent words as the square root of the distinct ones; all of them are FREQUENT ones."""
-        return Shape(min(math.isqrt(FREQUENT), max(LEAST_SIDE, math.ceil(types**0.25 / 8) * 8)))
+        """About as many frequent words as the square root of the distinct ones, up to MOST_SIDE squared."""
+        return Shape(min(MOST_SIDE, max(LEAST_SIDE, math.ceil(types**0.25 / 8) * 8)))
 
     @property
     def head(self) -> int:
@@ -85,10 +88,14 @@ class Shape:
         """Of the class table: three positions before, hashed pairs, and the bias."""
         return 3 * self.kinds + self.pairs + 1
 
+    @property
+    def befores(self) -> int:
+        """Rows of the word table for each class: one for each token before, hashed where these are too many for a task's memory."""
+        return min(self.kinds, (1 << 17) // self.side + 8 * self.side)
+
     @property
     def word_rows(self) -> int:
-        """Of the word table: (class, token before), hashed where these are too many for a task's memory."""
-        return min(self.side * self.kinds, (1 << 17) + 8 * self.head)
+        return self.side * self.befores
 
     def named(self, kinds: np.ndarray) -> np.ndarray:
         """The class of each token."""
@@ -207,7 +214,10 @@ def tokenise(docs: DataFrame, rounds: int) -> DataFrame:
             made: list[tuple] = []
             for a, b in groups(texts):
                 tokens, endings, n = tokens_of(texts[a:b])
-                distinct, first, places = np.unique(tokens, return_index=True, return_inverse=True)
+                order = np.argsort(tokens)
+                new = np.concatenate([[True], (ranked := tokens[order])[1:] != ranked[:-1]])
+                distinct, first, places = ranked[new], order[new], np.empty(len(tokens), np.int64)
+                places[order] = np.cumsum(new) - 1
                 wide = np.uint16 if len(distinct) <= 1 << 16 else np.uint32
                 part = batch.slice(a, b - a)
                 made.append((number, *(part.column(i).to_pylist() for i in range(3)), *(x.tobytes() for x in (n.astype(np.uint32), distinct, endings[first].astype(np.uint16), places.astype(wide)))))
@@ -307,77 +317,110 @@ def features(shape: Shape, kinds: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """
     n = len(kinds)
     place = np.arange(n) - np.repeat(np.cumsum(counts) - counts, counts)
-    out = np.empty((n, 4), np.int64)
+    out = np.empty((n, 4), np.int32)
     for back in (1, 2, 3):
-        before = np.full(n, shape.kinds - 1, np.int64)
+        before = np.full(n, shape.kinds - 1, np.int32)
         before[back:] = kinds[:-back] if back < n else kinds[:0]
         before[place < back] = shape.kinds - 1
         out[:, back - 1] = (back - 1) * shape.kinds + before
-    pair = mix64((out[:, 0] * shape.kinds + out[:, 1] + 1).astype(np.uint64))
+    pair = mix64((out[:, 0].astype(np.int64) * shape.kinds + out[:, 1] + 1).astype(np.uint64))
     out[:, 3] = 3 * shape.kinds + (pair % np.uint64(shape.pairs)).astype(np.int64)
     return out
 
 
-def _softmax(x: np.ndarray) -> np.ndarray:
-    if x.size and not x.max() < 60:  # far from what training reaches
-        x -= x.max(axis=1, keepdims=True)
-    np.exp(x, out=x)
-    x /= np.einsum("ij->i", x)[:, None]
-    return x
+def _segment_sums(ranked: np.ndarray, cut: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Sums of the runs of rows that begin at cut: long runs each on its own, short ones a row at a time side by side."""
+    out = ranked[cut]
+    for i in np.flatnonzero(lengths > 16).tolist():
+        out[i] = np.einsum("ij->j", ranked[cut[i] : cut[i] + lengths[i]])
+    left, step = np.flatnonzero((lengths > 1) & (lengths <= 16)), 1
+    while len(left):
+        out[left] += ranked[cut[left] + step]
+        step += 1
+        left = left[lengths[left] > step]
+    return out
+
 
+def _runs(ranked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of equal values begin, and how long they are."""
+    cut = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
+    return cut, np.diff(np.append(cut, len(ranked)))
 
-def _logits(weights: Weights, rows: np.ndarray) -> np.ndarray:
-    x = np.take(weights.classes, rows[:, 0], axis=0)
-    for j in (1, 2, 3):
-        x += np.take(weights.classes, rows[:, j], axis=0)
-    x += weights.classes[-1]
-    return x
 
+class Contexts:
+    """Tokens grouped by the three tokens before: what a model says of the next class is computed once for each group.
 
-def _forward(weights: Weights, rows: np.ndarray) -> np.ndarray:
-    return _softmax(_logits(weights, rows))
+    Groups are in order of the two tokens before, so the features of these are added once for each such pair.
+    """
 
+    def __init__(self, shape: Shape, every: np.ndarray):
+        kinds = np.int64(shape.kinds)
+        before = [every[:, j].astype(np.int64) - j * kinds for j in range(3)]
+        key = (before[0] * kinds + before[1]) * kinds + before[2]
+        self.order = np.argsort(key)
+        cut, self.n = _runs(key[self.order])
+        self.rows = every[self.order[cut]]
+
+    def batches(self) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray]]:
+        """(groups, their rows, where pairs begin among them, how many each has)."""
+        for a in range(0, len(self.rows), BATCH):
+            rows = self.rows[a : a + BATCH]
+            cut, lengths = _runs(rows[:, 0].astype(np.int64) << 32 | rows[:, 1])
+            yield slice(a, a + len(rows)), rows, cut, lengths
 
-def _word_rows(shape: Shape, kinds: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of frequent words: which tokens they are, their row of the word table, their class, their place in it."""
+    @staticmethod
+    def logits(weights: Weights, rows: np.ndarray, cut: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        pairs = np.take(weights.classes, rows[cut, 0], axis=0)
+        for j in (1, 3):
+            pairs += np.take(weights.classes, rows[cut, j], axis=0)
+        pairs += weights.classes[-1]
+        x = np.repeat(pairs, lengths, axis=0)
+        x += np.take(weights.classes, rows[:, 2], axis=0)
+        return x
+
+
+def _word_rows(shape: Shape, kinds: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of frequent words: which tokens they are, their row of the word table, their place in the class."""
     at = np.flatnonzero(kinds < shape.head)
     group, place = np.divmod(kinds[at], shape.side)
-    where = group * shape.kinds + rows[at, 0]
-    if shape.word_rows < shape.side * shape.kinds:
-        where = (mix64(where.astype(np.uint64)) % np.uint64(shape.word_rows)).astype(np.int64)
-    return at, where, group, place
+    before = rows[at, 0]
+    if shape.befores < shape.kinds:
+        before = (mix64(before.astype(np.uint64)) % np.uint64(shape.befores)).astype(np.int64)
+    return at, group * shape.befores + before, place
 
 
-def log_probabilities(weights: Weights, vocabulary: Vocabulary, kinds: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """log10 of each token's class and, for frequent words, of the word in it; else less the class's log size."""
-    shape = vocabulary.shape
-    every = features(shape, kinds, counts)
-    out = np.empty(len(kinds))
-    for a in range(0, len(kinds), BATCH):
-        own, rows = kinds[a : a + BATCH], every[a : a + BATCH]
-        x = _logits(weights, rows)
-        top = x.max(axis=1)
-        sums = np.einsum("ij->i", np.exp(x - top[:, None]))
-        value = np.maximum((x[np.arange(len(own)), shape.named(own)] - top - np.log(sums)) / math.log(10), -30.0)
-        at, where, group, place = _word_rows(shape, own, rows)
-        q = _softmax(weights.words[where] + vocabulary.word_logits[group])
-        value[at] += np.log10(np.maximum(q[np.arange(len(at)), place], 1e-30))
-        tail = own >= shape.head
-        value[tail] -= vocabulary.tail_log[own[tail] - shape.head]
-        out[a : a + BATCH] = value
-    return out
+def word_logs(weights: Weights, vocabulary: Vocabulary) -> np.ndarray:
+    """Natural logarithms of each word's probability in its class, by row of the word table."""
+    x = weights.words + np.repeat(vocabulary.word_logits, vocabulary.shape.befores, axis=0)
+    x -= x.max(axis=1, keepdims=True)
+    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
 
 
-def _segment_sums(ranked: np.ndarray, cut: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Sums of the runs of rows that begin at cut: long runs each on its own, short ones a row at a time side by side."""
-    out = ranked[cut]
-    for i in np.flatnonzero(lengths > 16).tolist():
-        out[i] = np.einsum("ij->j", ranked[cut[i] : cut[i] + lengths[i]])
-    left, step = np.flatnonzero((lengths > 1) & (lengths <= 16)), 1
-    while len(left):
-        out[left] += ranked[cut[left] + step]
-        step += 1
-        left = left[lengths[left] > step]
+def log_probabilities(weights: Weights, vocabulary: Vocabulary, kinds: np.ndarray, counts: np.ndarray, words: np.ndarray | None = None) -> np.ndarray:
+    """log10 of each token's class and, for frequent words, of the word in it; else less the class's log size.
+
+    words: what word_logs gives, for callers that have it.
+    """
+    shape = vocabulary.shape
+    every, named = features(shape, kinds, counts), shape.named(kinds)
+    out = np.empty(len(kinds))
+    for lo in range(0, len(kinds), GROUPED):
+        contexts = Contexts(shape, every[lo : lo + GROUPED])
+        ends = np.concatenate([[0], np.cumsum(contexts.n)])
+        for own, rows, cut, lengths in contexts.batches():
+            x = Contexts.logits(weights, rows, cut, lengths)
+            top = x.max(axis=1)
+            group = np.repeat(np.arange(len(rows)), contexts.n[own])
+            token = contexts.order[ends[own.start] : ends[own.stop]] + lo
+            value = x[group, named[token]]
+            x -= top[:, None]
+            np.exp(x, out=x)
+            out[token] = value - (top + np.log(np.einsum("ij->i", x)))[group]
+    at, where, place = _word_rows(shape, kinds, every)
+    out[at] += (word_logs(weights, vocabulary) if words is None else words)[where, place]
+    out = np.maximum(out / math.log(10), -60.0)
+    tail = kinds >= shape.head
+    out[tail] -= vocabulary.tail_log[kinds[tail] - shape.head]
     return out
 
 
@@ -390,32 +433,47 @@ class Sums:
 
     def __init__(self, vocabulary: Vocabulary, weights: Weights | None = None):
         shape = vocabulary.shape
-        self.vocabulary, self.weights = vocabulary, weights
+        self.shape, self.weights = shape, weights
+        self.waiting: list[tuple[np.ndarray, np.ndarray]] = []
         size = (shape.rows, shape.classes)
         self.tables = [np.zeros(size, np.uint32), np.zeros((shape.word_rows, shape.side), np.uint32) if weights is None else np.zeros(size, np.float32)]
 
     def add(self, kinds: np.ndarray, counts: np.ndarray) -> None:
-        shape = self.vocabulary.shape
+        """Tokens of whole texts; they count once `settle` was called."""
+        self.waiting.append((kinds, counts))
+        if sum(len(k) for k, _ in self.waiting) >= GROUPED:
+            self.settle()
+
+    def settle(self) -> None:
+        if not self.waiting:
+            return
+        kinds, counts = (np.concatenate(x) for x in zip(*self.waiting, strict=True))
+        self.waiting = []
+        shape, observed = self.shape, self.tables[0]
         every, named = features(shape, kinds, counts), shape.named(kinds)
-        observed = self.tables[0]
         for j in range(4):
-            np.add.at(observed.reshape(-1), every[:, j] * shape.classes + named, np.uint32(1))
+            np.add.at(observed.reshape(-1), every[:, j].astype(np.int64) * shape.classes + named, np.uint32(1))
         observed[-1] += np.bincount(named, minlength=shape.classes).astype(np.uint32)
         if self.weights is None:
-            _, where, _, place = _word_rows(shape, kinds, every)
+            _, where, place = _word_rows(shape, kinds, every)
             np.add.at(self.tables[1].reshape(-1), where * shape.side + place, np.uint32(1))
             return
         expected = self.tables[1]
-        for a in range(0, len(kinds), BATCH):
-            rows = every[a : a + BATCH]
-            p = _forward(self.weights, rows)
-            expected[-1] += np.einsum("ij->j", p)
-            for j in range(4):
+        contexts = Contexts(shape, every)
+        for own, rows, cut, lengths in contexts.batches():
+            p = Contexts.logits(self.weights, rows, cut, lengths)
+            if not p.max() < 60:  # far from what training reaches
+                p -= p.max(axis=1, keepdims=True)
+            np.exp(p, out=p)
+            p *= (contexts.n[own] / np.einsum("ij->i", p))[:, None].astype(np.float32)
+            pairs = _segment_sums(p, cut, lengths)
+            expected[-1] += np.einsum("ij->j", pairs)
+            for j, of, at in ((0, pairs, rows[cut, 0]), (1, pairs, rows[cut, 1]), (3, pairs, rows[cut, 3]), (2, p, rows[:, 2])):
                 # Sixteen bits are sorted by radix; larger tables need more.
-                order = np.argsort(rows[:, j].astype(np.uint16 if shape.rows <= 1 << 16 else np.int32), kind="stable")
-                ranked = rows[order, j]
-                cut = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
-                expected[ranked[cut]] += _segment_sums(np.take(p, order, axis=0), cut, np.diff(np.append(cut, len(ranked))))
+                order = np.argsort(at.astype(np.uint16 if shape.rows <= 1 << 16 else np.int32), kind="stable")
+                ranked = at[order]
+                begin, n = _runs(ranked)
+                expected[ranked[begin]] += _segment_sums(np.take(of, order, axis=0), begin, n)
 
 
 def start_weights(vocabulary: Vocabulary, observed: np.ndarray, words: np.ndarray) -> Weights:
@@ -428,9 +486,7 @@ def start_weights(vocabulary: Vocabulary, observed: np.ndarray, words: np.ndarra
     out.classes[-1] = vocabulary.class_logits
     own = np.exp(vocabulary.word_logits.astype(np.float64))
     own /= own.sum(axis=1, keepdims=True)
-    # The class of each row; hashed rows may hold several and are smoothed towards even shares.
-    group = np.minimum(np.arange(shape.word_rows) // shape.kinds, shape.side - 1)
-    own = own[group] if shape.word_rows == shape.side * shape.kinds else np.full((1, shape.side), 1 / shape.side)
+    own = np.repeat(own, shape.befores, axis=0)
     n = words.sum(axis=1, keepdims=True, dtype=np.float64)
     out.words[:] = np.log((words + WORD_PRIOR * own) / ((n + WORD_PRIOR) * np.maximum(own, 1e-12)))
     return out
@@ -483,6 +539,7 @@ def summed_tables(slices: DataFrame, vocabulary: Broadcast, turn: int | None = N
                 own = ~s.held if turn is None else ~s.held & (s.turn == turn)
                 if own.any():
                     sums.add(s.kinds(known)[np.repeat(own, s.n)], s.n[own])
+        sums.settle()
         yield from sent(sums.tables)
 
     kinds = [np.dtype(np.uint32), np.dtype(np.uint32 if weights is None else np.float32)]
@@ -499,7 +556,7 @@ def summed_tables(slices: DataFrame, vocabulary: Broadcast, turn: int | None = N
         taken(batches, add)
         for (which, at), block in held.items():
             own = np.flatnonzero(block.any(axis=1))
-            row = [[which], [at], [(own + at * BLOCK).astype(np.uint32).tobytes()], [block[own].tobytes()]]
+            row = [[which], [at], [(own + at * BLOCK).astype(np.uint32).tobytes()], [block[own].astype(np.float32).tobytes()]]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names)
 
     schema = "which int, block int, rows binary, numbers binary"
@@ -508,7 +565,7 @@ def summed_tables(slices: DataFrame, vocabulary: Broadcast, turn: int | None = N
     out = [np.zeros((shape.rows, shape.classes)), np.zeros((shape.word_rows if weights is None else shape.rows, wide[1]))]
 
     def put(which: int, own: np.ndarray, numbers: bytes) -> None:
-        out[which][own] = np.frombuffer(numbers, np.float64).reshape(len(own), -1)
+        out[which][own] = np.frombuffer(numbers, np.float32).reshape(len(own), -1)
 
     taken(made.to_batches(), put)
     start.unpersist()
@@ -637,20 +694,20 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known_words, weights = vocabulary.value, model.value
-        logs = np.log10(known_words.counts + 1.0)
+        logs, words = np.log10(known_words.counts + 1.0), word_logs(weights, known_words)
         for batch in batches:
-            for i, s in enumerate(Slice.rows(batch)):
-                found, known = known_words.find(s.words)
-                kinds = known_words.kinds(s.words, s.endings, found, known)[s.places]
+            held = list(Slice.rows(batch))
+            looked = [known_words.find(s.words) for s in held]
+            kinds = [known_words.kinds(s.words, s.endings, *x)[s.places] for s, x in zip(held, looked, strict=True)]
+            values = log_probabilities(weights, known_words, np.concatenate(kinds), np.concatenate([s.n for s in held]), words)
+            values = np.split(values, np.cumsum([len(k) for k in kinds])[:-1])
+            for number, ids, s, (found, known), own, value in zip(batch.column("slice").to_pylist(), batch.column("ids"), held, looked, kinds, values, strict=True):
                 gain = np.where(known, logs[found] if len(logs) else 0.0, 0.0)[s.places]
-                value = log_probabilities(weights, known_words, kinds, s.n)
-                value += np.where(kinds >= known_words.shape.head, gain, 0.0)  # log10(c + 1); rare words' come later
+                value += np.where(own >= known_words.shape.head, gain, 0.0)  # log10(c + 1); rare words' come later
                 m = len(s.n)
                 text = np.repeat(np.arange(m), s.n)
-                sums = (np.bincount(text, x, m) for x in (known[s.places], gain - scale, value))
-                known_n, base, score = sums
-                columns = [np.full(m, batch.column("slice")[i].as_py()), np.arange(m), None, s.held, s.n, known_n.astype(np.int64), base, score]
-                columns[2] = batch.column("ids")[i].values
+                known_n, base, score = (np.bincount(text, x, m) for x in (known[s.places], gain - scale, value))
+                columns = [np.full(m, number), np.arange(m), ids.values, s.held, s.n, known_n.astype(np.int64), base, score]
                 yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns], names)
 
     scored = slices.mapInArrow(run, _SCORED)

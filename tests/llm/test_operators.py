@@ -387,10 +387,12 @@ def test_maxent_grows_with_the_vocabulary(spark):
     for _ in range(5):
         sums = maxent.Sums(v, weights)
         sums.add(kinds, counts)
+        sums.settle()
         weights = maxent.stepped(weights, *[x.astype(np.float64) for x in sums.tables], 0.3)
     assert maxent.log_probabilities(weights, v, kinds, counts).sum() > before
     sums = maxent.Sums(v)
     sums.add(kinds, counts)
+    sums.settle()
     counted = maxent.start_weights(v, *sums.tables)
     assert maxent.log_probabilities(counted, v, kinds, counts).sum() > before
 
