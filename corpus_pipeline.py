@@ -3,6 +3,10 @@
 Every stage takes (spark, docs, sf_dir), works on all that the stage before kept, and
 returns a frame that is written as Parquet and read again as the next one's docs. All but
 the last return the columns of `documents`.
+
+In every stage a null text counts as an empty one and a null id as no document of its own (it is never
+rejected as a copy); repeated rows are treated alike, each on its own; an empty table gives an empty one;
+columns beside those of `documents`, of whatever names, pass through to the end.
 """
 
 from __future__ import annotations

@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from spectraloom.llm.common import bounded_batches
+
 #: Classes of code points.
 OTHER, LETTER, NUMBER, BLANK, SPACE = range(5)
 #: Code points with the property White_Space, but for the blank.
@@ -22,7 +24,7 @@ WHITE = [9, 10, 11, 12, 13, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028,
 #: What follows the apostrophe of a contraction.
 SHORT, LONG = "stmd", ("re", "ve", "ll")
 #: Characters handled at once, and pieces a worker remembers.
-SLICE, CACHED = 1 << 20, 200_000
+SLICE, CACHED = 1 << 18, 200_000
 
 
 @lru_cache(None)
@@ -259,7 +261,8 @@ def encode_documents(docs: DataFrame, path: str, text_col: str = "text", offsets
 
     path: the ranks file, at the same place on every machine. `offsets` adds the byte at which
     each token begins. Null and empty texts have no ids. Input columns of the result's names
-    give way. No exchange; texts are handled in slices of about a million characters.
+    give way, others of any names stay; repeated rows are coded alike, an empty table gives an empty one. No exchange;
+    texts are handled in slices of about 256,000 characters, a longer one by itself.
     """
     import pyarrow as pa
 
@@ -268,6 +271,7 @@ def encode_documents(docs: DataFrame, path: str, text_col: str = "text", offsets
         made.append(T.StructField("offsets", T.ArrayType(T.LongType())))
     rest = [f for f in docs.schema.fields if f.name not in {text_col, *(m.name for m in made)}]
     names = [f.name for f in rest]
+    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use = codec(path)
@@ -294,7 +298,12 @@ def decode_documents(coded: DataFrame, path: str, id_col: str = "doc_id", ids_co
 
 
 def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The query's columns: ids of every whole text, and what they decode to."""
+    """The query's columns: ids of every whole text, and what they decode to.
+
+    Null texts are empty and have no ids. Every row has a result: repeated rows repeat it, a null id
+    stays null. Columns other than the two are not read. An empty table gives an empty one.
+    """
+    bounded_batches(docs.sparkSession)
 
     def run(batches):
         use = codec(path)

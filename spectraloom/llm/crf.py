@@ -11,10 +11,10 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spectraloom.llm.common import bounded_batches, dropped, written
 from spectraloom.llm.words import groups, hash_words
 
 #: Classes of bytes whose share in a line is a feature.
@@ -115,38 +115,61 @@ def _logit(p: np.ndarray) -> np.ndarray:
     return np.log(p / (1 - p))
 
 
-def fit(features: np.ndarray, lengths: np.ndarray, counts: np.ndarray, labels: np.ndarray, steps: int = 150, rate: float = 0.1, decay: float = 1e-4) -> Crf:
-    """Maximum conditional likelihood; every line has its document's label.
-
-    Documents weigh alike, whatever their lengths. Without both labels the scores are the
-    labels' (smoothed) mean, 0.5 for none.
-    """
-    model = Crf(np.zeros(WIDTH), np.zeros((2, 2)))
-    if len(set(labels.tolist())) < 2:
-        mean = (labels.sum() + 1) / (len(labels) + 2)
-        model.curve = (0.0, float(np.log(mean / (1 - mean))))
-        return model
-    features = features.astype(np.float64)
-    line = np.repeat(labels, counts)
-    weight = np.repeat(1.0 / counts / len(counts), counts)
+def gradient(params: np.ndarray, features: np.ndarray, counts: np.ndarray, labels: np.ndarray) -> tuple[float, np.ndarray]:
+    """Log-likelihood of some documents' labels, every line having its document's, and its slope; documents weigh alike."""
+    model = Crf(params[:WIDTH], params[WIDTH:].reshape(2, 2))
+    emit, ahead, back, total = model.chains(features, counts)
+    line, weight, z = np.repeat(labels, counts), np.repeat(1.0 / counts, counts), np.repeat(total, counts)
     linked = np.ones(len(line), bool)
     linked[np.cumsum(counts) - counts] = False
     later = np.flatnonzero(linked)
+    good = np.exp(ahead[:, 1] + back[:, 1] - z)
+    pair = ahead[later - 1][:, :, None] + model.transitions + (emit[later] + back[later])[:, None, :] - z[later][:, None, None]
     seen = np.zeros((2, 2))
     np.add.at(seen, (line[later - 1], line[later]), weight[later])
-    params = np.zeros(WIDTH + 4)
-    m, v = np.zeros_like(params), np.zeros_like(params)
-    for step in range(1, steps + 1):
-        model.weights, model.transitions = params[:WIDTH], params[WIDTH:].reshape(2, 2)
-        emit, ahead, back, total = model.chains(features, counts)
-        z = np.repeat(total, counts)
-        good = np.exp(ahead[:, 1] + back[:, 1] - z)
-        pair = ahead[later - 1][:, :, None] + model.transitions + (emit[later] + back[later])[:, None, :] - z[later][:, None, None]
-        grad = np.concatenate([features.T @ (weight * (line - good)), (seen - (np.exp(pair) * weight[later][:, None, None]).sum(axis=0)).ravel()]) - decay * params
-        m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
-        params = params + rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    model.weights, model.transitions = params[:WIDTH], params[WIDTH:].reshape(2, 2)
-    x = _logit(model.quality(features, lengths, counts))
+    slope = np.concatenate([features.T @ (weight * (line - good)), (seen - (np.exp(pair) * weight[later][:, None, None]).sum(axis=0)).ravel()])
+    own = (weight * emit[np.arange(len(line)), line]).sum() + (seen * model.transitions).sum()
+    return float(own - (total / counts).sum()), slope
+
+
+def ascend(evaluate, size: int, steps: int) -> np.ndarray:
+    """Where a concave function is largest: limited-memory BFGS; evaluate gives its value and slope."""
+    x = np.zeros(size)
+    value, slope = evaluate(x)
+    past: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(steps):
+        way, held = slope.copy(), []
+        for s, y in reversed(past):
+            a = (s @ way) / (s @ y)
+            way -= a * y
+            held.append(a)
+        if past:
+            s, y = past[-1]
+            way *= (s @ y) / (y @ y)
+        for (s, y), a in zip(past, reversed(held)):
+            way += (a - (y @ way) / (s @ y)) * s
+        pace = 1.0 if past else min(1.0, 1 / (np.abs(slope).sum() + 1e-12))
+        for _ in range(12):  # half as far until it rises enough
+            new = x + pace * way
+            found, steep = evaluate(new)
+            if found >= value + 1e-4 * pace * (slope @ way):
+                break
+            pace /= 2
+        else:
+            break
+        s, y = new - x, slope - steep
+        if s @ y > 1e-12:
+            past = [*past, (s, y)][-8:]
+        done = found - value < 1e-7 * (1 + abs(value))
+        x, value, slope = new, found, steep
+        if done:
+            break
+    return x
+
+
+def calibrate(quality: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
+    """Slope and offset of the logistic curve from a document's quality to its chance of label 1."""
+    x = _logit(quality)
     a, b = 1.0, 0.0
     for _ in range(50):  # Newton's method, slightly damped by a prior
         p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
@@ -156,45 +179,103 @@ def fit(features: np.ndarray, lengths: np.ndarray, counts: np.ndarray, labels: n
         a, b = a + np.clip(da, -1, 1), b + np.clip(db, -1, 1)
         if abs(da) + abs(db) < 1e-6:
             break
-    model.curve = (float(a), float(b))
-    return model
+    return float(a), float(b)
+
+
+_FEATURES = "label int, n long, features binary, lengths binary"
 
 
-def train(docs: DataFrame, labels: DataFrame, most_documents: int = 6000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Crf:
+def train(docs: DataFrame, labels: DataFrame, most_documents: int = 6000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", steps: int = 40, decay: float = 1e-4) -> Crf:
     """A model of at most `most_documents` labelled documents, those of the least hashed ids.
 
-    The bound is for labelled documents only: their whole texts count, and their line
-    features, not their texts, go to the driver. Labels other than 0 and 1 are left out; of
-    several labels of an id the smallest holds.
+    The bound is for labelled documents only: their whole texts count, lines of any number. Line
+    features are a written table; each step's gradient is summed by tasks over their documents, one at
+    a time, so that what the driver gets is bounded: sums, and at the end a number for each document. Labels
+    other than 0 and 1 are left out; of several labels of an id the smallest holds; repeated rows of an id count
+    each. Null texts have one empty line. Without both labels the scores are the labels' (smoothed) mean, 0.5 for none.
     """
-    plain = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min(label_col).cast("int").alias("_label"))
-    chosen = plain.orderBy(F.xxhash64(id_col), id_col).limit(most_documents)
-    rows = docs.select(id_col, text_col).join(F.broadcast(chosen), id_col).select("_label", F.col(text_col).alias("text"))
+    import pyarrow as pa
+
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    plain = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.min(label_col).cast("int").alias("_label"))
+    chosen = plain.orderBy(F.xxhash64("_id"), "_id").limit(most_documents)
+    rows = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("text")).join(F.broadcast(chosen), "_id").select("_label", "text")
 
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def features_of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for label, text in zip(batch["_label"], batch["text"], strict=True):
+            for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 features, lengths, _ = line_features([text or ""])
-                out.append((label, len(lengths), features.tobytes(), lengths.tobytes()))
-            yield pd.DataFrame(out, columns=["label", "n", "features", "lengths"])
+                packed = ([label], [len(lengths)], [features.tobytes()], [lengths.tobytes()])
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(packed, (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["label", "n", "features", "lengths"])
+
+    table = written(rows.mapInArrow(features_of, _FEATURES), "features")
+    counted = dict(table.groupBy("label").count().collect())
+    lines = table.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    number, ones = sum(counted.values()), counted.get(1, 0)
+    model = Crf(np.zeros(WIDTH), np.zeros((2, 2)))
+    if len(counted) < 2:
+        mean = (ones + 1) / (number + 2)
+        model.curve = (0.0, float(np.log(mean / (1 - mean))))
+        dropped(table)
+        return model
+    # A task takes some ten MB of features, so that short ones do not make up the time.
+    spread = table.coalesce(max(1, lines * WIDTH * 4 // (16 << 20)))
+
+    def documents(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(features, lengths, counts, labels) of documents of some MB together; of a longer one alone."""
+        held, size = [], 0
 
-    found = sorted(rows.mapInPandas(run, "label int, n long, features binary, lengths binary").collect())
-    features = np.frombuffer(b"".join(r.features for r in found), np.float32).reshape(-1, WIDTH)
-    lengths = np.frombuffer(b"".join(r.lengths for r in found), np.int64)
-    return fit(features, lengths, np.array([r.n for r in found], np.int64), np.array([r.label for r in found], np.int64))
+        def joined():
+            features = np.frombuffer(b"".join(r[2] for r in held), np.float32).reshape(-1, WIDTH).astype(np.float64)
+            return features, np.frombuffer(b"".join(r[3] for r in held), np.int64), np.array([r[1] for r in held]), np.array([r[0] for r in held])
+
+        for batch in batches:
+            for row in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if held and size + len(row[2]) > 4 << 20:
+                    yield joined()
+                    held, size = [], 0
+                held.append(row)
+                size += len(row[2])
+        if held:
+            yield joined()
+
+    def evaluate(params: np.ndarray) -> tuple[float, np.ndarray]:
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            value, slope = 0.0, np.zeros(WIDTH + 4)
+            for features, _, counts, own in documents(batches):
+                v, s = gradient(params, features, counts, own)
+                value, slope = value + v, slope + s
+            yield pa.RecordBatch.from_arrays([pa.array([value]), pa.array([slope.tolist()])], ["value", "slope"])
+
+        parts = sorted(spread.mapInArrow(run, "value double, slope array<double>").collect())
+        return sum(r.value for r in parts) / number - decay / 2 * params @ params, np.sum([r.slope for r in parts], axis=0) / number - decay * params
+
+    params = ascend(evaluate, WIDTH + 4, steps)
+    model.weights, model.transitions = params[:WIDTH], params[WIDTH:].reshape(2, 2)
+
+    def qualities(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for features, lengths, counts, own in documents(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(model.quality(features, lengths, counts)), pa.array(own)], ["quality", "label"])
+
+    found = sorted(spread.mapInArrow(qualities, "quality double, label long").collect())
+    model.curve = calibrate(np.array([r.quality for r in found]), np.array([r.label for r in found]))
+    dropped(table)
+    return model
 
 
 def score_documents(docs: DataFrame, model: Crf, text_col: str = "text", score_col: str = "score") -> DataFrame:
     """The frame with a score (0 to 1) of each whole text; null and empty texts have one empty line.
 
-    A column of the score's name gives way. No exchange.
+    A column of the score's name gives way; others, of any name, stay as they are. Rows that are repeated or tie
+    are scored alike. An empty table gives an empty one. No exchange.
     """
     import pyarrow as pa
     from pyspark.sql import types as T
 
     rest = [f for f in docs.schema.fields if f.name != score_col]
     names = [f.name for f in rest]
+    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spectraloom.llm.common import bounded_batches
+
 #: Blocks in a row, block rows in a frame at most, frames in a second.
 WIDTH, HEIGHT, FPS = 64, 32, 25
 BINS = 16
@@ -291,6 +293,7 @@ def describe(text: str | None) -> tuple:
 
 def media_column(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, media binary) of every row; null texts are empty payloads."""
+    bounded_batches(docs.sparkSession)
 
     def make(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -304,6 +307,7 @@ def media_column(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def clips(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
     """One row for each clip of each AVI: id, clip, first, last, start_s, end_s, mean. Nulls have none."""
+    bounded_batches(media.sparkSession)
 
     def cut(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -316,7 +320,12 @@ def clips(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") ->
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The query's columns: each text stored, read back and described. One pass, no exchange."""
+    """The query's columns: each text stored, read back and described. One pass, no exchange.
+
+    A null or empty text is an empty payload, padded to 64 bytes. Every row has a result: repeated rows repeat it,
+    a null id stays null. Columns other than the two are not read. An empty table gives an empty one.
+    """
+    bounded_batches(docs.sparkSession)
     names = [x.split()[0] for x in DIGEST.split(", ")]
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:

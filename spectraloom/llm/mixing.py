@@ -106,7 +106,7 @@ def _spread(shares: DataFrame, exponents: list[float]) -> dict[float, float]:
 
 def plan_mix(docs: DataFrame, source_col: str, tokens: Column, budget: int | None, target_entropy: float | None, max_repeats: float | None) -> Plan:
     """Token shares by source, the exponent, and each source's quota of tokens."""
-    counted = docs.groupBy(source_key(F.col(source_col)).alias("_key")).agg(F.sum(tokens).cast("long").alias("_tokens"))
+    counted = docs.groupBy(source_key(F.col(f"`{source_col}`")).alias("_key")).agg(F.sum(tokens).cast("long").alias("_tokens"))
     shares = written(counted, "shares")
     n, total, largest = shares.agg(F.count("*"), F.sum("_tokens"), F.max("_tokens")).first()
     smallest = shares.where("_tokens > 0").agg(F.min("_tokens")).first()[0]
@@ -188,24 +188,28 @@ def mix(
     is a permutation of hashed blocks and of the documents in them, drawn anew for each
     pass; the last takes documents in its order up to the quota, never beyond.
 
-    `detail` adds _pass, _block, _tokens; otherwise the columns are the input's, which may not
-    begin with an underscore. Null sources are one source, null texts have no tokens.
+    `detail` adds _pass, _block, _tokens, which the input then may not have (ValueError); otherwise the columns
+    are the input's, of any names. Null sources are one source, null texts have no tokens.
     Sources without tokens have no weight: their documents are used once without a budget, else
     not at all. Repeated rows of an id share their place in a pass. An empty table gives an empty one.
     """
-    size = default_tokens(F.col(text_col)) if tokens is None else tokens
+    added = ("_pass", "_block", "_tokens")
+    if detail and (clash := {c.lower() for c in docs.columns} & set(added)):
+        raise ValueError(f"the input has columns {sorted(clash)}, which detail adds")
+    size = default_tokens(F.col(f"`{text_col}`")) if tokens is None else tokens
     plan = plan_mix(docs, source_col, size, budget, target_entropy, max_repeats)
     shares = plan.shares.select("_key", F.col("_tokens").alias("_all"), "_passes", "_rest")
     near = F.broadcast if plan.n_sources <= BROADCAST_SOURCES else lambda df: df
-    key = source_key(F.col(source_col))
-    u = permutation_key(seed, F.col("_passes"), F.col(id_col))
-    narrow = docs.select(F.col(id_col), key.alias("_key"), size.alias("_size")).join(near(shares.where("_rest > 0")), "_key").select("_key", u.alias("_u"), "_size")
+    # The input's columns travel in a struct: no name of theirs can clash.
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_in"), F.col(f"`{id_col}`").alias("_id"), source_key(F.col(f"`{source_col}`")).alias("_key"), size.alias("_size"))
+    u = permutation_key(seed, F.col("_passes"), F.col("_id"))
+    narrow = whole.select("_id", "_key", "_size").join(near(shares.where("_rest > 0")), "_key").select("_key", u.alias("_u"), "_size")
     cuts = written(cut_points(narrow, shares.where("_rest > 0")), "cuts")
-    rows = docs.withColumns({"_key": key, "_size": size}).join(near(shares.join(cuts, "_key", "left")), "_key")
+    rows = whole.join(near(shares.join(cuts, "_key", "left")), "_key")
     unweighted = F.lit(1 if budget is None else 0)
     uses = F.when(F.col("_all") == 0, unweighted).otherwise(F.col("_passes") + F.when((F.col("_rest") > 0) & (u <= F.col("_cut")), 1).otherwise(0)).cast("int")
     rows = rows.where(uses > 0).withColumn("_pass", F.explode(F.sequence(F.lit(0), uses - 1)))
     if not detail:
-        return rows.select(*docs.columns)
-    block = _block(permutation_key(seed, F.col("_pass").cast("long"), F.col(id_col)))
-    return rows.select(*docs.columns, "_pass", block.alias("_block"), F.col("_size").alias("_tokens"))
+        return rows.select("_in.*")
+    block = _block(permutation_key(seed, F.col("_pass").cast("long"), F.col("_id")))
+    return rows.select("_in.*", "_pass", block.alias("_block"), F.col("_size").alias("_tokens"))

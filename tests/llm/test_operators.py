@@ -511,3 +511,146 @@ def test_likeness_at_every_length(spark):
     one = spark.createDataFrame([("a\nb\nc\nd", "a\nb\nc\ne")], "a string, b string").select(multiset.likeness(multiset.lanes(F.col("a")), multiset.lanes(F.col("b"))))
     assert abs(one.first()[0] - 0.75) < 0.2
     assert multiset._parts_of()[multiset.SPARSE] < 1e-6 and abs(multiset._parts_of()[multiset.SPARSE - 1] - 1) < 1e-6
+
+
+def test_chat_empty_and_missing(spark):
+    schema = "conv_id long, turn long, role string, text string"
+    empty = chat.digests(chat.format_turns(chat.canonical_turns(spark.createDataFrame([], schema))))
+    assert empty.collect() == []
+    rows = [(None, None, None, None), (None, 1, "assistant", "a"), (1, 2, "user", LONG), (1, 2, "user", LONG)]
+    turns = chat.canonical_turns(spark.createDataFrame(rows, schema).withColumn("_text", F.lit(1)).withColumn("_n", F.lit(1)))
+    got = {r.conv_id: r for r in chat.digests(chat.format_turns(turns)).collect()}
+    assert got[None].n_turns == 2 and got[None].loss_chars == 1 and got[1].n_turns == 2
+    spoken = f"user\n{LONG}\n" * 2
+    assert got[1].turns_sha256 == hashlib.sha256(spoken.encode()).hexdigest()
+
+
+def test_chat_other_layouts(spark):
+    q = spark.createDataFrame([(1, "a", "b")], "conv_id long, question string, answer string")
+    s = spark.createDataFrame([(1, "s", "a", "b"), (2, None, "a", "b")], "conv_id long, system string, prompt string, completion string")
+    assert [(r.role, r.text) for r in chat.canonical_turns(q).orderBy("turn").collect()] == [("user", "a"), ("assistant", "b")]
+    got = [(r.conv_id, r.turn, r.role, r.text) for r in chat.canonical_turns(s).orderBy("conv_id", "turn").collect()]
+    assert got == [(1, 0, "system", "s"), (1, 1, "user", "a"), (1, 2, "assistant", "b"), (2, 0, "user", "a"), (2, 1, "assistant", "b")]
+
+
+def test_chat_json_rows(spark):
+    def messages(x):
+        return F.transform(x["messages"], lambda m: F.struct(m["role"].alias("role"), m["content"].alias("text")))
+
+    def prompt(x):
+        return F.array(F.struct(F.lit("user").alias("role"), x["prompt"].alias("text")), F.struct(F.lit("assistant").alias("role"), x["completion"].alias("text")))
+
+    layouts = (
+        ("OBJECT<messages: ARRAY<OBJECT<content: STRING, role: STRING>>>", "messages array<struct<role:string,content:string>>", messages),
+        ("OBJECT<completion: STRING, prompt: STRING>", "prompt string, completion string", prompt),
+    )
+    raw = ['{"messages": [{"role": "user", "content": "a"}, {"role": "assistant", "content": "b"}]}', '{"prompt": "c", "completion": null}', "no json", None, '{"other": 1}']
+    frame = spark.createDataFrame(list(enumerate(raw)), "conv_id long, body string")
+    got = [(r.conv_id, r.turn, r.role, r.text) for r in chat.json_turns(frame, "conv_id", "body", layouts).orderBy("conv_id", "turn").collect()]
+    assert got == [(0, 0, "user", "a"), (0, 1, "assistant", "b"), (1, 0, "user", "c"), (1, 1, "assistant", "")]
+
+
+def test_bpe_digests_like_tiktoken(spark, docs):
+    tiktoken = pytest.importorskip("tiktoken")
+    tokenizers = pytest.importorskip("public_tokenizers")
+    path = tokenizers.path("byte_bpe_50k.tiktoken")
+    own = tiktoken.Encoding("own", pat_str=tokenizers.PATTERN, mergeable_ranks=bpe.codec(path).ranks, special_tokens={})
+    rows = [*DOCS, (8, LONG * 20, "a"), (9, "x" * 5000, "a"), (10, "漢字 \u0301😀\r\n\t it's", "b")]
+    frame = spark.createDataFrame(rows, SCHEMA).withColumn("ids_sha256", F.lit("clash"))
+    got = sorted(((r.doc_id is None, r.doc_id), r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe.digests(frame, path).collect())
+    want = []
+    for i, t, _ in rows:
+        ids = own.encode_ordinary(t or "")
+        want.append(((i is None, i), len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()))
+    assert got == sorted(want)
+    assert bpe.digests(docs.limit(0), path).collect() == [] == bpe.encode_documents(docs.limit(0), path).collect()
+
+
+def test_media_digests_like_plain_bytes(spark):
+    rows = [*DOCS, (8, LONG * 5, "a"), (9, "é" * 32, "a"), (9, "é" * 32, "a")]
+    frame = spark.createDataFrame(rows, SCHEMA).withColumn("n_bytes", F.lit("clash"))
+    got = sorted(((r.doc_id is None, r.doc_id), r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.media_bytes, r.media_sha256) for r in media.digests(frame).collect())
+    want = []
+    for i, t, _ in rows:
+        raw = (t or "").encode()
+        payload = raw + bytes(-len(raw) % 64 or (0 if raw else 64))
+        stored = media.encode_avi(payload)
+        want.append(((i is None, i), len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(stored), hashlib.sha256(stored).hexdigest()))
+    assert got == sorted(want)
+    assert media.digests(frame.limit(0)).collect() == [] == media.clips(media.media_column(frame.limit(0))).collect()
+
+
+def test_timed_clips(spark):
+    """Two scenes: shots cover all frames without gaps, and stand where the bytes change."""
+    frame = spark.createDataFrame([(1, "a" * 2048 * 3 + "\x10" * 2048 * 2), (2, None)], "doc_id long, text string")
+    rows = media.clips(media.media_column(frame)).orderBy("doc_id", "clip").collect()
+    one = [r for r in rows if r.doc_id == 1]
+    assert [(r["first"], r["last"]) for r in one] == [(0, 2), (3, 4)]
+    assert [round(r.start_s * media.FPS) for r in one] == [0, 3] and round(one[-1].end_s * media.FPS) == 5
+    assert [round(r["mean"]) for r in one] == [97, 16]
+    assert [r.clip for r in rows if r.doc_id == 2] == [0]
+
+
+def test_mixing_keeps_any_columns(spark):
+    rows = [(i, "x" * 40 if i else LONG * 3, "s") for i in range(10)]
+    frame = spark.createDataFrame(rows, SCHEMA).select("*", *[F.lit("own").alias(c) for c in ("_key", "_size", "_pass", "_in", "_id")])
+    got = mixing.mix(frame)
+    assert got.columns == frame.columns and {r._key for r in got.collect()} == {"own"} and got.count() == 10
+    with pytest.raises(ValueError, match="_pass"):
+        mixing.mix(frame, detail=True)
+
+
+def _mean_slope(params, args, e=1e-5):
+    return [(crf.gradient(params + d, *args)[0] - crf.gradient(params - d, *args)[0]) / (2 * e) for d in np.eye(len(params)) * e]
+
+
+def test_crf_gradient_is_the_slope():
+    rng = np.random.default_rng(0)
+    features, _, counts = crf.line_features(["A b!\nc 1\n\n| d", "", "é f", "x\ny"])
+    args = (features.astype(np.float64), counts, np.array([1, 0, 1, 0]))
+    params = rng.normal(size=crf.WIDTH + 4) / 3
+    assert np.allclose(crf.gradient(params, *args)[1], _mean_slope(params, args), atol=1e-6)
+
+
+def test_crf_learns_whole_documents(spark):
+    """Prose against junk, with a text of many lines, nulls, repeated rows, ties and clashing names; every fold comes out right."""
+    rng = np.random.default_rng(1)
+    rows = []
+    for i in range(200):
+        good = " ".join(f"word{x}" for x in rng.integers(0, 50, 40)) + ".\nAnd so it went on."
+        junk = "\n".join("!!! $$$ 99" * int(rng.integers(1, 4)) for _ in range(6))
+        rows.append((i, junk if i % 2 else good))
+    rows += [(500, "And so it went on.\n" * 20_000), (501, None), (501, None), (None, "And so it went on.")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_label", F.lit("x"))
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(200)] + [(500, 1), (501, 0), (3, 1), (None, 1)], "doc_id long, quality int")
+    model = crf.train(frame, labels.where(~crf.held_out("doc_id")))
+    got = crf.score_documents(frame, model).collect()
+    assert len(got) == len(rows) and {r._label for r in got} == {"x"}
+    assert all((r.score >= 0.5) == (r.doc_id % 2 == 0) for r in got if r.doc_id is not None and r.doc_id < 200)
+    assert len({r.score for r in got if r.doc_id == 501}) == 1 and all(0 <= r.score <= 1 for r in got)
+    assert crf.score_documents(frame.limit(0), model).collect() == []
+
+
+def test_shared_folder_must_be_named_on_a_cluster(spark, monkeypatch):
+    from spectraloom.llm import common
+
+    class Context:
+        master = "spark://somewhere:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:
+            @staticmethod
+            def get(key, default=None):
+                return default
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_dir(Session())
+    table = common.written(spark.range(3).toDF("n"), "some")
+    assert table.count() == 3 and table._written in common._made
+    common.dropped(table)
+    assert table._written not in common._made and not os.path.exists(table._written.removeprefix("file:"))
