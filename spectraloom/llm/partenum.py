@@ -27,7 +27,7 @@ from spectraloom.llm.words import mix64, shingle_sets
 #: Shingles that a signature of a band's smallest sets covers on average, where parts allow it.
 COVER = 4.0
 #: Rows up to which a list of ids, pairs or components is broadcast; a longer one is joined by exchange.
-BROADCAST_IDS = 2_000_000
+BROADCAST_IDS = 500_000
 #: Texts' digests that a task remembers, so as to sign copies once; signatures that it sorts at once.
 REMEMBERED, SORTED = 300_000, 1 << 20
 
@@ -129,14 +129,14 @@ def signatures(shingles: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate([sign(shingles, known[own]), sign(shingles, known[own + 1])])
 
 
-def sketch(shingles: np.ndarray, percent: int) -> np.ndarray:
-    """Parities of counters, four for each shingle that a set as large may differ in and 64 at least, a power of two.
+def sketch(shingles: np.ndarray) -> np.ndarray:
+    """Parities of counters, two for each shingle and 256 at least, a power of two.
 
-    Sets that differ in h shingles differ in at most h of the bits. Halves of a longer sketch
+    Sets that differ in h shingles differ in at most h of the bits, and in nearly h where h is what links
+    allow, so that few pairs of a group of copies that just do not link pass. Halves of a longer sketch
     fold into a shorter one by exclusive or.
     """
-    differ = 2 * len(shingles) * (100 - percent) // (100 + percent)
-    bits = max(64, 1 << (4 * differ - 1).bit_length())
+    bits = max(256, 1 << (2 * len(shingles) - 1).bit_length())
     odd = np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
@@ -151,7 +151,7 @@ def _batches(batches, k: int) -> Iterator[tuple]:
             yield part.column(0), shingle_sets([t or "" for t in part.column(1).to_pylist()], k)
 
 
-def sized_sets(docs: DataFrame, k: int, percent: int) -> DataFrame:
+def sized_sets(docs: DataFrame, k: int) -> DataFrame:
     """A row for each document: size, digest and sketch of its set."""
     import pyarrow as pa
 
@@ -159,7 +159,7 @@ def sized_sets(docs: DataFrame, k: int, percent: int) -> DataFrame:
         for ids, sets in _batches(batches, k):
             named = [len(s) > 0 and valid for s, valid in zip(sets, ids.is_valid().to_pylist(), strict=True)]
             digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if ok else None for s, ok in zip(sets, named, strict=True)]
-            sketches = [sketch(s, percent) if ok else None for s, ok in zip(sets, named, strict=True)]
+            sketches = [sketch(s) if ok else None for s, ok in zip(sets, named, strict=True)]
             columns = [ids, pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(sketches, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "digest", "sketch"])
 
@@ -289,7 +289,7 @@ def similarity_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col
     """
     bounded_batches(docs.sparkSession)
     docs = docs.select(long_ids(docs, id_col).alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    table = written(sized_sets(docs, k, percent), "sized")
+    table = written(sized_sets(docs, k), "sized")
     classes = table.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).where("n > 1").select("digest", "rep")
     classes = written(classes, "classes")
     nodes = table.where("sketch IS NOT NULL").select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "sketch").dropDuplicates(["id", "n", "sketch"])
