@@ -21,7 +21,7 @@ def to_int(x: Column) -> Column:
 
 def items(x: Column, separators: str = "[;, ]+") -> Column:
     """Trimmed non-blank parts of a list in text."""
-    return F.filter(F.transform(F.split(x, separators), F.trim), lambda p: p != "")
+    return F.filter(F.transform(F.split(x, separators), lambda p: F.trim(p)), lambda p: p != "")
 
 
 def is_decoy(proteins: Column, tag: str = "decoy_") -> Column:

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from spectraloom.plans import inventory, quant, relational, sequences, stores
+from spectraloom.plans import inventory, quant, relational, sequences, stores, tables
 
-PARTS = (quant, relational, sequences, inventory, stores)
+PARTS = (quant, relational, sequences, inventory, stores, tables)
 QUERIES = {name: q for part in PARTS for name, q in part.QUERIES.items()}
 ORACLES = {name: q for part in PARTS for name, q in part.ORACLES.items()}

@@ -118,7 +118,7 @@ MOTIFS = T.StructType([T.StructField("motif_text", T.StringType()), T.StructFiel
 
 def links(html: Column, suffixes: Sequence[str] = ()) -> Column:
     """Distinct sorted link targets of a page, without fragments, that end in one of the suffixes (or all)."""
-    found = F.transform(F.regexp_extract_all(html, F.lit(r"""href\s*=\s*["']([^"'#]+)"""), F.lit(1)), F.trim)
+    found = F.transform(F.regexp_extract_all(html, F.lit(r"""href\s*=\s*["']([^"'#]+)"""), F.lit(1)), lambda u: F.trim(u))
     if suffixes:
         found = F.filter(found, lambda u: F.lower(u).rlike("(" + "|".join(s.replace(".", r"\.") for s in suffixes) + ")$"))
     return F.array_sort(F.array_distinct(found))
