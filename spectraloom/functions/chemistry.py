@@ -112,14 +112,37 @@ def cut_sites(sequence: Column) -> Column:
     return F.when(F.length(sequence) > 0, run).otherwise(F.array().cast("array<int>"))
 
 
-def digest_rows(rows: DataFrame, key: str, sequence: str, missed: int = 2, least: int = 7, most: int = 50) -> DataFrame:
-    """(key, start, end, peptide): the digest as rows, for long sequences. Pieces are cut once and joined to the next ones."""
-    cut = rows.where(F.length(sequence) > 0).select(key, F.posexplode(F.split(sequence, "(?<=[KR])(?=[^P])")).alias("_i", "_p"))
+#: Trypsin: behind K or R, but not before P.
+TRYPSIN = "(?<=[KR])(?=[^P])"
+
+
+def cutting(cutters: dict[str, tuple[str, ...]]) -> str:
+    """A pattern of the places behind the given residues, unless one of the residue's sections stands around it.
+
+    `{"P": ("EGP", "PG")}` cuts behind P, but not where that P ends EGP or begins PG.
+    """
+    ways = []
+    for residue, sections in cutters.items():
+        barred = "".join(f"(?!(?<={s[: s.index(residue) + 1]}){s[s.index(residue) + 1 :]})" for s in sections)
+        ways.append(f"(?<={residue}){barred}(?=.)")
+    return "|".join(ways)
+
+
+def digest_rows(rows: DataFrame, key: str, sequence: str, missed: int = 2, least: int = 7, most: int = 50, cuts: str = TRYPSIN, bare: bool = False) -> DataFrame:
+    """(key, start, end, peptide): the digest as rows, for long sequences. Pieces are cut once and joined to the next ones.
+
+    cuts: a pattern of the places. bare: peptides that begin with the sequence's first M come without it, too.
+    """
+    cut = rows.where(F.length(sequence) > 0).select(key, F.posexplode(F.split(sequence, cuts)).alias("_i", "_p"))
     by = W.partitionBy(key).orderBy("_i")
     start = F.coalesce(F.sum(F.length("_p")).over(by.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).cast("int")
     # A join with a piece past the end is null.
     joined = [F.concat("_p", *[F.lead("_p", j).over(by) for j in range(1, m + 1)]) for m in range(missed + 1)]
     each = cut.select(key, start.alias("start"), F.array(*joined).alias("_all")).select(key, "start", F.explode("_all").alias("peptide"))
+    if bare:
+        whole, rest = F.struct("start", "peptide"), F.struct((F.col("start") + 1).alias("start"), F.substr("peptide", F.lit(2)).alias("peptide"))
+        first_met = (F.col("start") == 0) & F.startswith("peptide", F.lit("M"))
+        each = each.select(key, F.explode(F.when(first_met, F.array(whole, rest)).otherwise(F.array(whole))).alias("_x")).select(key, "_x.start", "_x.peptide")
     return each.where(F.length("peptide").between(least, most)).select(key, "start", (F.col("start") + F.length("peptide")).alias("end"), "peptide")
 
 
@@ -210,3 +233,60 @@ def isotope_bars(pattern: Column, mass: Column, charge: Column, n: int = 8) -> C
     """(mz, abundance) of the first n peaks of a pattern, placed from a measured neutral mass."""
     first = F.slice(pattern, 1, n)
     return F.transform(first, lambda x, i: F.struct((mass / charge + PROTON + i * C13_STEP / charge).alias("mz"), x.abundance.alias("abundance")))
+
+
+#: What an ambiguous residue may stand for.
+AMBIGUOUS = {"B": ("D", "N"), "J": ("L", "I"), "Z": ("E", "Q")}
+
+
+def _letters(sequence: Column) -> Column:
+    return F.filter(F.split(sequence, ""), lambda c: c != "")
+
+
+def resolved(sequence: Column) -> Column:
+    """All plain readings of a sequence with ambiguous residues; none where it holds X."""
+    options = F.create_map(*[x for k, v in AMBIGUOUS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
+    each = lambda c: F.coalesce(F.try_element_at(options, c), F.array(c))
+    grown = F.aggregate(_letters(sequence), F.array(F.lit("")), lambda a, c: F.flatten(F.transform(a, lambda s: F.transform(each(c), lambda o: F.concat(s, o)))))
+    return F.when(F.contains(sequence, F.lit("X")), F.array().cast("array<string>")).otherwise(grown)
+
+
+def modified(sequence: Column, modifiers: dict[str, tuple[str, ...]], most: int) -> Column:
+    """Array of (text, n): the sequence with each choice of at most `most` residues modified, n of them; itself among them.
+
+    modifiers: for a residue, what may stand in its place (as `m` or `M[+15.99]`).
+    """
+    options = F.create_map(*[x for k, v in modifiers.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
+    row = lambda text, n: F.struct(text.alias("text"), n.alias("n"))
+
+    def grow(a: Column, c: Column) -> Column:
+        changed = F.coalesce(F.try_element_at(options, c), F.array().cast("array<string>"))
+        each = lambda s: F.concat(F.array(row(F.concat(s.text, c), s.n)), F.when(s.n < most, F.transform(changed, lambda o: row(F.concat(s.text, o), s.n + 1))).otherwise(F.array().cast("array<struct<text:string,n:int>>")))
+        return F.flatten(F.transform(a, each))
+
+    return F.aggregate(_letters(sequence), F.array(row(F.lit(""), F.lit(0))), grow)
+
+
+def formula(atoms: Column) -> Column:
+    """Elements with their numbers, those without atoms left out: `C6H12O6`."""
+    return F.concat(*[F.when(atoms[e] > 0, F.concat(F.lit(e), atoms[e].cast("string"))).otherwise("") for e in ELEMENTS[:6]])
+
+
+def by_formula(rows: DataFrame, sequence: str) -> DataFrame:
+    """(formula, atoms, n, sequences): distinct sequences of equal composition together; unknown residues are left out."""
+    own = rows.select(F.col(sequence).alias("sequence")).distinct().withColumn("atoms", composition(F.col("sequence"))).where("atoms.C IS NOT NULL")
+    return own.groupBy(formula(F.col("atoms")).alias("formula")).agg(F.first("atoms").alias("atoms"), F.count("*").alias("n"), F.array_sort(F.collect_list("sequence")).alias("sequences"))
+
+
+def shuffled(sequence: Column, seed: int = 0) -> Column:
+    """The sequence with its inner residues in an order drawn from the seed and the sequence; the ends stay."""
+    inner = F.transform(_letters(F.substr(sequence, F.lit(2), F.length(sequence) - 2)), lambda c, i: F.struct(F.xxhash64(F.lit(seed), sequence, i).alias("o"), i.alias("i"), c.alias("c")))
+    mixed = F.array_join(F.transform(F.array_sort(inner), lambda s: s.c), "")
+    return F.when(F.length(sequence) > 3, F.concat(F.substring(sequence, 1, 1), mixed, F.substr(sequence, F.length(sequence)))).otherwise(sequence)
+
+
+def isotope_bar_kinds(pattern: Column, charge: Column, n: int = 8) -> Column:
+    """Array of (mz, raw, share, relative) of a pattern's first n peaks: as they are, of their sum, of the largest."""
+    first = F.slice(pattern, 1, n)
+    total, top = F.aggregate(first, F.lit(0.0), lambda a, x: a + x.abundance), F.array_max(F.transform(first, lambda x: x.abundance))
+    return F.transform(first, lambda x: F.struct(((x.mass + PROTON * charge) / charge).alias("mz"), x.abundance.alias("raw"), (x.abundance / total).alias("share"), (x.abundance / top).alias("relative")))

@@ -8,28 +8,28 @@ from pyspark.sql import functions as F
 from spectraloom.llm.common import dropped, written
 
 
-def connected_components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(id, component) of every node that has an edge (a, b); component is its smallest node.
 
-    Large-star and small-star steps by turns: each is a minimum by node, joined back; the
-    number of rounds grows with the logarithm of a component's diameter. Every round's edges
-    are written to the shared folder. Self-loops and repeated edges do no harm.
+    Edges lead from the larger to the smaller node. In every round each node keeps one edge, to the smallest it has (its
+    parent) or to the parent's parent if there is one; its other edges go from their ends to its parent. So trees
+    of parents stay whole, their depth halves, and trees that an edge ties become one. Each round is a minimum by node,
+    summed on the map side, and joins with that written table, which Spark may split at a node of very many
+    edges. Self-loops and repeated edges do no harm.
     """
     now = written(_down(edges.select("a", "b")), "edges")
-    state = _state(now)
     for _ in range(rounds):
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        # Minima by node are written, so that the join of a node with very many edges can be split.
-        least = written(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        low = written(_down(large), "low")
-        floor = written(low.groupBy("a").agg(F.min("b").alias("m")), "floor")
-        small = low.join(floor, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(floor.select("a", F.col("m").alias("b")))
-        before, past = state, now
-        now = written(_down(small), "edges")
-        dropped(past, least, low, floor)
-        state = _state(now)
-        if state == before:
+        least = written(now.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")), "least")
+        before = _state(least.select("a", F.col("m").alias("b")))
+        single = not least.where("n > 1").head(1)
+        up = least.select(F.col("a").alias("m"), F.col("m").alias("up"))
+        step = least.join(up, "m", "left").select("a", F.coalesce("up", "m").alias("b"))
+        if not single:
+            more = now.join(least.where("n > 1").select("a", "m"), "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+            step = step.unionByName(more).distinct()
+        past, now = now, written(step, "edges")
+        dropped(past, least)
+        if single and _state(now) == before:
             # Every edge now leads to the smallest node of its component.
             found = now.select(F.col("a").alias("id"), F.col("b").alias("component"))
             return found.unionByName(now.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())

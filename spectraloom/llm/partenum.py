@@ -130,13 +130,13 @@ def signatures(shingles: np.ndarray, percent: int) -> np.ndarray:
 
 
 def sketch(shingles: np.ndarray) -> np.ndarray:
-    """Parities of counters, two for each shingle and 256 at least, a power of two.
+    """Parities of counters, two for each shingle and 1,024 at least, a power of two.
 
     Sets that differ in h shingles differ in at most h of the bits, and in nearly h where h is what links
     allow, so that few pairs of a group of copies that just do not link pass. Halves of a longer sketch
     fold into a shorter one by exclusive or.
     """
-    bits = max(256, 1 << (2 * len(shingles) - 1).bit_length())
+    bits = max(1024, 1 << (2 * len(shingles) - 1).bit_length())
     odd = np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
@@ -244,16 +244,15 @@ def verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFra
                 held.append((100 + percent) * shared >= percent * (len(x) + len(y)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(held, pa.bool_()))
 
-    asked = written(pairs.groupBy("b").agg(F.collect_set("a").alias("to")).select(F.col("b").alias("doc_id"), "to"), "asked")
-    leaders = written(pairs.select(F.col("a").alias("doc_id")).distinct(), "leaders")
+    few = F.broadcast if pairs.count() <= BROADCAST_IDS else lambda df: df
+    asked = pairs.groupBy("b").agg(F.collect_set("a").alias("to")).select(F.col("b").alias("doc_id"), "to")
+    leaders = pairs.select(F.col("a").alias("doc_id")).distinct()
     own = F.array("doc_id").alias("to")
     schema = "a long, b long, set binary"
-    one = docs.join(_near(asked), "doc_id").select("doc_id", "text", "to").mapInArrow(run, schema)
-    other = docs.join(_near(leaders), "doc_id").select("doc_id", "text", own).mapInArrow(run, schema)
+    one = docs.join(few(asked), "doc_id").select("doc_id", "text", "to").mapInArrow(run, schema)
+    other = docs.join(few(leaders), "doc_id").select("doc_id", "text", own).mapInArrow(run, schema)
     both = one.join(other.select("a", F.col("set").alias("_set")), "a")
-    links = written(both.select("a", "b", "set", "_set").mapInArrow(compared, "a long, b long"), "links")
-    dropped(asked, leaders)
-    return links
+    return both.select("a", "b", "set", "_set").mapInArrow(compared, "a long, b long")
 
 
 def _may_link(na: Column, nb: Column, a: Column, b: Column, percent: int) -> Column:
@@ -280,9 +279,8 @@ def similarity_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col
     Ids must be integral. Other columns are not read. An empty table gives an empty one.
 
     Equal sets are one class from the start. In every signature's bucket the smallest document
-    leads; a document is compared with the leader that it shares most signatures with, among
-    those that sizes and sketches admit; where that leaves components apart, with its other leaders
-    and with its predecessors in its buckets. Buckets that then hold several components are
+    leads; a document is compared with its leaders and its predecessors in its buckets, where sizes and
+    sketches admit a link. Buckets that then hold several components are
     joined across these, again only where sizes and sketches admit a link, so a group of copies is
     never expanded into its pairs and no link between components is missed. Common keys are summed up
     before they are dealt out (signatures) or joined with written tables, which the skew join splits.
@@ -299,9 +297,6 @@ def similarity_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col
 
     admitted = _may_link(F.col("a_n"), F.col("b_n"), F.col("a_sketch"), F.col("b_sketch"), percent)
 
-    def admissible(pairs: DataFrame) -> DataFrame:
-        return pairs.join(side("b"), "b").join(side("a"), "a").where(admitted)
-
     bucket = W.partitionBy("deal").orderBy("b")
     met = [F.get("met", F.lit(i)) for i in range(3)]
     lead = F.coalesce(met[1], F.first("b").over(bucket.rowsBetween(W.unboundedPreceding, 0)))
@@ -310,43 +305,19 @@ def similarity_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col
     shared = written(dealt.where("a <> b"), "shared")
 
     # The pairs of a document with its leaders, and with its predecessors where these are others.
-    pair = F.explode(F.array(F.struct("a", "b", F.lit(1).alias("n")), F.struct(F.col("p").alias("a"), "b", F.lit(0).alias("n")))).alias("x")
-    pairs = shared.select(pair).where("x.a <> x.b").groupBy("x.a", "x.b").agg(F.sum("x.n").alias("n_shared"))
-    pairs = written(admissible(pairs).select("a", "b", "n_shared").distinct(), "pairs")
-    stars = pairs.where("n_shared > 0").groupBy("b").agg(F.max_by("a", F.struct("n_shared", -F.col("a"))).alias("a")).select("a", "b")
-    stars = written(stars, "stars")
+    pair = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("p").alias("a"), "b"))).alias("x")
+    pairs = shared.select(pair).where("x.a <> x.b").select("x.a", "x.b").distinct()
+    pairs = written(pairs.join(side("b"), "b").join(side("a"), "a").where(admitted).select("a", "b").distinct(), "pairs")
     # Copies that several tasks signed are nodes of their own; they hang on their class's smallest.
-    signed = written(shared.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "signed")
+    signed = shared.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     copies = table.where("digest IS NOT NULL").select("doc_id", "digest").join(signed, "doc_id", "left_semi").join(classes, "digest").where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    first = verified(docs, stars, k, percent)
-    links = written(first.unionByName(copies), "links")
-    dropped(signed, first)
+    links = written(verified(docs, pairs, k, percent).unionByName(copies), "links")
     found = written(connected_components(links), "found")
+    near = _near(found)
 
-    def named(rows: DataFrame, *ids: str) -> DataFrame:
-        """The rows with the component c<id> of each id column."""
-        for c in ids:
-            rows = rows.join(_near(found).select(F.col("id").alias(c), F.col("component").alias(f"c{c}")), c, "left").withColumn(f"c{c}", F.coalesce(f"c{c}", c))
-        return rows
-
-    def further(pairs: DataFrame) -> DataFrame:
-        """Components after the links among further pairs, too."""
-        if not pairs.head(1):
-            return found
-        more = verified(docs, pairs, k, percent)
-        if not more.head(1):
-            dropped(more)
-            return found
-        joined = connected_components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
-        joined = written(joined, "found")
-        dropped(more, found)
-        return joined
-
-    # Where components meet in buckets still: each member with all its leaders and all its predecessors.
-    near = written(named(pairs.select("a", "b").join(stars, ["a", "b"], "left_anti"), "a", "b").where("ca <> cb").select("a", "b"), "near")
-    found = further(near)
+    # Buckets in which several components meet still.
     members = shared.select("sig", F.explode(F.array("a", "b")).alias("id"))
-    members = named(members, "id").select("sig", "id", F.col("cid").alias("c"))
+    members = members.join(near, "id", "left").select("sig", "id", F.coalesce("component", "id").alias("c"))
     open_ = written(members.groupBy("sig").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("sig"), "open")
     members = members.join(_near(open_), "sig", "left_semi").distinct()
     members = written(members.join(nodes, "id"), "members")
@@ -354,9 +325,15 @@ def similarity_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col
     apart = (F.col("l_id") < F.col("id")) & (F.col("l_c") != F.col("c"))
     apart = apart & _may_link(F.col("l_n"), F.col("n"), F.col("l_sketch"), F.col("sketch"), percent)
     across = left.join(members, (left["sig"] == members["sig"]) & apart).select(F.col("l_id").alias("a"), F.col("id").alias("b")).distinct()
-    across = written(across.join(stars.unionByName(near), ["a", "b"], "left_anti"), "across")
-    dropped(shared, pairs, stars, near, open_, members)
-    found = further(across)
+    across = written(across.join(pairs, ["a", "b"], "left_anti"), "across")
+    dropped(shared, pairs, open_, members)
+    if across.head(1):
+        more = written(verified(docs, across, k, percent), "links")
+        if more.head(1):
+            before = found
+            found = written(connected_components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more)), "found")
+            dropped(before)
+        dropped(more)
     last = found.select(F.col("id").alias("rep"), "component")
     sized = table.select("doc_id", "n_shingles", "digest")
     held = sized.where("digest IS NOT NULL").join(classes, "digest", "left").withColumn("rep", F.coalesce("rep", "doc_id"))

@@ -13,7 +13,7 @@ def keep_last(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFram
     return rows.withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n")
 
 
-def band_join(left: DataFrame, right: DataFrame, a: str, b: str, tolerance: float, keys: list[str] = (), strict: bool = False, how: str = "inner") -> DataFrame:
+def band_join(left: DataFrame, right: DataFrame, a: str, b: str, tolerance: float, keys: list[str] = (), strict: bool = False) -> DataFrame:
     """Pairs whose values differ by at most (or, if strict, less than) the tolerance.
 
     Values fall into bins as wide as the tolerance. A left row probes its bin and both
@@ -25,7 +25,7 @@ def band_join(left: DataFrame, right: DataFrame, a: str, b: str, tolerance: floa
     on = (probe["_bin"] == filed["_bin"]) & ((gap < tolerance) if strict else (gap <= tolerance))
     for k in keys:
         on = on & (probe[k] == filed[f"_{k}"])
-    return probe.join(filed, on, how).drop("_bin", *[f"_{k}" for k in keys])
+    return probe.join(filed, on).drop("_bin", *[f"_{k}" for k in keys])
 
 
 def nearest_join(left: DataFrame, right: DataFrame, left_id: str, a: str, b: str, tolerance: float) -> DataFrame:
@@ -58,8 +58,8 @@ def overlap_join(left: DataFrame, right: DataFrame, key: str, l0: str, l1: str,
     return a.join(b, on).drop("_bin", "_key")
 
 
-def ppm_join(left: DataFrame, right: DataFrame, a: str, b: str, ppm: float) -> DataFrame:
-    """Pairs whose values differ by at most ppm of the left (positive) one.
+def ppm_join(left: DataFrame, right: DataFrame, a: str, b: str, ppm: float, keys: list[str] = (), strict: bool = False) -> DataFrame:
+    """Pairs (of equal keys) whose values differ by at most, or less than, ppm of the left (positive) one.
 
     Bins are even in the logarithm and wider than the tolerance at any value.
     """
@@ -67,7 +67,28 @@ def ppm_join(left: DataFrame, right: DataFrame, a: str, b: str, ppm: float) -> D
     at = lambda c: F.floor(F.log(F.col(c)) / width)
     probe = left.where(F.col(a) > 0).withColumn("_bin", F.explode(F.array(*[at(a) + d for d in (-1, 0, 1)])))
     filed = right.where(F.col(b) > 0).withColumn("_bin", at(b))
-    return probe.join(filed, "_bin").where(F.abs(F.col(a) - F.col(b)) <= F.col(a) * ppm / 1e6).drop("_bin")
+    gap, most = F.abs(F.col(a) - F.col(b)), F.col(a) / 1e6 * ppm
+    return probe.join(filed, ["_bin", *keys]).where((gap < most) if strict else (gap <= most)).drop("_bin")
+
+
+def nearest_ppm(left: DataFrame, right: DataFrame, left_id: list[str], a: str, b: str, ppm: float, keys: list[str] = ()) -> DataFrame:
+    """Each left row with its nearest right rows (of equal keys) strictly within the tolerance; ties all stay."""
+    closest = W.partitionBy(*left_id).orderBy(F.abs(F.col(a) - F.col(b)))
+    return ppm_join(left, right, a, b, ppm, keys, strict=True).withColumn("_r", F.rank().over(closest)).where("_r = 1").drop("_r")
+
+
+def nearest_in_time(rows: DataFrame, sources: DataFrame, key: str, time: str, name: str, value: str) -> DataFrame:
+    """Each row with the value of the source nearest in time (the earlier of two as near), by key: one ordered pass over both."""
+    own = rows.select("*", F.col(time).alias("_t"), F.lit(None).cast(sources.schema[value].dataType).alias("_v"), F.lit(1).alias("_is_row"))
+    other = sources.select(key, F.col(time).alias("_t"), F.col(value).alias("_v"), F.lit(0).alias("_is_row"))
+    both = own.unionByName(other, allowMissingColumns=True)
+    seen = F.when(F.col("_is_row") == 0, F.struct(F.col("_t").alias("t"), F.col("_v").alias("v")))
+    # Sources come before rows of the same time; of several of one time the smallest value counts.
+    ahead = W.partitionBy(key).orderBy("_t", "_is_row", F.desc("_v")).rowsBetween(W.unboundedPreceding, 0)
+    behind = W.partitionBy(key).orderBy(F.desc("_t"), "_is_row", F.desc("_v")).rowsBetween(W.unboundedPreceding, 0)
+    both = both.withColumns({"_a": F.last(seen, ignorenulls=True).over(ahead), "_b": F.last(seen, ignorenulls=True).over(behind)}).where("_is_row = 1")
+    later = F.col("_a").isNull() | ((F.col("_b.t") - F.col("_t")) < (F.col("_t") - F.col("_a.t")))
+    return both.withColumn(name, F.when(later, F.col("_b.v")).otherwise(F.col("_a.v"))).drop("_t", "_v", "_is_row", "_a", "_b")
 
 
 def points_in_boxes(
