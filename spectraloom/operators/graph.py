@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -10,21 +11,43 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; where it is unset (tests), a temporary one."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that spark.checkpoint.dir names, or the session's checkpoint folder.
+
+    Where neither is set, a temporary one, on a local master alone; a cluster without the setting raises.
+    """
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not named:
-        named = tempfile.mkdtemp(prefix="spectraloom-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named
+        if context.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors see")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="spectraloom-"))
+        named = context.getCheckpointDir()
+    return named.rstrip("/")
+
+
+#: Tables that `settled` wrote, by path; results read them until the session ends.
+_written: dict[str, SparkSession] = {}
 
 
 def settled(rows: DataFrame, name: str) -> DataFrame:
     """The rows, written as Parquet in the shared folder and read again: no lineage behind them."""
     path = f"{shared_folder(rows.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    _written[path] = rows.sparkSession
     rows.write.parquet(path)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
+@atexit.register
+def release(spark: SparkSession | None = None) -> None:
+    """Deletes the settled tables of a session, or of all; frames that read them can no longer be used. Called at the driver's end, too."""
+    for path, owner in list(_written.items()):
+        if spark is None or owner is spark:
+            context = _written.pop(path).sparkContext
+            if context._jsc is not None:  # else it was stopped
+                there = context._jvm.org.apache.hadoop.fs.Path(path)
+                there.getFileSystem(context._jsc.hadoopConfiguration()).delete(there, True)
+
+
 def components(edges: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
     """(id, component): each node that has an edge, with the smallest node that it reaches.
 

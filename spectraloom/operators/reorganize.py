@@ -41,7 +41,7 @@ def _targets(rows: DataFrame, q: str, proteins: str, q_max: float) -> DataFrame:
 def psms(rescored: DataFrame, search: DataFrame, q_max: float = 0.01) -> DataFrame:
     """Accepted target PSMs with their search rows (left join; of repeated psm_ids the last row by `_order` counts).
 
-    `search` may carry `_order` (file position); without it the largest row in text order is taken.
+    `search` may carry `_order` (file position, as `read_tsv(order=True)` gives); without it the largest row in text order is taken.
     """
     kept = _targets(rescored, "q-value", "proteinIds", q_max)
     order = F.col("_order") if "_order" in search.columns else F.struct(*[F.col(c) for c in search.columns])
@@ -141,13 +141,17 @@ def file_peptides(psm: DataFrame, quant: DataFrame, global_peptides: DataFrame)
 
 
 def file_proteins(psm: DataFrame, global_proteins: DataFrame) -> DataFrame:
-    """Per file and protein named by a PSM: counts and lists, with the global row that has it as an alias (largest id of several)."""
+    """Per file and protein named by a PSM: counts and lists, with the global row that has it as an alias.
+
+    Of several the last by `_order` counts (`read_tsv` gives it), and the largest id where the rows have none.
+    """
     its = psm.select("filename", "peptide", "scan", "psm_id", F.explode(S.items(F.col("proteins"))).alias("protein_id"))
     rows = its.groupBy("filename", "protein_id").agg(
         F.countDistinct(F.nullif("peptide", F.lit(""))).alias("n_peptides"), F.count("*").alias("n_psms"), _list("peptide").alias("peptides"), _list("scan").alias("scans"), _list("psm_id").alias("psm_ids")
     )
-    known = global_proteins.select(F.explode(_aliases(F.col("protein_id"))).alias("alias"), F.struct("protein_id", "protein_group_id", "rescored_q", "rescored_pep").alias("g"))
-    known = known.groupBy("alias").agg(F.max_by("g", F.col("g.protein_id")).alias("g"))
+    order = "_order" if "_order" in global_proteins.columns else "protein_id"
+    known = global_proteins.select(F.explode(_aliases(F.col("protein_id"))).alias("alias"), F.struct("protein_id", "protein_group_id", "rescored_q", "rescored_pep").alias("g"), F.col(order).alias("o"))
+    known = known.groupBy("alias").agg(F.max_by("g", "o").alias("g"))
     j = rows.join(known, rows["protein_id"] == known["alias"], "left")
     return _fill(j.select(*rows.columns, F.col("g.protein_group_id").alias("protein_group_id"), F.col("g.rescored_q").alias("protein_q"), F.col("g.rescored_pep").alias("protein_pep")))
 

@@ -10,10 +10,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def read_tsv(spark: SparkSession, path: str) -> DataFrame:
-    """All columns as text, blank instead of null, a `file_path` beside them. Only the header is read to plan."""
+def read_tsv(spark: SparkSession, path: str, order: bool = False) -> DataFrame:
+    """All columns as text, blank instead of null. Only the header is read to plan.
+
+    With `order` a column `_order` beside them: by file, then by row within a file (its splits are read as
+    partitions in ascending order), so that operators that keep the last of several rows can tell it.
+    """
     rows = spark.read.csv(path, sep="\t", header=True, quote="", nullValue=None)
-    return rows.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in rows.columns])
+    place = F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id().alias("row"))
+    return rows.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in rows.columns], *[place.alias("_order")] * order)
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:

@@ -125,3 +125,17 @@ def test_flanks(spark):
     ask = spark.createDataFrame([("PEK", "P1"), ("PEK", "P9"), ("ZZ", "P1")], "peptide string, protein string")
     digest = spark.createDataFrame([("P1", "PEK", "K", "A"), ("P0", "PEK", "-", "R")], "protein string, peptide string, left_flank string, right_flank string")
     assert {(r.peptide, r.protein, r.left_flank, r.status) for r in R.flank_lookup(ask, digest).collect()} == {("PEK", "P1", "K", "protein"), ("PEK", "P9", "-", "peptide"), ("ZZ", "P1", "", "missing")}
+
+
+def test_order_tells_the_last_row(spark, tmp_path):
+    lines = ["psm_id\tv", *[f"{i % 500}\t{i}" for i in range(40_000)]]
+    (tmp_path / "rows.tsv").write_text("\n".join(lines) + "\n")
+    held = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        rows = files.read_tsv(spark, str(tmp_path / "rows.tsv"), order=True)
+        assert rows.rdd.getNumPartitions() > 3
+        last = rows.groupBy("psm_id").agg(F.max_by("v", "_order").alias("v")).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", held)
+    assert {int(r.psm_id): int(r.v) for r in last} == {i: 39_500 + i for i in range(500)}
