@@ -73,45 +73,60 @@ def islands(points: DataFrame, ppm: float, least: float) -> DataFrame:
     return inside.withColumn("_cut", seen).join(ends, ["file_id", "_b"]).withColumn("island", F.coalesce("_cut", "_from")).drop("_b", "_cut", "_from")
 
 
-def follow(scan: np.ndarray, mz: np.ndarray, s: Settings) -> np.ndarray:
-    """The line of each point; points come by scan, then m/z. Scans without points are misses of every line.
-
-    A point takes, among lines within its tolerance that no other point of its scan took, the one
-    with the least distance (in tolerances) plus 0.03 a scan of gap. A hit halves a line's misses;
-    a line whose misses pass the bound ends.
-    """
-    mean, count, last, misses, name = np.empty(0), np.empty(0, int), np.empty(0, int), np.empty(0, int), np.empty(0, int)
-    out, lines, now = np.empty(scan.size, int), 0, None
-    for t, a, b in _runs(scan):
-        if now is not None and t - now > 1:
-            misses = misses + (t - now - 1)
-            live = misses <= s.most_misses
-            mean, count, last, misses, name = mean[live], count[live], last[live], misses[live], name[live]
-        order = np.argsort(mean, kind="stable")
-        mean, count, last, misses, name = mean[order], count[order], last[order], misses[order], name[order]
-        x = mz[a:b]
+class Tracker:
+    """The lines that are alive after a scan: mean m/z, points, last scan, misses and number of each."""
+
+    def __init__(self, s: Settings, mean=(), count=(), last=(), misses=(), name=(), lines: int = 0, now: int | None = None):
+        self.s, self.lines, self.now = s, lines, now
+        self.mean = np.array(mean, float)
+        self.count, self.last, self.misses, self.name = (np.array(v, int) for v in (count, last, misses, name))
+
+    def _keep(self, rows: np.ndarray) -> None:
+        self.mean, self.count, self.last, self.misses, self.name = self.mean[rows], self.count[rows], self.last[rows], self.misses[rows], self.name[rows]
+
+    def scan(self, t: int, x: np.ndarray) -> np.ndarray:
+        """The line of each point of scan t, ascending in m/z; t lies after all scans before. Scans left out are misses of every line."""
+        s = self.s
+        if self.now is not None and t - self.now > 1:
+            self.misses = self.misses + (t - self.now - 1)
+            self._keep(self.misses <= s.most_misses)
+        self._keep(np.argsort(self.mean, kind="stable"))
         tol = np.maximum(s.line_abs, x * s.line_ppm / 1e6)
-        lo, hi = np.searchsorted(mean, x - tol), np.searchsorted(mean, x + tol, "right")
-        taken, fresh, base, old = np.zeros(mean.size, bool), [], mean.copy(), t - last
-        for i in range(b - a):
+        lo, hi = np.searchsorted(self.mean, x - tol), np.searchsorted(self.mean, x + tol, "right")
+        out, fresh, taken, base, old = np.empty(x.size, int), [], np.zeros(self.mean.size, bool), self.mean.copy(), t - self.last
+        for i in range(x.size):
             near = np.arange(lo[i], hi[i])
             near = near[~taken[near] & (old[near] >= 1) & (old[near] <= s.most_misses + 1)]
             if near.size == 0:
+                out[i] = self.lines + len(fresh)
                 fresh.append(i)
-                out[a + i] = lines + len(fresh) - 1
                 continue
             j = near[np.argmin(np.abs(base[near] - x[i]) / tol[i] + old[near] * 0.03)]
             taken[j] = True
-            count[j] += 1
-            mean[j] += (x[i] - mean[j]) / count[j]
-            out[a + i] = name[j]
-        last[taken] = t
-        misses = np.where(taken, misses // 2, misses + 1)
-        live, k = misses <= s.most_misses, len(fresh)
-        mean, count = np.r_[mean[live], x[fresh]], np.r_[count[live], np.ones(k, int)]
-        last, misses = np.r_[last[live], np.full(k, t)], np.r_[misses[live], np.zeros(k, int)]
-        name = np.r_[name[live], lines + np.arange(k)]
-        lines, now = lines + k, t
+            self.count[j] += 1
+            self.mean[j] += (x[i] - self.mean[j]) / self.count[j]
+            out[i] = self.name[j]
+        self.last[taken] = t
+        self.misses = np.where(taken, self.misses // 2, self.misses + 1)
+        self._keep(self.misses <= s.most_misses)
+        k = len(fresh)
+        self.mean, self.count = np.r_[self.mean, x[fresh]], np.r_[self.count, np.ones(k, int)]
+        self.last, self.misses = np.r_[self.last, np.full(k, t)], np.r_[self.misses, np.zeros(k, int)]
+        self.name = np.r_[self.name, self.lines + np.arange(k)]
+        self.lines, self.now = self.lines + k, t
+        return out
+
+
+def follow(scan: np.ndarray, mz: np.ndarray, s: Settings) -> np.ndarray:
+    """The line of each point; points come by scan, then m/z. Scans without points are misses of every line.
+
+    A point takes, among lines within its tolerance that no other point of its scan took, the one
+    with the least distance (in tolerances) plus 0.03 a scan of gap. A hit halves a line's misses;
+    a line whose misses pass the bound ends.
+    """
+    tracker, out = Tracker(s), np.empty(scan.size, int)
+    for t, a, b in _runs(scan):
+        out[a:b] = tracker.scan(t, mz[a:b])
     return out
 
 

@@ -1 +1 @@
-"""See the package README for what lives here."""
+"""Structured Streaming operators."""
