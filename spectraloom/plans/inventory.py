@@ -169,24 +169,18 @@ def j24_exists_band(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.ppm_join(a, b, "x", "y", 20).select("s_suppkey").distinct()
 
 
-_BOXES = """
-WITH e AS (SELECT event_id, user_id, value, epoch_us(ts) / 1e6 AS t FROM events),
-b AS (SELECT event_id AS box, user_id AS u, t - 3600 AS t0, t + 3600 AS t1, value - 2 AS v0, value + 2 AS v1, value AS quality FROM e WHERE event_id % 7 = 0)
-"""
-
-
-#: The same with a box around every event.
+#: Events, and a box around each.
 _ALL_BOXES = """
 WITH e AS (SELECT event_id, user_id, value, epoch_us(ts) / 1e6 AS t FROM events),
 b AS (SELECT event_id AS box, user_id AS u, t - 3600 AS t0, t + 3600 AS t1, value - 2 AS v0, value + 2 AS v1, value AS quality FROM e)
 """
 
 
-def _boxes(spark: SparkSession, sf_dir: str, every: int = 7) -> tuple[DataFrame, DataFrame]:
-    """Events as points, and boxes around every seventh of them, or around all (1)."""
+def _boxes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Events as points, and a box around each."""
     e = table(spark, sf_dir, "events").select("event_id", "user_id", "value", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"))
     v, t = F.col("value"), F.col("t")
-    b = (e if every == 1 else e.where(F.col("event_id") % every == 0)).select(F.col("event_id").alias("box"), F.col("user_id").alias("u"), (t - 3600).alias("t0"), (t + 3600).alias("t1"), (v - 2).alias("v0"), (v + 2).alias("v1"), v.alias("quality"))
+    b = e.select(F.col("event_id").alias("box"), F.col("user_id").alias("u"), (t - 3600).alias("t0"), (t + 3600).alias("t1"), (v - 2).alias("v0"), (v + 2).alias("v1"), v.alias("quality"))
     return e, b
 
 
@@ -199,14 +193,9 @@ def _overlap(b: DataFrame) -> DataFrame:
     return j.where("l_box < r_box AND l_v0 < r_v1 AND r_v0 < l_v1").select(F.col("l_box").alias("l"), F.col("r_box").alias("r"))
 
 
-@query(_BOXES + _OVERLAP)
-def j26_box_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _overlap(_boxes(spark, sf_dir)[1])
-
-
 @query(_ALL_BOXES + _OVERLAP)
 def j26_box_overlap_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _overlap(_boxes(spark, sf_dir, 1)[1])
+    return _overlap(_boxes(spark, sf_dir)[1])
 
 
 _IN_BOX = """, j AS (SELECT event_id, box, row_number() OVER (PARTITION BY event_id ORDER BY quality DESC, box) AS n FROM e JOIN b ON user_id = u AND t BETWEEN t0 AND t1 AND value BETWEEN v0 AND v1)
@@ -217,14 +206,9 @@ def _in_box(e: DataFrame, b: DataFrame) -> DataFrame:
     return joins.points_in_boxes(e, b, "user_id", "u", ("t", "t0", "t1"), ("value", "v0", "v1"), 7200.0, ["event_id"], [F.desc("quality"), F.asc("box")]).select("event_id", "box")
 
 
-@query(_BOXES + _IN_BOX)
-def j27_point_in_box(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _in_box(*_boxes(spark, sf_dir))
-
-
 @query(_ALL_BOXES + _IN_BOX)
 def j27_point_in_box_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _in_box(*_boxes(spark, sf_dir, 1))
+    return _in_box(*_boxes(spark, sf_dir))
 
 
 _CLASS = """, j AS (SELECT event_id, min(CASE WHEN quality > 60 THEN 0 WHEN quality > 30 THEN 1 ELSE 2 END) AS c FROM e JOIN b ON user_id = u AND t BETWEEN t0 AND t1 AND value BETWEEN v0 AND v1 GROUP BY 1)
@@ -237,22 +221,9 @@ def _class(e: DataFrame, b: DataFrame) -> DataFrame:
     return e.join(best, "event_id", "left").select("event_id", F.coalesce("c", F.lit(3)).alias("class"))
 
 
-@query(_BOXES + _CLASS)
-def a28_point_class(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _class(*_boxes(spark, sf_dir))
-
-
 @query(_ALL_BOXES + _CLASS)
 def a28_point_class_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _class(*_boxes(spark, sf_dir, 1))
-
-
-@query("""
-SELECT o_orderkey, o_totalprice, o_orderpriority FROM orders WHERE o_totalprice BETWEEN 100000 AND 200000 AND o_orderstatus = 'O' AND o_custkey BETWEEN 10 AND 1000
-ORDER BY o_orderpriority, abs(o_totalprice - 150000), o_orderkey LIMIT 40""")
-def j29_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").where("o_totalprice BETWEEN 100000 AND 200000 AND o_orderstatus = 'O' AND o_custkey BETWEEN 10 AND 1000")
-    return o.orderBy("o_orderpriority", F.abs(F.col("o_totalprice") - 150000), "o_orderkey").limit(40).select("o_orderkey", "o_totalprice", "o_orderpriority")
+    return _class(*_boxes(spark, sf_dir))
 
 
 @query("""
@@ -322,7 +293,7 @@ def d03_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT event_id, json_extract_string(props, '$.k') AS k, CAST(json_valid(props) AS BOOLEAN) AS valid FROM events""")
 def src10_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
-    return e.select("event_id", F.get_json_object("props", "$.k").alias("k"), F.coalesce(F.get_json_object("props", "$"), F.lit("")).startswith("{").alias("valid"))
+    return e.select("event_id", F.get_json_object("props", "$.k").alias("k"), files.is_json(F.col("props")).alias("valid"))
 
 
 @query("""

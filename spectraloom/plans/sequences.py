@@ -87,20 +87,9 @@ def i12_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.digest_rows(d, "doc_id", "q").groupBy("doc_id").agg(F.count("*").alias("spans"), F.sum(F.length("peptide")).alias("residues"), F.countDistinct("peptide").alias("peptides"))
 
 
-@query("""
-WITH e AS (SELECT DISTINCT c_nationkey AS a, s_suppkey + 1000 AS b FROM customer JOIN supplier ON c_custkey % 97 = s_suppkey % 89 AND c_custkey < 60 AND s_suppkey < 40),
-u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
-r AS (WITH RECURSIVE t(id, seen) AS (SELECT a, a FROM u UNION SELECT t.id, u.b FROM t JOIN u ON t.seen = u.a) SELECT id, least(id, min(seen)) AS component FROM t GROUP BY id)
-SELECT CAST(id AS BIGINT) AS id, CAST(component AS BIGINT) AS component FROM r""")
-def d22_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "customer").where("c_custkey < 60").select((F.col("c_custkey") % 97).alias("k"), F.col("c_nationkey").cast("long").alias("a"))
-    s = table(spark, sf_dir, "supplier").where("s_suppkey < 40").select((F.col("s_suppkey") % 89).alias("k"), (F.col("s_suppkey") + 1000).alias("b"))
-    return graph.components(c.join(s, "k").select("a", "b").distinct(), "a", "b")
-
-
 @query(None)
 def d22_components_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts and suppliers (ids below 0) that any line item links: whole tables, where `d22_components` has its SQL's few ids."""
+    """Parts and suppliers (ids below 0) that any line item links, over whole tables."""
     l = table(spark, sf_dir, "lineitem")  # noqa: E741
     return graph.components(l.select(F.col("l_partkey").alias("a"), (-F.col("l_suppkey")).alias("b")).distinct(), "a", "b")
 

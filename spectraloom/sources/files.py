@@ -25,6 +25,11 @@ def read_json(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.json(path, multiLine=True)
 
 
+def is_json(text: Column) -> Column:
+    """Whether a text is one JSON value of any kind; null for null."""
+    return F.when(text.isNotNull(), F.try_parse_json(text).isNotNull())
+
+
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     """(header, accession, source, sequence) of every entry with a sequence, upper-cased.
 
