@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from spectraloom.plans import inventory, quant, relational, sequences, spectra_match, stores, tables
+from spectraloom.plans import charge_grids, inventory, quant, relational, sequences, spectra_match, stores, tables
 
-PARTS = (quant, relational, sequences, inventory, stores, tables, spectra_match)
+PARTS = (charge_grids, quant, relational, sequences, inventory, stores, tables, spectra_match)
 QUERIES = {name: q for part in PARTS for name, q in part.QUERIES.items()}
 ORACLES = {name: q for part in PARTS for name, q in part.ORACLES.items()}
