@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spectraloom.functions import scalars as S
+from spectraloom.functions.peaks import peaks_udf
+from spectraloom.operators import joins
 
 _PARAM = "array<struct<_accession:string,_name:string,_value:string,_unitName:string>>"
 #: The parts of a spectrum element that are read.
@@ -176,3 +178,19 @@ def ms2_on(spectra: DataFrame, boxes: DataFrame) -> DataFrame:
     s = spectra.where("ms_level = 2").select("file", "spectrum_id", "rt", "isolation_low", "isolation_high", F.floor("rt").alias("_m"))
     hit = F.col("rt").between(F.col("rt_start"), F.col("rt_end")) & (F.col("isolation_low") <= F.col("mz_max")) & (F.col("isolation_high") >= F.col("mz_min"))
     return filed.join(s, ["file", "_m"]).where(hit).select("box_id", "file", "spectrum_id", "rt")
+
+
+def profile_points(spectra: DataFrame, boxes: DataFrame) -> DataFrame:
+    """Profile points that lie under a peak whose top is in a box: (file, scan, rt, mz, intensity, box_id), the best box by quality.
+
+    Points are cut into peaks scan by scan, and a whole peak, bounds included, follows its top; a valley between
+    two peaks may come with both. `boxes` is (file, box_id, mz_min, mz_max, rt_start, rt_end, quality); of equal ones the least id.
+    """
+    rows = same_length(spectra).where(F.size("mz") > 0)
+    pts = F.array_sort(F.arrays_zip("mz", "intensity"))
+    rows = rows.select("file", "scan", "rt", pts.alias("p")).withColumn("peak", F.explode(peaks_udf()(F.col("p.intensity"))))
+    under = F.slice("p", F.col("peak.left") + 1, F.col("peak.right") - F.col("peak.left"))
+    tops = rows.select("file", "scan", "rt", F.get("p", F.col("peak.apex"))["mz"].alias("top"), "peak.left", under.alias("p"))
+    filed = boxes.withColumnRenamed("file", "_file")
+    met = joins.points_in_boxes(tops, filed, "file", "_file", ("rt", "rt_start", "rt_end"), ("top", "mz_min", "mz_max"), 1.0, ["file", "scan", "left"], [F.desc("quality"), F.asc("box_id")])
+    return met.select("file", "scan", "rt", F.inline("p"), "box_id").distinct()
