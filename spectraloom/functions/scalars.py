@@ -130,3 +130,59 @@ def cleavage_sites(sequence: Column) -> Column:
 
 def wrap_fasta(sequence: Column, width: int = 60) -> Column:
     return F.rtrim(F.regexp_replace(sequence, f"(.{{{width}}})", "$1\n"))
+
+
+def mz_of(mass: Column, charge: Column) -> Column:
+    """The m/z of a neutral mass: the inverse of `neutral_mass`."""
+    return (mass + charge * PROTON) / charge
+
+
+def measured_mass(calculated: Column, experimental: Column) -> Column:
+    """The first of two texts that is a positive number, else null."""
+    each = [to_double(x) for x in (calculated, experimental)]
+    return F.coalesce(*[F.when(x > 0, x) for x in each])
+
+
+def measured_charge(charge: Column) -> Column:
+    """A positive whole charge, else null."""
+    z = to_int(charge)
+    return F.when(z > 0, z)
+
+
+def measured_time(rt: Column, aligned: Column) -> Column:
+    """The first of two texts that is a number, else null."""
+    return F.coalesce(to_double(rt), to_double(aligned))
+
+
+#: Q-values between which the colour scale runs, and the least that is told apart.
+Q_BEST, Q_WORST, Q_LEAST = 1e-4, 0.05, 1e-6
+
+
+def q_position(q: Column, linear: bool = False) -> Column:
+    """Place of a q-value on a scale from 0 (best, and null) to 1: even in its logarithm, or in itself from 0."""
+    x = F.greatest(q, F.lit(Q_LEAST))
+    t = x / Q_WORST if linear else F.log10(x / Q_BEST) / F.log10(F.lit(Q_WORST / Q_BEST))
+    return F.when(q.isNull(), 0.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), t)))
+
+
+def heat(t: Column) -> Column:
+    """(red, green, blue) of a place on the scale: green over yellow to red."""
+    part = lambda x: F.floor(255 * F.least(F.lit(1.0), 2 * x)).cast("int")
+    return F.struct(part(t).alias("red"), part(1 - t).alias("green"), F.lit(40).alias("blue"))
+
+
+def levels(text: Column) -> Column:
+    """Sorted distinct numbers of a list such as `1,2-4`; blank parts are skipped, other text is an error, as is a list without any."""
+    parts = F.filter(F.transform(F.split(text, ","), lambda p: F.trim(p)), lambda p: p != "")
+    ends = lambda p: F.transform(F.split(p, "-", 2), lambda x: F.trim(x).cast("int"))
+    run = lambda e: F.when(e[0] <= F.element_at(e, -1), F.sequence(e[0], F.element_at(e, -1))).otherwise(F.array().cast("array<int>"))
+    found = F.array_sort(F.array_distinct(F.flatten(F.transform(F.transform(parts, ends), run))))
+    return F.when(text.isNull() | (F.size(found) > 0), found).otherwise(F.raise_error(F.lit("no levels are named")))
+
+
+def is_mzml(path: Column) -> Column:
+    return F.lower(path).rlike(r"\.mzml(\.gz)?$")
+
+
+def is_centroid_mzml(path: Column) -> Column:
+    return F.lower(path).rlike(r"\.centroid\.mzml(\.gz)?$")
