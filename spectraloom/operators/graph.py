@@ -29,10 +29,16 @@ def shared_folder(spark: SparkSession) -> str:
 _written: dict[str, SparkSession] = {}
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; what is written there is deleted when the session ends."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _written[path] = spark
+    return path
+
+
 def settled(rows: DataFrame, name: str) -> DataFrame:
     """The rows, written as Parquet in the shared folder and read again: no lineage behind them."""
-    path = f"{shared_folder(rows.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    _written[path] = rows.sparkSession
+    path = scratch(rows.sparkSession, name)
     rows.write.parquet(path)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
