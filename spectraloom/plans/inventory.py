@@ -81,28 +81,6 @@ def a22_table_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one("customer").union(one("events")).union(one("orders")).union(one("part"))
 
 
-@query("""
-SELECT l_linenumber AS level, CAST(count(*) FILTER (WHERE l_returnflag = 'A') AS BIGINT) AS a, CAST(count(*) FILTER (WHERE l_returnflag = 'N') AS BIGINT) AS n,
-  CASE WHEN count(DISTINCT l_returnflag) > 1 THEN 'mixed' ELSE min(l_returnflag) END AS class FROM lineitem GROUP BY 1""")
-def a23_level_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = table(spark, sf_dir, "lineitem").groupBy(F.col("l_linenumber").alias("level"))
-    n = lambda v: F.count(F.when(F.col("l_returnflag") == v, 1)).alias(v.lower())
-    kind = F.when(F.min("l_returnflag") != F.max("l_returnflag"), "mixed").otherwise(F.min("l_returnflag"))
-    return g.agg(n("A"), n("N"), kind.alias("class"))
-
-
-@query("""
-WITH e AS (SELECT user_id, CAST(floor(epoch_us(ts) / 3.6e9) AS BIGINT) AS scan, value FROM events), t AS (SELECT unnest([5.0, 20.0, 60.0]) AS target)
-SELECT user_id, scan, CAST(target AS DOUBLE) AS target, round(sum(CASE WHEN abs(value - target) <= 2 THEN value ELSE 0 END), 4) AS intensity, round(sum(value), 4) AS tic, CAST(count(*) AS BIGINT) AS n_points
-FROM e CROSS JOIN t GROUP BY 1, 2, 3""")
-def a25_chromatograms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").select("user_id", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 3.6e9).alias("scan"), "value")
-    near = [F.sum(F.when(F.abs(F.col("value") - t) <= 2, F.col("value")).otherwise(0.0)).alias(f"t{i}") for i, t in enumerate((5.0, 20.0, 60.0))]
-    g = e.groupBy("user_id", "scan").agg(*near, F.sum("value").alias("tic"), _n("n_points"))  # one pass for all targets
-    rows = F.inline(F.array(*[F.struct(F.lit(t).alias("target"), F.col(f"t{i}").alias("intensity")) for i, t in enumerate((5.0, 20.0, 60.0))]))
-    return g.select("user_id", "scan", "tic", "n_points", rows).select("user_id", "scan", "target", F.round("intensity", 4).alias("intensity"), F.round("tic", 4).alias("tic"), "n_points")
-
-
 @query("""
 SELECT o_orderstatus AS status, CAST(floor(o_totalprice / 50000) AS BIGINT) AS bin, CAST(count(*) AS BIGINT) AS n FROM orders GROUP BY 1, 2""")
 def a35_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
