@@ -1,11 +1,11 @@
-"""The queries op1 to op10, and DuckDB SQL where it can express them."""
+"""The queries op1 to op11, and DuckDB SQL where it can express them."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spectraloom.llm import bpe, chat, crf, lines, maxent, media, mixing, multiset, partenum, warc
+from spectraloom.llm import bpe, chat, crf, lines, maxent, media, mixing, multiset, partenum, superkmers, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -107,6 +107,25 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digests(_table(spark, sf_dir, "documents"))
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = superkmers.dedup_passages(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+OP11_SQL = r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words FROM documents),
+s AS (SELECT doc_id, unnest(range(len(words) - 19)) AS p FROM d WHERE len(words) >= 20),
+w AS (SELECT doc_id, p, words[p + 1 : p + 20] AS said FROM s JOIN d USING (doc_id)),
+f AS (SELECT said, min({'doc_id': doc_id, 'p': p}) AS first FROM w GROUP BY said HAVING count(*) > 1),
+g AS (SELECT DISTINCT doc_id, unnest(range(p, p + 20)) AS p FROM w JOIN f USING (said) WHERE doc_id <> first.doc_id OR p <> first.p),
+l AS (SELECT doc_id, unnest(words) AS word, unnest(range(len(words))) AS p FROM d),
+k AS (SELECT l.doc_id, count(g.p) AS gone, string_agg(CASE WHEN g.p IS NULL THEN word END, ' ' ORDER BY l.p) AS kept
+  FROM l LEFT JOIN g ON l.doc_id = g.doc_id AND l.p = g.p GROUP BY l.doc_id)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+"""
+
+
 QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_warc": op2_warc,
@@ -118,5 +137,6 @@ QUERIES = {
     "op8_maxent_lm": op8_maxent_lm,
     "op9_quality_crf": op9_quality_crf,
     "op10_media_columns": op10_media_columns,
+    "op11_substring_dedup": op11_substring_dedup,
 }
-ORACLES = {"op1_chat_formatting": OP1_SQL, "op2_warc": OP2_SQL, "op6_line_dedup": OP6_SQL}
+ORACLES = {"op1_chat_formatting": OP1_SQL, "op2_warc": OP2_SQL, "op6_line_dedup": OP6_SQL, "op11_substring_dedup": OP11_SQL}
