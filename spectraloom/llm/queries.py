@@ -1,11 +1,11 @@
-"""The queries op1 to op11, and DuckDB SQL where it can express them."""
+"""The queries op1 to op12, and DuckDB SQL where it can express them."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spectraloom.llm import bpe, chat, crf, lines, maxent, media, mixing, multiset, partenum, superkmers, warc
+from spectraloom.llm import bpe, chat, crf, lines, maxent, media, mixing, multiset, negatives, partenum, superkmers, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -126,6 +126,28 @@ FROM d LEFT JOIN k USING (doc_id)
 """
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i, label = F.col("vec_id"), F.col("label")
+    return negatives.hard_negatives(_table(spark, sf_dir, "embeddings"), i % 100 == 0, label=F.when(i % 7 == 0, (label + 1) % 10).otherwise(label))
+
+
+OP12_SQL = """
+WITH t AS (SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+  list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS x
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same,
+    CAST(list_inner_product(CAST(a.x AS DOUBLE[]), CAST(b.x AS DOUBLE[])) AS BIGINT) AS score
+  FROM t a JOIN t b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) AS INTEGER) AS rank,
+  id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score
+QUALIFY rank <= 5
+"""
+
+
 QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_warc": op2_warc,
@@ -138,5 +160,6 @@ QUERIES = {
     "op9_quality_crf": op9_quality_crf,
     "op10_media_columns": op10_media_columns,
     "op11_substring_dedup": op11_substring_dedup,
+    "op12_hard_negatives": op12_hard_negatives,
 }
-ORACLES = {"op1_chat_formatting": OP1_SQL, "op2_warc": OP2_SQL, "op6_line_dedup": OP6_SQL, "op11_substring_dedup": OP11_SQL}
+ORACLES = {"op1_chat_formatting": OP1_SQL, "op2_warc": OP2_SQL, "op6_line_dedup": OP6_SQL, "op11_substring_dedup": OP11_SQL, "op12_hard_negatives": OP12_SQL}
