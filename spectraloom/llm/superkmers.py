@@ -11,6 +11,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,8 +23,8 @@ WINDOW, GRAM = 20, 4
 BUCKET_WINDOWS = 40_000
 #: A minimiser of more than this share of all windows, and of more than HOT_WINDOWS, is hot. There are 1 / HOT_SHARE at most.
 HOT_SHARE, HOT_WINDOWS = 2.0**-15, 8_000
-#: Words of a bucket that a task holds at once.
-HELD_WORDS = 2_500_000
+#: Words of a bucket that a task holds at once, and bytes of texts that it packs at once (a longer text is a piece of its own).
+HELD_WORDS, PIECE_BYTES = 1_000_000, 2 << 20
 
 _META = np.dtype([("id", "<i8"), ("row", "<i8"), ("start", "<u4"), ("words", "<u4")])
 #: bucket; super-k-mers (or, at bucket -1, ranges of repeated windows); their texts, a line each. Both packed by zstd.
@@ -179,12 +180,16 @@ def _packed(words: Words, meta: np.ndarray, of: np.ndarray, at: np.ndarray, star
 
 
 def _texts(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[bytes]]]:
-    """(id and row of each, its bytes) of a batch."""
+    """(id and row of each, its bytes) of some texts, a piece at a time."""
     for batch in batches:
-        if batch.num_rows:
-            meta = np.zeros(batch.num_rows, _META)
-            meta["id"], meta["row"] = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            yield meta, [t.encode() for t in batch.column(2).to_pylist()]
+        meta = np.zeros(batch.num_rows, _META)
+        meta["id"], meta["row"] = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        size = pc.cumulative_sum(pc.cast(pc.binary_length(batch.column(2)), pa.int64())).to_numpy()
+        first = 0
+        while first < len(meta):
+            upto = max(first + 1, int(np.searchsorted(size, (size[first - 1] if first else 0) + PIECE_BYTES, "right")))
+            yield meta[first:upto], [t.encode() for t in batch.column(2).slice(first, upto - first).to_pylist()]
+            first = upto
 
 
 def _windows(words: Words, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -196,7 +201,7 @@ def _windows(words: Words, window: int, gram: int) -> tuple[np.ndarray, np.ndarr
 
 
 def count_minimisers(batches: Iterable[pa.RecordBatch], window: int, gram: int) -> Iterator[pa.RecordBatch]:
-    """(total, minimiser, windows): of each batch the windows, and minimisers of HOT_SHARE / 2 of them at least."""
+    """(total, minimiser, windows): of each piece the windows, and minimisers of HOT_SHARE / 2 of them at least."""
     for _, texts in _texts(batches):
         _, least, _ = _windows(Words(texts), window, gram)
         kinds, n = np.unique(least, return_counts=True)
@@ -206,7 +211,7 @@ def count_minimisers(batches: Iterable[pa.RecordBatch], window: int, gram: int)
 
 
 def pack_windows(batches: Iterable[pa.RecordBatch], window: int, gram: int, buckets: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Super-k-mers by bucket. Windows that a batch holds earlier, too, stay out: their ranges go to bucket -1.
+    """Super-k-mers by bucket. Windows that a piece holds earlier, too, stay out: their ranges go to bucket -1.
 
     Windows of a hot minimiser go to a bucket of their own hash.
     """
@@ -299,8 +304,8 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """(id, row, start, n): runs of windows whose words also start earlier; `row` is a hash of the text, `start` counts words.
 
     Minimisers that many windows share are found first, from sums over tasks; the list of them is bounded by
-    their share, and their windows go by their own hash. Copies inside a batch of rows are settled there, so that
-    a common passage reaches its bucket once a batch. A bucket is read in pieces; what repeats is
+    their share, and their windows go by their own hash. Copies inside a piece of some texts are settled there, so that
+    a common passage reaches its bucket once a piece. A bucket is read in pieces; what repeats is
     forgotten between them, and what is still too much is dealt anew, in another round.
     """
     spark = docs.sparkSession

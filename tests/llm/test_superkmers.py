@@ -53,6 +53,7 @@ def corpus(seed, n=60, kinds=30):
 def test_windows_like_plain_walk(spark, monkeypatch, window, gram, held):
     monkeypatch.setattr(superkmers, "BUCKET_WINDOWS", 200)
     monkeypatch.setattr(superkmers, "HOT_WINDOWS", 40)
+    monkeypatch.setattr(superkmers, "PIECE_BYTES", 500)
     rows = corpus(window * 100 + gram)
     frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
     frame = frame.select("doc_id", "text", F.lit(1).alias("id"), F.lit("x").alias("_runs"), F.lit(2).alias("n_words"), F.lit(3).alias("ROW"))
