@@ -19,8 +19,8 @@ from spectraloom.llm.common import bounded_batches, free_name, long_ids, written
 from spectraloom.llm.words import _SPACE, SLICE, hash_words, mix64
 
 WINDOW, GRAM = 20, 4
-#: Windows that a bucket holds on average.
-BUCKET_WINDOWS = 40_000
+#: Windows that a bucket holds on average, and the least number of buckets.
+BUCKET_WINDOWS, LEAST_BUCKETS = 40_000, 2048
 #: A minimiser of more than this share of all windows, and of more than HOT_WINDOWS, is hot. There are 1 / HOT_SHARE at most.
 HOT_SHARE, HOT_WINDOWS = 2.0**-15, 8_000
 #: Words of a bucket that a task holds at once, and bytes of texts that it packs at once (a longer text is a piece of its own).
@@ -316,7 +316,7 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     total = counted.where("total").agg(F.sum("windows")).first()[0] or 0
     hot = counted.where(~F.col("total") & (F.col("windows") > max(HOT_WINDOWS, total * HOT_SHARE))).select("minimiser")
     hot = spark.sparkContext.broadcast(np.array([r[0] for r in hot.collect()], np.int64).view(np.uint64))
-    buckets = max(1, total // BUCKET_WINDOWS)
+    buckets = max(LEAST_BUCKETS, total // BUCKET_WINDOWS)
     packed = rows.mapInArrow(lambda b: pack_windows(b, window, gram, buckets, hot.value), _PACKED)
     found, deal = None, 0
     while True:

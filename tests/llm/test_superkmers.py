@@ -52,6 +52,7 @@ def corpus(seed, n=60, kinds=30):
 @pytest.mark.parametrize(("window", "gram", "held"), [(20, 4, superkmers.HELD_WORDS), (20, 4, 300), (5, 2, 60), (7, 7, 100), (1, 1, 50)])
 def test_windows_like_plain_walk(spark, monkeypatch, window, gram, held):
     monkeypatch.setattr(superkmers, "BUCKET_WINDOWS", 200)
+    monkeypatch.setattr(superkmers, "LEAST_BUCKETS", 3)
     monkeypatch.setattr(superkmers, "HOT_WINDOWS", 40)
     monkeypatch.setattr(superkmers, "PIECE_BYTES", 500)
     rows = corpus(window * 100 + gram)
