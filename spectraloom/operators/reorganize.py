@@ -25,6 +25,23 @@ SEARCH_FIELDS = [
 #: Columns of a quantity table that are not files.
 LFQ_FIELDS = ["peptide", "charge", "proteins", "q_value", "score", "spectral_angle"]
 
+#: Names that the files of results give to columns of these tables (name here, name there).
+FILE_NAMES = {
+    "rescored_score": "percolator_score", "rescored_q": "percolator_q", "rescored_pep": "percolator_pep", "best_rescored_q": "best_percolator_q", "best_rescored_score": "best_percolator_score",
+    "n_rescored_peptides": "n_percolator_peptides", "search_spectrum_q": "sage_spectrum_q", "search_peptide_q": "sage_peptide_q", "search_protein_q": "sage_protein_q",
+    "search_discriminant_score": "sage_discriminant_score", "search_posterior_error": "sage_posterior_error", "lfq_q": "sage_lfq_q", "lfq_score": "sage_lfq_score",
+}
+
+
+def named(rows: DataFrame) -> DataFrame:
+    """A table of results under the names that its file has."""
+    return rows.withColumnsRenamed(FILE_NAMES)
+
+
+def unnamed(rows: DataFrame) -> DataFrame:
+    """A table that was read from a file of results, under the names used here."""
+    return rows.withColumnsRenamed({there: here for here, there in FILE_NAMES.items()})
+
 
 def _or_blank(x: Column) -> Column:
     return F.coalesce(x, F.lit(""))
@@ -143,14 +160,15 @@ def file_peptides(psm: DataFrame, quant: DataFrame, global_peptides: DataFrame)
 def file_proteins(psm: DataFrame, global_proteins: DataFrame) -> DataFrame:
     """Per file and protein named by a PSM: counts and lists, with the global row that has it as an alias.
 
-    Of several the last by `_order` counts (`read_tsv` gives it), and the largest id where the rows have none.
+    Of several the last counts: by `_order` where the rows have it, else by q-value (none or 0 as 1) and id, as the table of proteins is written.
     """
     its = psm.select("filename", "peptide", "scan", "psm_id", F.explode(S.items(F.col("proteins"))).alias("protein_id"))
     rows = its.groupBy("filename", "protein_id").agg(
         F.countDistinct(F.nullif("peptide", F.lit(""))).alias("n_peptides"), F.count("*").alias("n_psms"), _list("peptide").alias("peptides"), _list("scan").alias("scans"), _list("psm_id").alias("psm_ids")
     )
-    order = "_order" if "_order" in global_proteins.columns else "protein_id"
-    known = global_proteins.select(F.explode(_aliases(F.col("protein_id"))).alias("alias"), F.struct("protein_id", "protein_group_id", "rescored_q", "rescored_pep").alias("g"), F.col(order).alias("o"))
+    worst = F.coalesce(F.nullif(S.to_double(F.col("rescored_q")), F.lit(0.0)), F.lit(1.0))
+    order = F.col("_order") if "_order" in global_proteins.columns else F.struct(worst, "protein_id")
+    known = global_proteins.select(F.explode(_aliases(F.col("protein_id"))).alias("alias"), F.struct("protein_id", "protein_group_id", "rescored_q", "rescored_pep").alias("g"), order.alias("o"))
     known = known.groupBy("alias").agg(F.max_by("g", "o").alias("g"))
     j = rows.join(known, rows["protein_id"] == known["alias"], "left")
     return _fill(j.select(*rows.columns, F.col("g.protein_group_id").alias("protein_group_id"), F.col("g.rescored_q").alias("protein_q"), F.col("g.rescored_pep").alias("protein_pep")))
