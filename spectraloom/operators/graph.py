@@ -40,7 +40,21 @@ def settled(rows: DataFrame, name: str) -> DataFrame:
     """The rows, written as Parquet in the shared folder and read again: no lineage behind them."""
     path = scratch(rows.sparkSession, name)
     rows.write.parquet(path)
-    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+    made = rows.sparkSession.read.schema(rows.schema).parquet(path)
+    made._settled = path
+    return made
+
+
+def dropped(rows: DataFrame) -> None:
+    """Deletes a table that `settled` wrote and nothing reads any more."""
+    _delete(rows._settled)
+
+
+def _delete(path: str) -> None:
+    context = _written.pop(path).sparkContext
+    if context._jsc is not None:  # else it was stopped
+        there = context._jvm.org.apache.hadoop.fs.Path(path)
+        there.getFileSystem(context._jsc.hadoopConfiguration()).delete(there, True)
 
 
 @atexit.register
@@ -48,10 +62,7 @@ def release(spark: SparkSession | None = None) -> None:
     """Deletes the settled tables of a session, or of all; frames that read them can no longer be used. Called at the driver's end, too."""
     for path, owner in list(_written.items()):
         if spark is None or owner is spark:
-            context = _written.pop(path).sparkContext
-            if context._jsc is not None:  # else it was stopped
-                there = context._jvm.org.apache.hadoop.fs.Path(path)
-                there.getFileSystem(context._jsc.hadoopConfiguration()).delete(there, True)
+            _delete(path)
 
 
 def components(edges: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
