@@ -17,6 +17,8 @@ BITS = 12
 GRID = 64
 #: Powers of two up to which the exponent is sought; what is then left of the entropy is of sources equal in size.
 HIGHEST = 40
+#: Nats above the least entropy there is that count as nearest to a target below it.
+NEAR = 1e-6
 
 
 @dataclass(frozen=True)
@@ -54,7 +56,7 @@ def _at(shares: DataFrame, total: int, exponents: list[float]) -> list[tuple[flo
     return sorted((r.x, r.h, r.r) for r in rows)
 
 
-def find_exponent(shares: DataFrame, total: int, budget: int | None, target_entropy: float | None, max_repeats: float | None, rounds: int = 4) -> tuple[float, float, float]:
+def find_exponent(shares: DataFrame, total: int, budget: int | None, target_entropy: float | None, max_repeats: float | None, rounds: int = 4, nearest: bool = False) -> tuple[float, float, float]:
     """The least exponent that meets both limits, with its entropy and repeats.
 
     Entropy falls as the exponent rises, and so do the repeats of the smallest source up to 1, so
@@ -62,8 +64,10 @@ def find_exponent(shares: DataFrame, total: int, budget: int | None, target_entr
     target_entropy: nats; weights are as flat as that and no flatter. Where shares in proportion
     (1) are flatter, the exponent is above 1, and the largest source repeats most. max_repeats: how
     often a document may be used at most. Without a target, 1 is taken where even that repeats more;
-    with one, limits that cannot both be met raise a ValueError. Without a budget it is the
-    least at which no source loses a document.
+    with one, limits that cannot both be met raise a ValueError, and so does an entropy below that of
+    the largest sources, equal in size, alone. With `nearest` the least exponent that comes within NEAR of the least
+    entropy there is stands for such a target, and where both limits cannot be met, the one on repeats holds alone.
+    Without a budget it is the least at which no source loses a document.
     """
 
     def repeated(row) -> float:
@@ -79,6 +83,9 @@ def find_exponent(shares: DataFrame, total: int, budget: int | None, target_entr
     if target_entropy is not None:
         doubled = _at(shares, total, [2.0**i for i in range(HIGHEST + 1)])
         enough = next((x for x, h, _ in doubled if h <= target_entropy), None)
+        if enough is None and nearest:
+            target_entropy = doubled[-1][1] + NEAR
+            enough = next(x for x, h, _ in doubled if h <= target_entropy)
         if enough is None:
             raise ValueError(f"no exponent brings the sources' entropy to {target_entropy} nats: the largest, equal in size, leave {doubled[-1][1]:.6f}")
         if enough > 1:  # repeats rise from here on: the least exponent that meets the entropy repeats least
@@ -94,6 +101,8 @@ def find_exponent(shares: DataFrame, total: int, budget: int | None, target_entr
         if found == 0:
             break
     if target_entropy is not None and max_repeats is not None and repeated(best) > max_repeats * (1 + 1e-9):
+        if nearest:
+            return find_exponent(shares, total, budget, None, max_repeats, rounds)
         raise ValueError(f"{target_entropy} nats and at most {max_repeats} repeats cannot both be met: exponent {best[0]:.6f} has {best[1]:.6f} nats and repeats a source {repeated(best):.6f} times")
     return best
 
@@ -104,7 +113,7 @@ def _spread(shares: DataFrame, exponents: list[float]) -> dict[float, float]:
     return {e: (ends[1] / ends[0]) ** abs(1 - e) for e in exponents}
 
 
-def plan_mix(docs: DataFrame, source_col: str, tokens: Column, budget: int | None, target_entropy: float | None, max_repeats: float | None) -> Plan:
+def plan_mix(docs: DataFrame, source_col: str, tokens: Column, budget: int | None, target_entropy: float | None, max_repeats: float | None, nearest: bool = False) -> Plan:
     """Token shares by source, the exponent, and each source's quota of tokens."""
     counted = docs.groupBy(source_key(F.col(f"`{source_col}`")).alias("_key")).agg(F.sum(tokens).cast("long").alias("_tokens"))
     shares = written(counted, "shares")
@@ -113,7 +122,7 @@ def plan_mix(docs: DataFrame, source_col: str, tokens: Column, budget: int | Non
     if not total:
         zero = F.lit(0).cast("long")
         return Plan(1.0, 0.0, 0.0, 0, shares.select("_key", "_tokens", zero.alias("_quota"), zero.alias("_passes"), zero.alias("_rest")), n)
-    x, entropy, _ = find_exponent(shares, total, budget, target_entropy, max_repeats)
+    x, entropy, _ = find_exponent(shares, total, budget, target_entropy, max_repeats, nearest=nearest)
     raised = F.pow(F.col("_tokens") / F.lit(float(largest)), F.lit(x))
     scale = shares.where("_tokens > 0").agg(F.sum(raised)).first()[0]
     once = largest if x <= 1 else smallest
@@ -179,6 +188,7 @@ def mix(
     seed: int = 0,
     tokens: Column | None = None,
     detail: bool = False,
+    nearest: bool = False,
 ) -> DataFrame:
     """Documents as often as the mixture uses them: a row for each use.
 
@@ -188,6 +198,9 @@ def mix(
     is a permutation of hashed blocks and of the documents in them, drawn anew for each
     pass; the last takes documents in its order up to the quota, never beyond.
 
+    `nearest`: limits that cannot be met (sources equal in size leave no lower entropy) give way as `find_exponent` says,
+    instead of raising.
+
     `detail` adds _pass, _block, _tokens, which the input then may not have (ValueError); otherwise the columns
     are the input's, of any names. Null sources are one source, null texts have no tokens.
     Sources without tokens have no weight: their documents are used once without a budget, else
@@ -197,7 +210,7 @@ def mix(
     if detail and (clash := {c.lower() for c in docs.columns} & set(added)):
         raise ValueError(f"the input has columns {sorted(clash)}, which detail adds")
     size = default_tokens(F.col(f"`{text_col}`")) if tokens is None else tokens
-    plan = plan_mix(docs, source_col, size, budget, target_entropy, max_repeats)
+    plan = plan_mix(docs, source_col, size, budget, target_entropy, max_repeats, nearest)
     shares = plan.shares.select("_key", F.col("_tokens").alias("_all"), "_passes", "_rest")
     near = F.broadcast if plan.n_sources <= BROADCAST_SOURCES else lambda df: df
     # The input's columns travel in a struct: no name of theirs can clash.

@@ -16,6 +16,8 @@ from spectraloom.llm.common import long_ids
 DENSE, LEVELS, WIDTH = 16, 28, 8
 SPARSE = LEVELS * WIDTH
 LANE = 0xFFFFFFFF
+#: Ranges of ids whose bounds one task finds.
+RANGES_A_TASK = 128
 
 
 def paragraphs(text: Column) -> Column:
@@ -134,11 +136,25 @@ def _range_of(ids: Column, bounds: list[int]) -> Column:
     return F.when(ids.isNull(), -1).otherwise(found).cast("long")
 
 
+def _id_bounds(ids: DataFrame, n: int, per_range: int, most_ranges: int) -> list[int]:
+    """About n / per_range of the ids, `most_ranges` and one for each task at most, in order, as many rows apart.
+
+    Ids alone are dealt by range and sorted there; every so-manieth of a task's is a bound. No task gets more than its
+    range, of RANGES_A_TASK bounds on average.
+    """
+    step = max(per_range, -(-n // most_ranges))
+    tasks = -(-n // (step * RANGES_A_TASK))
+    dealt = ids.select("_id").where("_id IS NOT NULL").repartitionByRange(max(1, tasks), "_id").sortWithinPartitions("_id")
+    # The low 33 bits number a partition's rows.
+    number = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return sorted({r[0] for r in dealt.withColumn("_k", number).where(F.col("_k") % step == 0).select("_id").collect()})
+
+
 def with_next(docs: DataFrame, id_col: str, text_col: str, derived: dict[str, Column], per_range: int = 512, most_ranges: int = 65_536) -> DataFrame:
     """(id, text, derived columns) with `next_<c>` of the row after it by (id, text); the last gets the first.
 
-    Ids are cut into ranges of about `per_range` rows, `most_ranges` of them at most, at quantiles of the
-    ids, however these are spread. A window looks ahead inside a range; the first
+    Ids are cut into ranges of about `per_range` rows, some `most_ranges` of them at most, however the
+    ids are spread. A window looks ahead inside a range; the first
     row of each range is copied to the range before it, so no task needs more than its own.
     The list of ranges is broadcast: `most_ranges` bounds it. Rows that share an id are of one range. A null id
     stands before all others. Ids must be integral. Columns other than the two are not read.
@@ -147,10 +163,7 @@ def with_next(docs: DataFrame, id_col: str, text_col: str, derived: dict[str, Co
     plain = docs.select(ids.alias("_id"), F.col(f"`{text_col}`").alias("_text"))
     n = plain.agg(F.count("_id")).first()[0]
     count = max(1, min(most_ranges, n // per_range))
-    bounds = []
-    if count > 1:
-        cuts = [i / count for i in range(1, count)]
-        bounds = sorted(set(plain.agg(F.percentile_approx("_id", cuts, 4 * count)).first()[0]))
+    bounds = _id_bounds(plain, n, per_range, most_ranges) if count > 1 else []
     place = _range_of(F.col("_id"), bounds)
     rows = plain.withColumn("_range", place)
     firsts = plain.select("_id").withColumn("_range", place).groupBy("_range").agg(F.min("_id").alias("_first"))

@@ -56,10 +56,10 @@ def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each use of a document in a mixture of 2.8 nats, no document used over four times, of as many tokens as there are."""
+    """Each use of a document in a mixture of 2.8 nats, or the nearest that its sources leave, no document used over four times, of as many tokens as there are."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     budget = docs.agg(F.sum(mixing.default_tokens(F.col("text")))).first()[0] or 1
-    uses = mixing.mix(docs, budget=budget, target_entropy=2.8, max_repeats=4.0, detail=True)
+    uses = mixing.mix(docs, budget=budget, target_entropy=2.8, max_repeats=4.0, detail=True, nearest=True)
     return uses.select("doc_id", "source", F.col("_pass").cast("long").alias("pass"), F.col("_block").alias("block"), F.col("_tokens").alias("n_tokens"))
 
 

@@ -304,6 +304,9 @@ def test_next_rows_of_clustered_ids(spark):
     order = sorted(ids, key=lambda i: (i is not None, i))
     after = Counter((a, f"t{b}") for a, b in zip(order, order[1:] + order[:1]))
     assert Counter((r.doc_id, r.next_text) for r in got.collect()) == after
+    # No task reads more than its range of ids, whatever their number: none gathers all.
+    few, many = (multiset._id_bounds(spark.range(n, numPartitions=8).select(F.col("id").alias("_id")), n, 64, 65_536) for n in (10_000, 40_000))
+    assert 100 <= len(few) <= 200 and 500 <= len(many) <= 700 and many == sorted(set(many))
     with pytest.raises(ValueError, match="integral"):
         multiset.edited_pairs(frame.withColumn("doc_id", F.col("doc_id").cast("string")))
 
@@ -496,6 +499,20 @@ def test_mixing_below_the_entropy_of_the_corpus(spark):
         mixing.mix(frame, budget=10_000, target_entropy=0.3, max_repeats=2.0)
     with pytest.raises(ValueError, match="equal in size"):
         mixing.mix(frame.where("source IN ('b', 'd')"), budget=5000, target_entropy=0.6)
+    # Two sources of a size leave ln 2 at least: the nearest mixture uses each document once, as a budget of all asks.
+    uses = Counter(r.doc_id for r in mixing.mix(frame.where("source IN ('b', 'd')"), budget=5000, target_entropy=0.6, nearest=True).collect())
+    assert len(uses) == 500 and set(uses.values()) == {1}
+    # The limit on repeats holds where both cannot.
+    uses = Counter(r.doc_id for r in mixing.mix(frame, budget=10_000, target_entropy=0.3, max_repeats=2.0, nearest=True).collect())
+    assert len(uses) >= 980 and max(uses.values()) == 2
+
+
+def test_mixing_query_of_tied_sources(spark, tmp_path):
+    """Twenty sources of a size have no mixture of 2.8 nats; the registered query takes the nearest."""
+    from spectraloom.llm import queries
+
+    spark.createDataFrame([(i, "x" * 40, f"s{i % 20}") for i in range(200)], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    assert Counter(r.doc_id for r in queries.op4_source_mixing(spark, str(tmp_path)).collect()) == Counter(range(200))
 
 
 def test_likeness_at_every_length(spark):
