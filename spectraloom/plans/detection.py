@@ -27,21 +27,27 @@ _FILES, _ISOTOPES, _HALF, _STEP = 64, 5, 8, 24
 #: Customers as envelopes: of a charge of 1 to 3, every other one at the next charge, too; one at a time in each file.
 _PLANTED = f"""
 WITH c AS (SELECT c_custkey, c_custkey % {_FILES} AS file_id, 12 + {_STEP} * CAST(floor(c_custkey / {_FILES}) AS BIGINT) AS apex, CAST(800 + (c_custkey % 997) * 2.1 AS DOUBLE) AS mass, c_custkey % 3 + 1 AS z FROM customer),
-e AS (SELECT file_id, apex, mass, CAST(z AS INTEGER) AS charge FROM c UNION ALL SELECT file_id, apex, mass, CAST(z + 1 AS INTEGER) FROM c WHERE c_custkey % 2 = 0)
+e AS (SELECT file_id, c_custkey, apex, mass, CAST(z AS INTEGER) AS charge FROM c UNION ALL SELECT file_id, c_custkey, apex, mass, CAST(z + 1 AS INTEGER) FROM c WHERE c_custkey % 2 = 0)
 """
 
 
-def planted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(file_id, scan, rt, mz, intensity)."""
+def envelope_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(file_id, key, apex, z, i, mean, area): the isotopes of each customer's envelopes, by Poisson weights."""
     key = F.col("c_custkey")
     c = table(spark, sf_dir, "customer").select(
-        (key % _FILES).alias("file_id"), (12 + _STEP * F.floor(key / _FILES)).alias("apex"), (800 + (key % 997) * 2.1).alias("mass"), F.explode(F.when(key % 2 == 0, F.array(key % 3 + 1, key % 3 + 2)).otherwise(F.array(key % 3 + 1))).alias("z")
+        (key % _FILES).alias("file_id"), key.alias("key"), (12 + _STEP * F.floor(key / _FILES)).alias("apex"), (800 + (key % 997) * 2.1).alias("mass"), F.explode(F.when(key % 2 == 0, F.array(key % 3 + 1, key % 3 + 2)).otherwise(F.array(key % 3 + 1))).alias("z")
     )
     i, rate = F.col("i"), F.col("mass") * AVERAGINE_LAMBDA
-    # Poisson weights of the isotopes, a bell over the scans.
-    c = c.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(_ISOTOPES - 1)))).withColumn("dt", F.explode(F.sequence(F.lit(-_HALF), F.lit(_HALF))))
-    height = 1e6 * F.pow(rate, i) * F.exp(-rate) / F.factorial(i) * F.exp(-F.col("dt") * F.col("dt") / 18.0)
-    return c.select("file_id", (F.col("apex") + F.col("dt")).alias("scan"), ((F.col("apex") + F.col("dt")) * 0.01).alias("rt"), (F.col("mass") / F.col("z") + PROTON + i * C13_STEP / F.col("z")).alias("mz"), height.alias("intensity"))
+    c = c.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(_ISOTOPES - 1))))
+    area = 1e6 * F.pow(rate, i) * F.exp(-rate) / F.factorial(i)
+    return c.select("file_id", "key", "apex", "z", "i", (F.col("mass") / F.col("z") + PROTON + i * C13_STEP / F.col("z")).alias("mean"), area.alias("area"))
+
+
+def planted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(file_id, scan, rt, mz, intensity): the isotopes as bells over their scans."""
+    c = envelope_lines(spark, sf_dir).withColumn("dt", F.explode(F.sequence(F.lit(-_HALF), F.lit(_HALF))))
+    scan = F.col("apex") + F.col("dt")
+    return c.select("file_id", scan.alias("scan"), (scan * 0.01).alias("rt"), F.col("mean").alias("mz"), (F.col("area") * F.exp(-F.col("dt") * F.col("dt") / 18.0)).alias("intensity"))
 
 
 def _features(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
