@@ -160,26 +160,59 @@ def chain(first: np.ndarray, last: np.ndarray, mean: np.ndarray, count: np.ndarr
     return out
 
 
+def _numbered(rows: pd.DataFrame, s: Settings) -> pd.DataFrame:
+    """Points of whole groups (by file and unit, then scan and m/z) with the line of each in its group; short lines are left out."""
+    scan, mz = rows["scan"].to_numpy(), rows["mz"].to_numpy()
+    unit, file = rows["unit"].to_numpy(), rows["file_id"].to_numpy()
+    cuts = np.r_[0, np.flatnonzero((unit[1:] != unit[:-1]) | (file[1:] != file[:-1])) + 1, len(rows)]
+    frag, firsts = np.empty(len(rows), int), [0]
+    for a, b in zip(cuts, cuts[1:]):
+        frag[a:b] = firsts[-1] + follow(scan[a:b], mz[a:b], s)
+        firsts.append(int(frag[a:b].max()) + 1)
+    n = np.bincount(frag)
+    first, last = np.full(n.size, np.iinfo(np.int64).max), np.full(n.size, np.iinfo(np.int64).min)
+    np.minimum.at(first, frag, scan)
+    np.maximum.at(last, frag, scan)
+    mean = np.bincount(frag, weights=mz) / n
+    whole = np.empty(n.size, int)
+    for a, b in zip(firsts, firsts[1:]):
+        whole[a:b] = chain(first[a:b], last[a:b], mean[a:b], n[a:b], s)
+    line = whole[frag]
+    # Fragments number a group's lines at most, so that lines of all groups are apart.
+    kept = np.bincount(line + np.repeat(firsts[:-1], np.diff(cuts)))[line + np.repeat(firsts[:-1], np.diff(cuts))] >= s.least_points
+    return rows.assign(line=line).loc[kept, ["file_id", "island", "line", "scan", "rt", "mz", "intensity"]]
+
+
 def lines(points: DataFrame, s: Settings = Settings()) -> DataFrame:
     """Points with their `line` (unique within file and island); lines of too few points are left out.
 
-    One call follows the islands of one file that begin in one unit of m/z;
-    only where points leave no gap over a long stretch does an island grow.
+    The islands of one file that begin in one unit of m/z are a group, and stay together; groups pass through a task one after
+    another. Only where points leave no gap over a long stretch does an island, and so a group, grow.
     """
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["scan", "mz"], kind="stable").reset_index(drop=True)
-        scan, mz = part["scan"].to_numpy(), part["mz"].to_numpy()
-        frag = follow(scan, mz, s)
-        by = pd.DataFrame({"f": frag, "scan": scan, "mz": mz}).groupby("f").agg(a=("scan", "min"), b=("scan", "max"), m=("mz", "mean"), n=("mz", "size"))
-        part["line"] = chain(by["a"].to_numpy(), by["b"].to_numpy(), by["m"].to_numpy(), by["n"].to_numpy(), s)[frag]
-        kept = part.groupby("line")["line"].transform("size") >= s.least_points
-        return part.loc[kept, ["file_id", "island", "line", "scan", "rt", "mz", "intensity"]]
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for part in parts:
+            if not len(part):
+                continue
+            file, unit = part["file_id"].to_numpy(), part["unit"].to_numpy()
+            begins = np.flatnonzero((unit[1:] != unit[:-1]) | (file[1:] != file[:-1])) + 1
+            last = int(begins[-1]) if begins.size else 0
+            goes_on = not held or (held[-1]["file_id"].iloc[-1] == file[0] and held[-1]["unit"].iloc[-1] == unit[0])
+            if last == 0 and goes_on:
+                held.append(part)
+                continue
+            # The part's last group may go on in the next one.
+            yield _numbered(pd.concat([*held, part.iloc[:last]], ignore_index=True), s)
+            held = [part.iloc[last:]]
+        if held:
+            yield _numbered(pd.concat(held, ignore_index=True), s)
 
     rows = islands(points.select("file_id", "scan", "rt", "mz", "intensity"), max(s.line_ppm, s.merge_ppm), max(s.line_abs, s.merge_abs))
     kind = rows.select("file_id", "island", F.lit(0).cast("long").alias("line"), "scan", "rt", "mz", "intensity").schema
     # Islands that begin in one unit of m/z share a call: they do not meet in it either.
-    return rows.groupBy("file_id", F.floor(F.col("island") / s.unit)).applyInPandas(run, kind)
+    grouped = rows.select("*", F.floor(F.col("island") / s.unit).alias("unit")).repartition("file_id", "unit").sortWithinPartitions("file_id", "unit", "scan", "mz")
+    return grouped.mapInPandas(run, kind)
 
 
 def line_table(line_points: DataFrame, s: Settings = Settings()) -> DataFrame:

@@ -86,3 +86,18 @@ def test_trace_cosine(spark):
     t = spark.createDataFrame([(1, 1, 0, 3.0), (1, 1, 1, 4.0), (1, 2, 1, 2.0), (1, 3, 9, 1.0)], "file_id int, feature_id long, scan long, intensity double")
     p = spark.createDataFrame([(1, 1, 2), (1, 1, 3)], "file_id int, a long, b long")
     assert {(r.b, round(r.cosine, 6)) for r in detect.trace_cosine(p, t, "a", "b").collect()} == {(2, 0.8), (3, 0.0)}
+
+
+def test_lines_do_not_depend_on_batches(spark):
+    """Groups that end or go on with a batch, and one that fills several, keep their lines."""
+    rng = np.random.default_rng(5)
+    rows = [(f, int(t), t * 0.1, float(m + rng.normal(0, 0.0005)), 1.0) for f in (1, 2) for m in (400.1, 400.2, 401.5, 402.0, 900.3) for t in range(20) if rng.random() < 0.8]
+    points = spark.createDataFrame(rows, "file_id int, scan long, rt double, mz double, intensity double")
+    want = sorted(map(tuple, detect.lines(points).collect()))
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    for n in (1, 7, 33):
+        spark.conf.set(name, str(n))
+        assert sorted(map(tuple, detect.lines(points).collect())) == want
+    spark.conf.set(name, before)
+    assert len({(r[0], r[1], r[2]) for r in want}) == 10
