@@ -38,6 +38,12 @@ class Settings:
     peak_points: int = 4
     peak_width: float = 6.0
     prominence: float = 0.02
+    #: Peaks of a split line: least height, area and width, share of the smaller top above which a valley does not part two, and how many tops at most (0: all).
+    peak_height: float = 0.0
+    peak_area: float = 0.0
+    least_width: float = 0.0
+    valley: float = 0.0
+    most_peaks: int = 0
     isotope_ppm: float = 10.0
     isotope_abs: float = 0.004
     most_mass: float = 8000.0
@@ -226,29 +232,64 @@ def line_table(line_points: DataFrame, s: Settings = Settings()) -> DataFrame:
     return rows.join(bound, "file_id").withColumn("long", span > F.col("_bound")).drop("_bound")
 
 
+def chosen_peaks(trace: Column, found: Column, s: Settings = Settings()) -> Column:
+    """Array of (height, left, apex, right) of a trace's peaks that count, in order; right is exclusive.
+
+    trace: array of (rt, intensity), by time. found: array of (left, apex, right). A peak needs points, height, and a drop to its higher edge of a share of the trace's top.
+    Of many the highest stay. From left to right a peak joins the one before it unless the lowest point between their tops is below `valley` of the smaller
+    top; the higher top stands. What is then too short, too wide, too small or too low goes.
+    """
+    height = lambda i: F.get(trace, i)["intensity"]
+    top = F.array_max(F.transform(trace, lambda p: p["intensity"]))
+    tall = F.transform(found, lambda p: F.struct(height(p["apex"]).alias("height"), p["left"].alias("left"), p["apex"].alias("apex"), p["right"].alias("right")))
+    drop = lambda p: p["height"] - F.greatest(height(p["left"]), height(p["right"] - 1))
+    fit = F.filter(tall, lambda p: (p["right"] - p["left"] >= s.peak_points) & (p["height"] >= s.peak_height) & ((drop(p) >= top * s.prominence) | (top <= 0)))
+    if s.most_peaks > 0:
+        fit = F.slice(F.reverse(F.array_sort(fit)), 1, s.most_peaks)
+    # By place, then folded: each joins the last one or stands behind it.
+    placed = F.transform(F.array_sort(F.transform(fit, lambda p: F.struct(p["left"].alias("at"), p.alias("p")))), lambda x: x["p"])
+    if s.valley > 0:
+        kind = "array<struct<height:double,left:int,apex:int,right:int>>"
+
+        def join(done: Column, p: Column) -> Column:
+            last = F.element_at(done, -1)
+            low, high = F.least(last["apex"], p["apex"]), F.greatest(last["apex"], p["apex"])
+            dip = F.array_min(F.transform(F.slice(trace, low + 1, high - low + 1), lambda q: q["intensity"]))
+            higher = p["height"] >= last["height"]
+            both = F.struct(F.greatest(last["height"], p["height"]).alias("height"), last["left"].alias("left"), F.when(higher, p["apex"]).otherwise(last["apex"]).alias("apex"), F.greatest(last["right"], p["right"]).alias("right"))
+            joined = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(both))
+            return F.when(F.size(done) == 0, F.array(p)).when(dip >= s.valley * F.least(last["height"], p["height"]), joined).otherwise(F.concat(done, F.array(p))).cast(kind)
+
+        placed = F.aggregate(placed.cast(kind), F.array().cast(kind), join)
+
+    def stays(p: Column) -> Column:
+        own = F.slice(trace, p["left"] + 1, p["right"] - p["left"])
+        width = F.get(own, F.size(own) - 1)["rt"] - F.get(own, F.lit(0))["rt"]
+        slabs = F.zip_with(F.slice(own, 1, F.size(own) - 1), F.slice(own, 2, F.size(own) - 1), lambda x, y: (y["rt"] - x["rt"]) * (x["intensity"] + y["intensity"]) / 2)
+        area = F.when(F.size(own) > 1, F.aggregate(slabs, F.lit(0.0), lambda a, x: a + x)).otherwise(F.get(own, F.lit(0))["intensity"])
+        tallest = F.array_max(F.transform(own, lambda q: q["intensity"]))
+        wide = (width <= s.peak_width) if s.peak_width > 0 else F.lit(True)
+        return (F.size(own) >= s.peak_points) & (width >= s.least_width) & wide & (area >= s.peak_area) & (tallest >= s.peak_height)
+
+    return F.filter(placed, stays)
+
+
 def pieces(line_points: DataFrame, table: DataFrame, s: Settings = Settings()) -> DataFrame:
     """Points with the `piece` of their line: 0 for lines kept whole; of long lines the peaks of the smoothed trace
-    that have enough points, prominence and no excessive width. Points outside the peaks are left out."""
+    that `chosen_peaks` leaves. Points outside the peaks are left out."""
     key = ["file_id", "island", "line"]
     marked = line_points.join(table.select(*key, "long"), key)
     whole = marked.where(~F.col("long")).select(*line_points.columns, F.lit(0).alias("piece"))
 
     @F.pandas_udf(peaks.PEAKS)
-    def cut(rt: pd.Series, height: pd.Series) -> pd.Series:
-        def one(t, y):
-            t, y = np.asarray(t, float), np.asarray(y, float)
-            found = []
-            for a, top, b in peaks.find_peaks(peaks.smooth(y, s.smooth), s.spacing):
-                deep = y[top] - max(y[a], y[b - 1]) >= y.max() * s.prominence
-                if b - a >= s.peak_points and deep and t[b - 1] - t[a] <= s.peak_width:
-                    found.append({"left": int(a), "apex": int(top), "right": int(b)})
-            return found
-
-        return pd.Series([one(t, y) for t, y in zip(rt, height)])
+    def found(height: pd.Series) -> pd.Series:
+        one = lambda y: [dict(zip(("left", "apex", "right"), map(int, r))) for r in peaks.find_peaks(peaks.smooth(np.asarray(y, float), s.smooth), s.spacing)]
+        return height.map(one)
 
     point = F.struct("scan", "rt", "mz", "intensity")
     traces = marked.where("long").groupBy(*key).agg(F.array_sort(F.collect_list(point)).alias("p"))  # one trace: at most a point a scan
-    parts = traces.select(*key, "p", F.posexplode(cut(F.col("p.rt"), F.col("p.intensity"))).alias("piece", "c"))
+    cut = traces.select(*key, "p", found(F.col("p.intensity")).alias("found"))
+    parts = cut.select(*key, "p", F.posexplode(chosen_peaks(F.col("p"), F.col("found"), s)).alias("piece", "c"))
     split = parts.select(*key, "piece", F.explode(F.slice("p", F.col("c.left") + 1, F.col("c.right") - F.col("c.left"))).alias("q"))
     return whole.unionByName(split.select(*key, "q.*", "piece").select(*whole.columns))
 

@@ -267,6 +267,16 @@ def d03_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect.line_table(detect.lines(pts, wide), wide).drop("long")
 
 
+@query(None)
+def d08_split_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's events as one long trace, cut into its peaks; a valley of less than 0.6 of the smaller top parts two."""
+    at = F.unix_micros(F.col("ts").cast("timestamp")) / 6e7
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("file_id"), at.alias("rt"), F.col("value").alias("intensity"), F.lit(1.0).alias("island"), F.lit(0).cast("long").alias("line"), F.lit(1.0).alias("mz"), F.col("event_id").alias("scan"))
+    whole = e.select("file_id", "island", "line").distinct().withColumn("long", F.lit(True))
+    cut = detect.pieces(e, whole, detect.Settings(valley=0.6, peak_width=1e9, peak_height=2.0, peak_area=5.0, peak_points=3))
+    return cut.groupBy("file_id", "piece").agg(F.min("rt").alias("rt_start"), F.max("rt").alias("rt_end"), F.max("intensity").alias("height"), F.count("*").alias("n_points"))
+
+
 @query("""
 SELECT event_id, json_extract_string(props, '$.k') AS k, CAST(json_valid(props) AS BOOLEAN) AS valid FROM events""")
 def src10_json(spark: SparkSession, sf_dir: str) -> DataFrame:

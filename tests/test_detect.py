@@ -101,3 +101,42 @@ def test_lines_do_not_depend_on_batches(spark):
         assert sorted(map(tuple, detect.lines(points).collect())) == want
     spark.conf.set(name, before)
     assert len({(r[0], r[1], r[2]) for r in want}) == 10
+
+
+def plain_split(t, y, s):
+    """Peaks of a trace by the rules, one after another."""
+    found = []
+    for a, top, b in peaks.find_peaks(peaks.smooth(y, s.smooth), s.spacing):
+        if b - a >= s.peak_points and y[top] >= s.peak_height and y[top] - max(y[a], y[b - 1]) >= y.max() * s.prominence:
+            found.append((y[top], int(a), int(top), int(b)))
+    if s.most_peaks:
+        found = sorted(found, reverse=True)[: s.most_peaks]
+    out = []
+    for h, a, top, b in sorted(found, key=lambda p: p[1]):
+        if out and s.valley > 0:
+            g, c, peak, d = out[-1]
+            lo, hi = sorted((peak, top))
+            if y[lo : hi + 1].min() >= s.valley * min(g, h):
+                out[-1] = (max(g, h), c, top if h >= g else peak, max(d, b))
+                continue
+        out.append((h, a, top, b))
+    fits = lambda t, y: y.size >= s.peak_points and s.least_width <= t[-1] - t[0] <= s.peak_width and np.trapezoid(y, t) >= s.peak_area and y.max() >= s.peak_height
+    return [p for p in out if fits(t[p[1] : p[3]], y[p[1] : p[3]])]
+
+
+def test_split_traces_like_plain_rules(spark):
+    rng = np.random.default_rng(8)
+    traces = {i: (np.cumsum(rng.uniform(0.05, 0.3, n)), np.abs(np.convolve(rng.normal(0, 5, n), np.ones(int(w)), "same")) + 0.1) for i, (n, w) in enumerate(zip(rng.integers(8, 90, 25), rng.integers(1, 6, 25)))}
+    rows = [(i, k, float(t), 400.0, float(y)) for i, (ts, ys) in traces.items() for k, (t, y) in enumerate(zip(ts, ys))]
+    points = spark.createDataFrame(rows, "file_id int, scan long, rt double, mz double, intensity double").selectExpr("*", "1.0D AS island", "0L AS line")
+    whole = points.select("file_id", "island", "line").distinct().withColumn("long", F.lit(True))
+    joined = 0
+    for s in (detect.Settings(), detect.Settings(valley=0.5, peak_points=3), detect.Settings(valley=0.8, peak_points=2, most_peaks=3, peak_height=4.0, peak_area=1.0, least_width=0.2, peak_width=3.0)):
+        got = {}
+        for r in detect.pieces(points.select("file_id", "island", "line", "scan", "rt", "mz", "intensity"), whole, s).groupBy("file_id", "piece").agg(F.min("scan").alias("a"), F.max("scan").alias("b")).collect():
+            got.setdefault(r.file_id, []).append((r.a, r.b + 1))
+        for i, (t, y) in traces.items():
+            want = plain_split(t, y, s)
+            joined += any(b - a > 1 for _, a, _, b in want) and s.valley > 0
+            assert sorted(got.get(i, [])) == sorted((a, b) for _, a, _, b in want)
+    assert joined
