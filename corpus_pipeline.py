@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spectraloom.llm import bpe, crf, lines, mixing, partenum
-from spectraloom.llm.common import written
+from spectraloom.llm.common import own_names, written
 
 #: Documents below this chance of being good are rejected.
 LEAST_QUALITY = 0.3
@@ -29,14 +29,18 @@ ORACLE_SQL = None
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the line classifier does not reject."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~crf.held_out("doc_id"))
-    scored = crf.score_documents(docs, crf.train(docs, labels), score_col="_score")
-    return scored.where(F.col("_score") >= LEAST_QUALITY).select(*docs.columns)
+    (score,) = own_names(docs, "_score")
+    scored = crf.score_documents(docs, crf.train(docs, labels), score_col=score)
+    return scored.where(F.col(score) >= LEAST_QUALITY).select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that several documents share stay in the first of them; n_chars follows the text."""
-    kept = lines.dedup_lines(docs)
-    return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    clash = [c for c in docs.columns if c.lower() in ("n_lines", "n_dropped")]
+    aside = dict(zip(clash, own_names(docs, *[f"_{c}" for c in clash])))
+    kept = lines.dedup_lines(docs.withColumnsRenamed(aside))
+    kept = kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return kept.select(*[F.col(f"`{aside.get(c, c)}`").alias(c) for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
