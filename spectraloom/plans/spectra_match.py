@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from spectraloom.functions import chemistry as C
 from spectraloom.functions import isotopologues
 from spectraloom.functions.scalars import PROTON
-from spectraloom.operators import fragments
+from spectraloom.operators import fragments, graph, rank_choice
 from spectraloom.sources.tables import table
 
 QUERIES, ORACLES = {}, {}
@@ -113,7 +113,7 @@ def i15_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(None)
 def i09_fragment_isotopes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fragments of the precursor's first isotopes, a window of 2 m/z around each part's price as a doubly charged precursor."""
+    """Fragments of the first isotopes of each part's peptide as a doubly charged precursor, from 0.1 m/z below it to 1.1 above."""
     p = _peptides(spark, sf_dir).where(F.length("sequence") > 1).withColumn("m", C.peptide_mass(F.col("sequence")) / 2 + PROTON)
     asked = p.select(F.col("candidate_id").alias("precursor_id"), "sequence", F.lit(2).alias("charge"), (F.col("m") - 0.1).alias("low"), (F.col("m") + 1.1).alias("high"))
     return isotopologues.fragment_isotopes(asked)
@@ -123,3 +123,23 @@ def i09_fragment_isotopes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def i18_library(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Isotopologues of every formula of the parts' peptides, down to a hundredth of the likeliest."""
     return isotopologues.extend_library(_peptides(spark, sf_dir).where("sequence <> ''").select("sequence"), None)
+
+
+def _fragment_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as matched peaks: a part is a scan, a return flag a peptide, a supplier's parity an ion, a line number an isotope rank."""
+    rank, item = F.col("l_linenumber") - 1, table(spark, sf_dir, "lineitem")
+    sequence = F.when(F.col("l_returnflag") == "A", "PEPTIDEK").when(F.col("l_returnflag") == "N", "SAMPLER").otherwise("ELVISK")
+    expected = F.lit(300.0) + rank
+    return item.select(
+        F.col("l_partkey").alias("scan"), F.lit(0).cast("long").alias("line"), (F.col("l_partkey") % 7).alias("distribution"), (F.col("l_partkey") % 50).alias("analyte"), sequence.alias("sequence"), F.lit(1).alias("charge"),
+        F.when(F.col("l_suppkey") % 2 == 0, "b2").otherwise("y3").alias("ion"), rank.alias("rank"), expected.alias("expected_mz"), (expected + F.col("l_discount") / 100 + F.col("l_orderkey") / 1e9).alias("mz"),
+        (1 / F.sqrt(rank + 1.0)).alias("abundance"), F.col("l_extendedprice").alias("intensity"), F.col("l_orderkey").alias("place"), F.col("l_quantity").alias("score"),
+    )
+
+
+@query(None)
+def i19_rankings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Peptides by the isotope ranks of their ions: the last of three levels of rankings."""
+    matches = _fragment_matches(spark, sf_dir)
+    chosen = rank_choice.choose(matches, matches.groupBy("scan").agg(F.avg("intensity").alias("average")))
+    return rank_choice.rankings(graph.settled(chosen, "chosen"))["peptide"].select("sequence", "analyte", "n_scans", "n_distributions", "n_peaks", F.round("ion_score", 3).alias("ion_score"), F.round("ppm", 3).alias("ppm"), F.round("intensity", 2).alias("intensity"), "place")
