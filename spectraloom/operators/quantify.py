@@ -7,6 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spectraloom.functions import scalars as S
+from spectraloom.operators.graph import settled
+from spectraloom.operators.store import quantile_block
 
 
 def feature_by_file(rows: DataFrame, feature: str, file: str, quantity: str) -> DataFrame:
@@ -17,12 +19,13 @@ def feature_by_file(rows: DataFrame, feature: str, file: str, quantity: str) ->
 def median_center(matrix: DataFrame, file: str) -> DataFrame:
     """log2, subtract the file's median, add the median of the medians, back to linear.
 
-    Quantities that are not positive are left out. The per-file medians are one row
-    a file, so the plan needs one shuffle on the file and a small join.
+    Quantities that are not positive are left out. Medians come from counted ranks, so that no task holds
+    a file's values; they are one row a file, joined to the matrix.
     """
     logged = matrix.where(F.col("quantity") > 0).withColumn("log_q", F.log2("quantity"))
-    medians = logged.groupBy(file).agg(F.median("log_q").alias("file_median"))
-    grand = medians.agg(F.median("file_median").alias("grand_median"))
+    middle = lambda rows, value, *keys: quantile_block(rows, value, *keys, probabilities={"p50": 0.5})
+    medians = settled(middle(logged, "log_q", file).select(file, F.col("value").alias("file_median")), "medians")
+    grand = middle(medians, "file_median").select(F.col("value").alias("grand_median"))
     return (
         logged.join(medians.crossJoin(grand), file)
         .withColumn("quantity", F.pow(F.lit(2.0), F.col("log_q") - F.col("file_median") + F.col("grand_median")))

@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from spectraloom.operators.graph import settled
+
 FILE = "file_id"
 
 
@@ -137,10 +139,10 @@ def charge_span(analytes: DataFrame) -> DataFrame:
 PROBABILITIES = {"min": 0.0, "p01": 0.01, "p05": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95, "p99": 0.99, "max": 1.0}
 
 
-def quantile_block(rows: DataFrame, value: str, *keys: str) -> DataFrame:
+def quantile_block(rows: DataFrame, value: str, *keys: str, probabilities: dict[str, float] = PROBABILITIES) -> DataFrame:
     """(keys, quantile, value): linear interpolation between ranks; null, infinite and not-a-number values are left out.
 
-    Ranks are counted, not gathered: values are range-partitioned, each partition knows how many of each
+    Ranks are counted, not gathered: values are range-partitioned and written, each partition knows how many of each
     group stand before it, and only the two values at each quantile's place are kept. No task holds a group.
     """
     x = F.col(value).cast("double")
@@ -148,17 +150,18 @@ def quantile_block(rows: DataFrame, value: str, *keys: str) -> DataFrame:
     n_parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # Equal values count once, so that a very common one does not fill a partition.
     sized = finite.groupBy(*keys, "_x").agg(F.count("*").alias("_c"))
-    dealt = sized.repartitionByRange(n_parts, *keys, "_x").withColumn("_p", F.spark_partition_id())
+    # Written, so that every reader sees the same bounds.
+    dealt = settled(sized.repartitionByRange(n_parts, *keys, "_x").withColumn("_p", F.spark_partition_id()), "dealt")
     by = list(keys) or [F.lit(1)]
     within = F.sum("_c").over(W.partitionBy(*by, "_p").orderBy("_x"))
     ranked = dealt.withColumn("_upto", within)
     starts = dealt.groupBy(*keys, "_p").agg(F.sum("_c").alias("_in"), F.min("_x").alias("_low"))
     before = F.coalesce(F.sum("_in").over(W.partitionBy(*by).orderBy("_low").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     starts = starts.withColumns({"_before": before, "_all": F.sum("_in").over(W.partitionBy(*by))}).select(*keys, "_p", "_before", "_all")
-    ranked = ranked.join(F.broadcast(starts), [*keys, "_p"])
+    ranked = ranked.join(starts, [*keys, "_p"])
     last = F.col("_before") + F.col("_upto") - 1  # places from 0
     first = last - F.col("_c") + 1
-    names = F.explode(F.array(*[F.struct(F.lit(k).alias("quantile"), F.lit(p).alias("p")) for k, p in PROBABILITIES.items()])).alias("q")
+    names = F.explode(F.array(*[F.struct(F.lit(k).alias("quantile"), F.lit(p).alias("p")) for k, p in probabilities.items()])).alias("q")
     held = ranked.select(*keys, "_x", "_all", first.alias("_first"), last.alias("_last"), names).select(*keys, "_x", "_first", "_last", "q.quantile", (F.col("q.p") * (F.col("_all") - 1)).alias("_at"))
     low, high = F.floor("_at"), F.ceil("_at")
     is_low, is_high = low.between(F.col("_first"), F.col("_last")), high.between(F.col("_first"), F.col("_last"))

@@ -52,7 +52,10 @@ def i06_fragment_ions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("mz", F.round("mz", 4))
 
 
-@query(f""", near AS (SELECT spectrum, ion, place, charge, mz, peak_mz, intensity, id, rank() OVER (PARTITION BY spectrum, id, ion, place, charge ORDER BY abs(mz - peak_mz)) AS n FROM ions JOIN peaks USING (spectrum) WHERE abs(mz - peak_mz) < mz / 1e6 * {PPM})
+_ANNOTATED = f""", near AS (SELECT spectrum, ion, place, charge, mz, peak_mz, intensity, id, rank() OVER (PARTITION BY spectrum, id, ion, place, charge ORDER BY abs(mz - peak_mz)) AS n FROM ions JOIN peaks USING (spectrum) WHERE abs(mz - peak_mz) < mz / 1e6 * {PPM})"""
+
+
+@query(f"""{_ANNOTATED}
 SELECT spectrum, peak_mz, ion, place, charge, round(min(mz), 3) AS theo_mz, round((peak_mz - min(mz)) / min(mz) * 1e6, 2) AS error FROM near WHERE n = 1 GROUP BY spectrum, peak_mz, intensity, ion, place, charge, round(mz, 4)""")
 def i10_annotated(spark: SparkSession, sf_dir: str) -> DataFrame:
     ions = fragments.ion_rows(_peptides(spark, sf_dir), "spectrum", "candidate_id")
@@ -125,6 +128,13 @@ def i18_library(spark: SparkSession, sf_dir: str) -> DataFrame:
     return isotopologues.extend_library(_peptides(spark, sf_dir).where("sequence <> ''").select("sequence"), None)
 
 
+@query(f"""{_ANNOTATED} SELECT spectrum, peak_mz, intensity FROM peaks ANTI JOIN (SELECT spectrum, peak_mz FROM near WHERE n = 1) USING (spectrum, peak_mz)""")
+def i10_remainder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Peaks that the annotation gives to no ion."""
+    ions, peaks = fragments.ion_rows(_peptides(spark, sf_dir), "spectrum", "candidate_id"), _peaks(spark, sf_dir)
+    return fragments.unmatched(peaks, fragments.annotate(ions, peaks, PPM))
+
+
 def _fragment_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as matched peaks: a part is a scan, a return flag a peptide, a supplier's parity an ion, a line number an isotope rank."""
     rank, item = F.col("l_linenumber") - 1, table(spark, sf_dir, "lineitem")
