@@ -86,3 +86,21 @@ def components(edges: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
         if not moved:
             return labels
     raise RuntimeError(f"components did not settle in {rounds} rounds")
+
+
+def reachable(edges: DataFrame, starts: DataFrame, rounds: int = 1000) -> DataFrame:
+    """(start, node, depth): every node that a start leads to along edges (a, b), itself included, with the fewest steps to it.
+
+    edges: (a, b); starts: (start). A round is a join of the nodes that are new with the edges, and an anti join with all that were met; both are tables.
+    A start of very many nodes is dealt by node. Raises if there are new nodes after `rounds`.
+    """
+    steps = settled(edges.select("a", "b").where("a IS NOT NULL AND b IS NOT NULL AND a <> b").distinct(), "steps")
+    front = settled(starts.where("start IS NOT NULL").select("start", F.col("start").alias("node")).distinct(), "front")
+    met = front.withColumn("depth", F.lit(0))
+    for depth in range(1, rounds + 1):
+        found = front.join(steps, front["node"] == steps["a"]).select("start", F.col("b").alias("node")).distinct()
+        front = settled(found.join(met, ["start", "node"], "left_anti"), "front")
+        if not front.head(1):
+            return met
+        met = met.unionByName(front.withColumn("depth", F.lit(depth)))
+    raise RuntimeError(f"nodes are still new after {rounds} rounds")

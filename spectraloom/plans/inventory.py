@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spectraloom.functions import scalars as S
-from spectraloom.operators import detect, joins, reorganize
+from spectraloom.operators import detect, graph, joins, reorganize
 from spectraloom.sources import files
 from spectraloom.sources.tables import table
 
@@ -288,3 +288,21 @@ def src10_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT page_id, CAST(len(list_distinct(regexp_extract_all(html, 'href\\s*=\\s*["'']([^"''#]+)', 1))) AS BIGINT) AS links FROM pages""")
 def src17_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.size(files.links(F.col("html"))).cast("long").alias("links"))
+
+
+_HREF = """href\\s*=\\s*["'']([^"''#]+)"""
+
+
+@query(f"""
+WITH RECURSIVE p AS (SELECT regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) AS root, regexp_replace(regexp_replace(url, '[?#].*$', ''), '/[^/]*$', '') AS folder, html FROM pages),
+e AS (SELECT DISTINCT folder AS a, CASE WHEN l LIKE '/%' THEN root || l WHEN regexp_matches(l, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN l ELSE folder || '/' || l END AS b
+  FROM (SELECT *, unnest(regexp_extract_all(html, '{_HREF}', 1)) AS l FROM p)),
+r(start, node, depth) AS (SELECT DISTINCT folder, folder, 0 FROM p UNION SELECT r.start, e.b, r.depth + 1 FROM r JOIN e ON r.node = e.a WHERE r.depth < 12)
+SELECT start, node, CAST(min(depth) AS INTEGER) AS depth FROM r GROUP BY 1, 2""")
+def src17_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each folder of pages leads to: links of its pages, of the folders among these, and so on."""
+    pages = table(spark, sf_dir, "pages")
+    folder = files.folder_of(F.col("url"))
+    links = pages.select(folder.alias("a"), "url", F.explode(files.links(F.col("html"))).alias("link"))
+    edges = links.select("a", files.resolve(F.col("url"), F.col("link")).alias("b"))
+    return graph.reachable(edges, pages.select(folder.alias("start")))

@@ -132,3 +132,41 @@ def links(html: Column, suffixes: Sequence[str] = ()) -> Column:
     if suffixes:
         found = F.filter(found, lambda u: F.lower(u).rlike("(" + "|".join(s.replace(".", r"\.") for s in suffixes) + ")$"))
     return F.array_sort(F.array_distinct(found))
+
+
+_SCHEME = "^[A-Za-z][A-Za-z0-9+.-]*:"
+
+
+def resolve(base: Column, href: Column) -> Column:
+    """The address that a page's link means, without its fragment; `.` and `..` in the path are followed. Null for a base without a host.
+
+    A link may have a scheme, begin with a host (//), at the root (/), with a query (?) or beside the page.
+    """
+    root = F.nullif(F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]+)", 1), F.lit(""))
+    path = F.regexp_extract(base, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+([^?#]*)", 1)
+    folder = F.concat(F.regexp_extract(path, r"^(.*)/[^/]*$", 1), F.lit("/"))
+    link = F.regexp_replace(F.trim(href), "#.*$", "")
+    absolute = (
+        F.when(link.rlike(_SCHEME), link)
+        .when(F.startswith(link, F.lit("//")), F.concat(F.regexp_extract(base, "^([A-Za-z][A-Za-z0-9+.-]*:)", 1), link))
+        .when(F.startswith(link, F.lit("/")), F.concat(root, link))
+        .when(F.startswith(link, F.lit("?")) | (link == ""), F.concat(root, path, link))
+        .otherwise(F.concat(root, folder, link))
+    )
+    host = F.regexp_extract(absolute, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]+)", 1)
+    rest = F.regexp_extract(absolute, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+([^?]*)", 1)
+    query = F.regexp_extract(absolute, r"(\?.*)$", 1)
+    none = F.array().cast("array<string>")
+    up = lambda a: F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0)))
+    parts = F.split(F.regexp_replace(rest, "^/", ""), "/")
+    walked = F.aggregate(parts, none, lambda a, x: F.when(x == "..", up(a)).when(x == ".", a).otherwise(F.concat(a, F.array(x))))
+    # A path that ends in a dot segment is a folder.
+    ending = F.when(rest.rlike(r"/\.\.?$"), F.lit("/")).otherwise(F.lit(""))
+    tidy = F.when(rest.rlike(r"(^|/)\.\.?(/|$)"), F.regexp_replace(F.concat(F.lit("/"), F.array_join(walked, "/"), ending), "^//$", "/")).otherwise(rest)
+    return F.when(host == "", F.when(absolute.rlike(_SCHEME), absolute)).otherwise(F.concat(host, tidy, query))
+
+
+def folder_of(url: Column) -> Column:
+    """The folder that an address lies in, without the slash at its end; the host for one at the root."""
+    plain = F.regexp_replace(url, "[?#].*$", "")
+    return F.when(plain.rlike("://[^/]*/"), F.regexp_replace(plain, "/[^/]*$", "")).otherwise(plain)
