@@ -27,6 +27,7 @@ NAMES = {
 }
 UNITS = {S.RT: "minute", S.TARGET: "m/z", S.LOWER: "m/z", S.UPPER: "m/z", S.SELECTED: "m/z"}
 HEAD = """<?xml version="1.0" encoding="utf-8"?>
+<indexedmzML xmlns="http://psi.hupo.org/ms/mzml">
 <mzML xmlns="http://psi.hupo.org/ms/mzml" version="1.1.0">
 <cvList count="1"><cv id="MS" fullName="Proteomics Standards Initiative Mass Spectrometry Ontology" URI="https://raw.githubusercontent.com/HUPO-PSI/psi-ms-CV/master/psi-ms.obo"/></cvList>
 <fileDescription><fileContent><cvParam cvRef="MS" accession="MS:1000579" name="MS1 spectrum" value=""/></fileContent></fileDescription>
@@ -80,7 +81,7 @@ def write_mzml(spectra: DataFrame, path: str, run: str = "run") -> DataFrame:
     """One file a value of `run`, `path/<value>.mzML`, spectra by ascending index, numbered anew; (run, path, spectra) of each.
 
     Ids, levels, kinds, times, precursors and, where the column is there, polarity are kept; arrays are written as doubles, deflated.
-    A spectrum whose arrays differ in length fails the job and leaves no file. A run streams through one task;
+    A spectrum whose arrays differ in length fails the job and leaves no file. The places of the spectra are listed at the end. A run streams through one task;
     files are written when the result is read, and put in place whole.
     """
     kept = [c for c in ("spectrum_id", "spectrum_index", "ms_level", "kind", "rt", "precursor_ref", "precursor_mz", "precursor_charge", "isolation_low", "isolation_high", "collision_energy", "mz", "intensity", "polarity") if c in spectra.columns]
@@ -90,16 +91,23 @@ def write_mzml(spectra: DataFrame, path: str, run: str = "run") -> DataFrame:
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         each = (r for b in batches for r in b.itertuples(index=False))
         for name, own in groupby(each, key=lambda r: r.run_name):
-            target, n = f"{path.rstrip('/')}/{name}.mzML", 0
+            target, places, at = f"{path.rstrip('/')}/{name}.mzML", [], 0
             with replaced(target, str(TaskContext.get().taskAttemptId())) as out:
-                out.write(HEAD.encode())
+
+                def put(text: str, out=out) -> int:
+                    raw = text.encode()
+                    out.write(raw)
+                    return len(raw)
+
+                at += put(HEAD)
                 for r in own:
-                    if n == 0:
-                        out.write(f'<run id={quoteattr(str(name))} defaultInstrumentConfigurationRef="IC1"><spectrumList count="{r.run_size}" defaultDataProcessingRef="DP1">\n'.encode())
-                    out.write(_spectrum(r, n).encode())
-                    n += 1
-                out.write(b"</spectrumList></run></mzML>\n")
-            yield pd.DataFrame({"run": [str(name)], "path": [target], "spectra": [n]})
+                    if not places:
+                        at += put(f'<run id={quoteattr(str(name))} defaultInstrumentConfigurationRef="IC1"><spectrumList count="{r.run_size}" defaultDataProcessingRef="DP1">\n')
+                    places.append(f"<offset idRef={quoteattr(r.spectrum_id)}>{at}</offset>")
+                    at += put(_spectrum(r, len(places) - 1))
+                at += put("</spectrumList></run></mzML>\n")
+                put(f'<indexList count="1"><index name="spectrum">\n{chr(10).join(places)}\n</index></indexList>\n<indexListOffset>{at}</indexListOffset>\n</indexedmzML>\n')
+            yield pd.DataFrame({"run": [str(name)], "path": [target], "spectra": [len(places)]})
 
     dealt = rows.repartition("run_name").sortWithinPartitions("run_name", "spectrum_index", "spectrum_id")
     return dealt.mapInPandas(write, T.StructType([T.StructField("run", T.StringType()), T.StructField("path", T.StringType()), T.StructField("spectra", T.LongType())]))
