@@ -44,6 +44,7 @@ def run(spark: SparkSession, entries: str, target: str, checkpoint: str, conf: d
     """Takes what is new into the index and returns the whole of it."""
     log = logger(NAME)
     columns = spark.read.parquet(entries).select(conf["id"], conf["text"]).schema
+    read = []
 
     def take(batch: DataFrame, number: int) -> None:
         own = batch.sparkSession
@@ -52,13 +53,13 @@ def run(spark: SparkSession, entries: str, target: str, checkpoint: str, conf: d
         digest(batch, conf).hint("rebalance", "length").write.mode("overwrite").partitionBy("length").parquet(path)
         kind = columns[conf["id"]].dataType
         written = own.read.schema(T.StructType([T.StructField("id", kind), T.StructField("length", T.IntegerType())])).parquet(path).count()
-        log.info("batch %d: wrote %d peptides to %s", number, written, path)
+        read.append(batch.count())  # of the files' footers
+        log.info("batch %d: read %d entries, wrote %d peptides to %s", number, read[-1], written, path)
 
     stream = spark.readStream.schema(columns).option("maxFilesPerTrigger", conf["files_a_batch"]).parquet(entries)
     query = stream.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    read = sum(p["numInputRows"] for p in query.recentProgress)
-    log.info("read %d entries that were new in %s", read, entries)
+    log.info("read %d entries that were new in %s", sum(read), entries)
     return output(spark, target, columns[conf["id"]].dataType)
 
 
