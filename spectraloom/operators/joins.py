@@ -28,6 +28,11 @@ def band_join(left: DataFrame, right: DataFrame, a: str, b: str, tolerance: floa
     return probe.join(filed, on).drop("_bin", *[f"_{k}" for k in keys])
 
 
+def value_pairs(left: DataFrame, right: DataFrame, a: str, b: str, tolerance: float, strict: bool = False) -> DataFrame:
+    """(a, b): the pairs of different values within the tolerance, each once, however many rows hold them."""
+    return band_join(left.select(a).distinct(), right.select(b).distinct(), a, b, tolerance, strict=strict)
+
+
 def nearest_join(left: DataFrame, right: DataFrame, left_id: str, a: str, b: str, tolerance: float) -> DataFrame:
     """Each left row with its nearest right rows strictly within the tolerance; ties all stay."""
     pairs = band_join(left, right, a, b, tolerance, strict=True)
