@@ -66,14 +66,15 @@ def overlap_join(left: DataFrame, right: DataFrame, key: str, l0: str, l1: str,
 def ppm_join(left: DataFrame, right: DataFrame, a: str, b: str, ppm: float, keys: list[str] = (), strict: bool = False) -> DataFrame:
     """Pairs (of equal keys) whose values differ by at most, or less than, ppm of the left (positive) one.
 
-    Bins are even in the logarithm and wider than the tolerance at any value.
+    Bins are even in the logarithm and wider than the tolerance at any value. The join is by exchange: the planner
+    takes rows that were exploded for as few as before, and would broadcast them.
     """
     width = float(2 * ppm / 1e6)
     at = lambda c: F.floor(F.log(F.col(c)) / width)
     probe = left.where(F.col(a) > 0).withColumn("_bin", F.explode(F.array(*[at(a) + d for d in (-1, 0, 1)])))
     filed = right.where(F.col(b) > 0).withColumn("_bin", at(b))
     gap, most = F.abs(F.col(a) - F.col(b)), F.col(a) / 1e6 * ppm
-    return probe.join(filed, ["_bin", *keys]).where((gap < most) if strict else (gap <= most)).drop("_bin")
+    return probe.join(filed.hint("merge"), ["_bin", *keys]).where((gap < most) if strict else (gap <= most)).drop("_bin")
 
 
 def nearest_ppm(left: DataFrame, right: DataFrame, left_id: list[str], a: str, b: str, ppm: float, keys: list[str] = ()) -> DataFrame:

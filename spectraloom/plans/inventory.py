@@ -139,14 +139,19 @@ SELECT a.p_partkey AS l, CAST(count(*) AS BIGINT) AS n FROM part a JOIN part b O
 def j21_ppm_band(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
     a, b = p.select(F.col("p_partkey").alias("l"), F.col("p_retailprice").alias("x")), p.select(F.col("p_partkey").alias("r"), F.col("p_retailprice").alias("y"))
-    return joins.ppm_join(a, b, "x", "y", 40).where("l <> r").groupBy("l").agg(_n())
+    # Prices are compared and their parts counted; a part itself is taken off again.
+    near = joins.ppm_join(a.select("x").distinct(), b.where("r IS NOT NULL").groupBy("y").agg(_n("k")), "x", "y", 40).groupBy("x").agg(F.sum("k").alias("k"))
+    met = a.where("l IS NOT NULL").join(near, "x").groupBy("l").agg(F.sum("k").alias("k"))
+    own = joins.ppm_join(a, b.withColumn("l", F.col("r")), "x", "y", 40, ["l"]).groupBy("l").agg(_n("own"))
+    return met.join(own, "l", "left").select("l", (F.col("k") - F.coalesce("own", F.lit(0))).alias("n")).where("n > 0")
 
 
 @query("SELECT s_suppkey FROM supplier WHERE EXISTS (SELECT 1 FROM part WHERE abs(p_retailprice - (s_acctbal / 10 + 1000)) <= p_retailprice * 20 / 1e6)")
 def j24_exists_band(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = table(spark, sf_dir, "part").select(F.col("p_retailprice").alias("x"))
     b = table(spark, sf_dir, "supplier").select("s_suppkey", (F.col("s_acctbal") / 10 + 1000).alias("y"))
-    return joins.ppm_join(a, b, "x", "y", 20).select("s_suppkey").distinct()
+    near = joins.ppm_join(a.distinct(), b.select("y").distinct(), "x", "y", 20).select("y").distinct()
+    return b.join(near, "y", "left_semi").select("s_suppkey").distinct()
 
 
 #: Events, and a box around each.

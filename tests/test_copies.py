@@ -62,3 +62,9 @@ def test_d09_isotope_edges(spark, copies):
     # Joins put out no more than for one copy, but for the rows themselves.
     once = most_met(registry.QUERIES["d09_isotope_edges"](spark, SMALL))
     assert most_met(same_as_sql(spark, "d09_isotope_edges", copies)) <= 4 * once
+
+
+def test_j21_ppm_band(spark, copies):
+    # Joins put out no more than for one copy, but for the rows themselves.
+    once = most_met(registry.QUERIES["j21_ppm_band"](spark, SMALL))
+    assert most_met(same_as_sql(spark, "j21_ppm_band", copies)) <= 4 * once
