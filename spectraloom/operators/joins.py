@@ -34,10 +34,15 @@ def value_pairs(left: DataFrame, right: DataFrame, a: str, b: str, tolerance: fl
 
 
 def nearest_join(left: DataFrame, right: DataFrame, left_id: str, a: str, b: str, tolerance: float) -> DataFrame:
-    """Each left row with its nearest right rows strictly within the tolerance; ties all stay."""
-    pairs = band_join(left, right, a, b, tolerance, strict=True)
-    closest = W.partitionBy(left_id).orderBy(F.abs(F.col(a) - F.col(b)))
-    return pairs.withColumn("_r", F.rank().over(closest)).where("_r = 1").drop("_r")
+    """Each left row with its nearest right rows strictly within the tolerance; ties all stay.
+
+    Values are compared, not rows: a value of many rows meets each value of the other side once, and only what is nearest becomes rows.
+    """
+    gap = F.abs(F.col(a) - F.col(b))
+    near = value_pairs(left, right, a, b, tolerance, strict=True).withColumn("_d", gap).withColumn("_r", F.rank().over(W.partitionBy(a).orderBy("_d")))
+    near = near.where("_r = 1").select(a, "_d", F.col(b).alias("_v"))
+    closest = left.join(near, a).withColumn("_least", F.min("_d").over(W.partitionBy(left_id))).where("_d = _least").drop("_d", "_least")
+    return closest.join(right, F.col("_v") == F.col(b)).drop("_v")
 
 
 def preceding(rows: DataFrame, key: str, order: list[str], is_source: Column, value: Column, name: str) -> DataFrame:

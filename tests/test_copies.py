@@ -68,3 +68,9 @@ def test_j21_ppm_band(spark, copies):
     # Joins put out no more than for one copy, but for the rows themselves.
     once = most_met(registry.QUERIES["j21_ppm_band"](spark, SMALL))
     assert most_met(same_as_sql(spark, "j21_ppm_band", copies)) <= 4 * once
+
+
+def test_j22_nearest(spark, copies):
+    got = same_as_sql(spark, "j22_nearest", copies)
+    # No pair is met that is not put out.
+    assert most_met(got) <= got.count()
