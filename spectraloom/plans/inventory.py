@@ -224,10 +224,12 @@ def j29_candidates_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH s AS (SELECT s_suppkey, s_acctbal / 10 + 1000 AS y, unnest(range(-1, 3)) AS k FROM supplier)
 SELECT DISTINCT s_suppkey, p_partkey FROM s JOIN part ON abs(p_retailprice - (y + k * 1.00335)) <= 0.2""")
 def j30_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.explode(F.sequence(F.lit(-1), F.lit(2)))
-    b = table(spark, sf_dir, "supplier").select("s_suppkey", (F.col("s_acctbal") / 10 + 1000).alias("y0"), k.alias("k")).select("s_suppkey", (F.col("y0") + F.col("k") * 1.00335).alias("y"))
-    a = table(spark, sf_dir, "part").select("p_partkey", F.col("p_retailprice").alias("x"))
-    return joins.band_join(a, b, "x", "y", 0.2).select("s_suppkey", "p_partkey").distinct()
+    # Keys are grouped by the values they have, and groups meet once: pairs of keys are then distinct without being compared.
+    b = table(spark, sf_dir, "supplier").groupBy("s_suppkey").agg(F.array_sort(F.collect_set(F.col("s_acctbal") / 10 + 1000)).alias("ys"))
+    a = table(spark, sf_dir, "part").groupBy("p_partkey").agg(F.array_sort(F.collect_set("p_retailprice")).alias("xs"))
+    y = b.select("ys").distinct().select("ys", F.explode("ys").alias("y0"), F.expr("sequence(-1, 2)").alias("k")).select("ys", F.explode("k").alias("k"), "y0").select("ys", (F.col("y0") + F.col("k") * 1.00335).alias("y"))
+    pairs = joins.band_join(a.select("xs").distinct().select("xs", F.explode("xs").alias("x")), y, "x", "y", 0.2).select("xs", "ys").distinct()
+    return b.join(pairs, "ys").join(a, "xs").select("s_suppkey", "p_partkey")
 
 
 @query("""

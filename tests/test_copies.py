@@ -74,3 +74,9 @@ def test_j22_nearest(spark, copies):
     got = same_as_sql(spark, "j22_nearest", copies)
     # No pair is met that is not put out.
     assert most_met(got) <= got.count()
+
+
+def test_j30_offsets(spark, copies):
+    got = same_as_sql(spark, "j30_offsets", copies)
+    # Pairs of keys are put out as they are met: the last step is a join, no exchange.
+    assert "Join" in str(got._jdf.queryExecution().optimizedPlan().toString()).splitlines()[1]
