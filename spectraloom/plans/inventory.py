@@ -238,8 +238,10 @@ WITH j AS (SELECT s_suppkey, p_partkey, row_number() OVER (PARTITION BY s_suppke
 def j31_nearest_two_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = table(spark, sf_dir, "part").select("p_partkey", "p_size", F.col("p_retailprice").alias("x"))
     b = table(spark, sf_dir, "supplier").select("s_suppkey", (F.col("s_acctbal") / 10 + 1000).alias("y"))
-    j = joins.band_join(a, b, "x", "y", 5.0)
-    return j.groupBy("s_suppkey").agg(F.min_by("p_partkey", F.struct(F.abs(F.col("x") - F.col("y")), F.abs(F.col("p_size") - 25), "p_partkey")).alias("p_partkey"))
+    # The best part of a price is the same for every supplier, and the best part of a balance for all suppliers that have it.
+    first = a.groupBy("x").agg(F.min(F.struct(F.abs(F.col("p_size") - 25).alias("size"), "p_partkey")).alias("p"))
+    best = joins.value_pairs(a, b, "x", "y", 5.0).join(first, "x").groupBy("y").agg(F.min(F.struct(F.abs(F.col("x") - F.col("y")).alias("gap"), "p")).alias("best"))
+    return b.join(best, "y").groupBy("s_suppkey").agg(F.min("best").alias("best")).select("s_suppkey", "best.p.p_partkey")
 
 
 @query("SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 250000)")

@@ -80,3 +80,9 @@ def test_j30_offsets(spark, copies):
     got = same_as_sql(spark, "j30_offsets", copies)
     # Pairs of keys are put out as they are met: the last step is a join, no exchange.
     assert "Join" in str(got._jdf.queryExecution().optimizedPlan().toString()).splitlines()[1]
+
+
+def test_j31_nearest_two_keys(spark, copies):
+    # Joins put out no more than for one copy, but for the rows themselves.
+    once = most_met(registry.QUERIES["j31_nearest_two_keys"](spark, SMALL))
+    assert most_met(same_as_sql(spark, "j31_nearest_two_keys", copies)) <= 4 * once
