@@ -30,8 +30,9 @@ def annotate(ions: DataFrame, peaks: DataFrame, ppm: float = 20.0) -> DataFrame:
     An ion goes to the nearest peak strictly within the tolerance, to both where two are as near. Ions of one label whose
     m/z agree to four digits are one row with all their isotopes. Rows of a peak are numbered by falling size of the error.
     """
-    named = ions.withColumn("_id", F.xxhash64(*[c for c in ions.columns]))
-    met = joins.nearest_ppm(named, peaks, ["spectrum", "_id"], "mz", "peak_mz", ppm, ["spectrum"])
+    # Peptides of one spectrum share ions: each is compared once.
+    own = ["spectrum", *LABEL, "mz", *[c for c in ("isotope",) if c in ions.columns]]
+    met = joins.nearest_ppm(ions.select(*own).distinct(), peaks, own, "mz", "peak_mz", ppm, ["spectrum"])
     rows = met.groupBy("spectrum", "peak_mz", "intensity", *LABEL, F.round("mz", 4).alias("_m")).agg(F.min("mz").alias("theo_mz"), _isotopes(ions).alias("isotopes"))
     error = (F.col("peak_mz") - F.col("theo_mz")) / F.col("theo_mz") * 1e6
     by = W.partitionBy("spectrum", "peak_mz", "intensity").orderBy(F.desc(F.abs("error")), *LABEL)
@@ -51,7 +52,7 @@ def best_peaks(ions: DataFrame, peaks: DataFrame, ppm: float = 20.0) -> DataFram
     each = ions.groupBy("spectrum", *LABEL, F.round("mz", 3).alias("_m")).agg(F.min("mz").alias("theo_mz"), _isotopes(ions).alias("isotopes"))
     met = joins.ppm_join(each.select("spectrum", *LABEL, "_m", "theo_mz"), peaks, "theo_mz", "peak_mz", ppm, ["spectrum"])
     best = met.groupBy("spectrum", *LABEL, "_m").agg(F.max(F.struct("intensity", (-F.col("peak_mz")).alias("_n"))).alias("_b"))
-    out = each.join(best, ["spectrum", *LABEL, "_m"], "left")
+    out = each.join(best.hint("merge"), ["spectrum", *LABEL, "_m"], "left")
     hit = F.col("_b").isNotNull()
     return out.select("spectrum", *LABEL, "theo_mz", "isotopes", hit.alias("matched"), F.coalesce(-F.col("_b._n"), "theo_mz").alias("mz"), F.coalesce("_b.intensity", F.lit(0.0)).alias("intensity"))
 

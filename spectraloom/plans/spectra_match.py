@@ -36,6 +36,11 @@ def _peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(F.col("p_size").alias("spectrum"), price.alias("peak_mz"), (1 + F.floor(price) % 97).cast("double").alias("intensity")).distinct()
 
 
+def _ions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ions of each spectrum's sequences, each sequence once."""
+    return fragments.ion_rows(_peptides(spark, sf_dir).select("spectrum", "sequence").distinct(), "spectrum")
+
+
 def query(sql: str | None):
     def add(f):
         QUERIES[f.__name__] = f
@@ -58,7 +63,7 @@ _ANNOTATED = f""", near AS (SELECT spectrum, ion, place, charge, mz, peak_mz, in
 @query(f"""{_ANNOTATED}
 SELECT spectrum, peak_mz, ion, place, charge, round(min(mz), 3) AS theo_mz, round((peak_mz - min(mz)) / min(mz) * 1e6, 2) AS error FROM near WHERE n = 1 GROUP BY spectrum, peak_mz, intensity, ion, place, charge, round(mz, 4)""")
 def i10_annotated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ions = fragments.ion_rows(_peptides(spark, sf_dir), "spectrum", "candidate_id")
+    ions = _ions(spark, sf_dir)
     rows = fragments.annotate(ions, _peaks(spark, sf_dir), PPM)
     return rows.select("spectrum", "peak_mz", *fragments.LABEL, F.round("theo_mz", 3).alias("theo_mz"), F.round("error", 2).alias("error"))
 
@@ -66,7 +71,7 @@ def i10_annotated(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT spectrum, peak_mz, intensity FROM peaks WHERE NOT EXISTS (SELECT 1 FROM ions WHERE ions.spectrum = peaks.spectrum AND abs(mz - peak_mz) < mz / 1e6 * {PPM})")
 def i10_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Peaks without an ion: here every ion within the tolerance has its nearest peak, but only peaks that are nearest to none and within none's reach count."""
-    ions, peaks = fragments.ion_rows(_peptides(spark, sf_dir), "spectrum", "candidate_id"), _peaks(spark, sf_dir)
+    ions, peaks = _ions(spark, sf_dir), _peaks(spark, sf_dir)
     from spectraloom.operators import joins
 
     within = joins.ppm_join(ions, peaks, "mz", "peak_mz", PPM, ["spectrum"], strict=True)
@@ -77,7 +82,7 @@ def i10_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
 b AS (SELECT g.*, max(intensity) AS intensity FROM g JOIN peaks USING (spectrum) WHERE abs(theo_mz - peak_mz) <= theo_mz / 1e6 * {PPM} GROUP BY ALL)
 SELECT g.spectrum, g.ion, g.place, g.charge, round(g.theo_mz, 3) AS theo_mz, b.intensity IS NOT NULL AS matched, coalesce(b.intensity, 0) AS intensity FROM g LEFT JOIN b USING (spectrum, ion, place, charge, m)""")
 def j25_best_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ions = fragments.ion_rows(_peptides(spark, sf_dir), "spectrum", "candidate_id")
+    ions = _ions(spark, sf_dir)
     return fragments.best_peaks(ions, _peaks(spark, sf_dir), PPM).select("spectrum", *fragments.LABEL, F.round("theo_mz", 3).alias("theo_mz"), "matched", "intensity")
 
 
@@ -131,7 +136,7 @@ def i18_library(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""{_ANNOTATED} SELECT spectrum, peak_mz, intensity FROM peaks ANTI JOIN (SELECT spectrum, peak_mz FROM near WHERE n = 1) USING (spectrum, peak_mz)""")
 def i10_remainder(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Peaks that the annotation gives to no ion."""
-    ions, peaks = fragments.ion_rows(_peptides(spark, sf_dir), "spectrum", "candidate_id"), _peaks(spark, sf_dir)
+    ions, peaks = _ions(spark, sf_dir), _peaks(spark, sf_dir)
     return fragments.unmatched(peaks, fragments.annotate(ions, peaks, PPM))
 
 

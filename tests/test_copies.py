@@ -86,3 +86,9 @@ def test_j31_nearest_two_keys(spark, copies):
     # Joins put out no more than for one copy, but for the rows themselves.
     once = most_met(registry.QUERIES["j31_nearest_two_keys"](spark, SMALL))
     assert most_met(same_as_sql(spark, "j31_nearest_two_keys", copies)) <= 4 * once
+
+
+@pytest.mark.parametrize("name", ["i10_annotated", "j25_best_peaks"])
+def test_peaks_are_met_by_exchange(spark, copies, name):
+    got = same_as_sql(spark, name, copies)
+    assert most_met(got) <= most_met(registry.QUERIES[name](spark, SMALL))
