@@ -41,7 +41,7 @@ def annotate(ions: DataFrame, peaks: DataFrame, ppm: float = 20.0) -> DataFrame:
 
 def unmatched(peaks: DataFrame, annotated: DataFrame) -> DataFrame:
     """Peaks that no ion came to."""
-    return peaks.join(annotated.select("spectrum", "peak_mz"), ["spectrum", "peak_mz"], "left_anti")
+    return peaks.join(annotated.select("spectrum", "peak_mz").hint("merge"), ["spectrum", "peak_mz"], "left_anti")
 
 
 def best_peaks(ions: DataFrame, peaks: DataFrame, ppm: float = 20.0) -> DataFrame:

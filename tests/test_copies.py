@@ -92,3 +92,8 @@ def test_j31_nearest_two_keys(spark, copies):
 def test_peaks_are_met_by_exchange(spark, copies, name):
     got = same_as_sql(spark, name, copies)
     assert most_met(got) <= most_met(registry.QUERIES[name](spark, SMALL))
+
+
+def test_i10_remainder(spark, copies):
+    got = same_as_sql(spark, "i10_remainder", copies)
+    assert "Broadcast" not in got._jdf.queryExecution().sparkPlan().toString()
