@@ -74,7 +74,7 @@ def i10_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
     ions, peaks = _ions(spark, sf_dir), _peaks(spark, sf_dir)
     from spectraloom.operators import joins
 
-    within = joins.ppm_join(ions, peaks, "mz", "peak_mz", PPM, ["spectrum"], strict=True)
+    within = joins.ppm_join(ions.select("spectrum", "mz").distinct(), peaks, "mz", "peak_mz", PPM, ["spectrum"], strict=True)
     return fragments.unmatched(peaks, within)
 
 
