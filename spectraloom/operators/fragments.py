@@ -59,7 +59,9 @@ def best_peaks(ions: DataFrame, peaks: DataFrame, ppm: float = 20.0) -> DataFram
 
 def matched_labels(ions: DataFrame, peaks: DataFrame, ppm: float, *keys: str) -> DataFrame:
     """(keys, labels): the distinct (ion, place) of which some charge lies within the tolerance (inclusive) of a peak."""
-    met = joins.ppm_join(ions, peaks, "mz", "peak_mz", ppm, ["spectrum"]).select(*keys, "ion", "place").distinct()
+    # A spectrum's m/z are compared once, however many peptides have them.
+    hit = joins.ppm_join(ions.select("spectrum", "mz").distinct(), peaks, "mz", "peak_mz", ppm, ["spectrum"]).select("spectrum", "mz").distinct()
+    met = ions.join(hit.hint("merge"), ["spectrum", "mz"], "left_semi").select(*keys, "ion", "place").distinct()
     return met.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("ion", "place"))).alias("labels"))
 
 
@@ -94,8 +96,13 @@ def coverage(sequence: Column, labels: Column) -> Column:
 
 def report(candidates: DataFrame, peaks: DataFrame, ppm: float = 20.0, charges: tuple[int, ...] = (1, 2), ions: str = "by") -> DataFrame:
     """Candidates (candidate_id, spectrum, sequence) with `n_ions` and their coverage; those without a match stay, with zeros."""
-    key = ["candidate_id", "spectrum"]
-    labels = matched_labels(ion_rows(candidates, *key, charges=charges, ions=ions), peaks, ppm, *key)
-    rows = candidates.join(labels, key, "left").withColumn("labels", F.coalesce("labels", F.array().cast("array<struct<ion:string,place:int>>")))
+    key = ["spectrum", "sequence"]
+    # A peptide of a spectrum is looked at once, however many candidates state it.
+    each = candidates.select(*key).distinct()
+    labels = matched_labels(ion_rows(each, *key, charges=charges, ions=ions), peaks, ppm, *key)
+    rows = each.join(labels.hint("merge"), key, "left").withColumn("labels", F.coalesce("labels", F.array().cast("array<struct<ion:string,place:int>>")))
     # The coverage is worked out once: its parts are looked up by name.
-    return rows.withColumn("_c", F.get(F.transform(F.array(F.struct(F.col("sequence").alias("s"), F.col("labels").alias("l"))), lambda x: coverage(x.s, x.l)), F.lit(0))).select(*key, "sequence", F.size("labels").alias("n_ions"), "labels", "_c.*")
+    rows = rows.withColumn("_c", F.get(F.transform(F.array(F.struct(F.col("sequence").alias("s"), F.col("labels").alias("l"))), lambda x: coverage(x.s, x.l)), F.lit(0))).select(*key, F.size("labels").alias("n_ions"), "labels", "_c.*")
+    named = candidates.withColumnsRenamed({k: f"_{k}" for k in key})
+    met = named.join(rows.hint("merge"), F.col("_spectrum").eqNullSafe(F.col("spectrum")) & F.col("_sequence").eqNullSafe(F.col("sequence")))
+    return met.select("candidate_id", "spectrum", "sequence", *[c for c in rows.columns if c not in key])

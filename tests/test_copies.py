@@ -103,3 +103,9 @@ def test_i10_unmatched(spark, copies):
     got = same_as_sql(spark, "i10_unmatched", copies)
     # At most the parts' own rows: ions of different parts that are equal meet a peak once.
     assert most_met(got) <= 4 * spark.read.parquet(f"{SMALL}/part.parquet").count()
+
+
+def test_i11_coverage(spark, copies):
+    got = same_as_sql(spark, "i11_coverage", copies)
+    # The joins put out the candidates at most, and labels of one copy.
+    assert most_met(got) <= max(got.count(), most_met(registry.QUERIES["i11_coverage"](spark, SMALL)))
