@@ -109,3 +109,14 @@ def test_i11_coverage(spark, copies):
     got = same_as_sql(spark, "i11_coverage", copies)
     # The joins put out the candidates at most, and labels of one copy.
     assert most_met(got) <= max(got.count(), most_met(registry.QUERIES["i11_coverage"](spark, SMALL)))
+
+
+def test_i09_fragment_isotopes(spark, copies):
+    once, got = registry.QUERIES["i09_fragment_isotopes"](spark, SMALL), registry.QUERIES["i09_fragment_isotopes"](spark, copies)
+    fields = [c for c in once.columns if c != "precursor_id"]
+    count = lambda rows: {tuple(r[:-1]): r[-1] for r in rows.groupBy(*fields).count().collect()}
+    assert count(got) == {k: 4 * n for k, n in count(once).items()}
+    names = spark.read.parquet(f"{SMALL}/part.parquet").select("p_name").distinct().count()
+    fragments = once.count() / spark.read.parquet(f"{SMALL}/part.parquet").count()
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert names < 200 and fragments > 0 and plan.index("MapInPandas") < plan.index("Aggregate", plan.index("MapInPandas"))
