@@ -129,3 +129,18 @@ def test_islands_of_exploded_points(spark):
     found = detect.islands(points, 10.0, 0.004)
     assert "Broadcast" not in found._jdf.queryExecution().sparkPlan().toString()
     assert found.select("island").distinct().count() == 1000
+
+
+def test_tied_line_items_go_by_their_place(spark, tmp_path):
+    # Parts with two line items of one order and number, of suppliers n and 100 - n: the first in the table counts.
+    n = F.col("id")
+    rows = spark.range(40).select((n % 20).alias("l_partkey"), F.lit(7).cast("long").alias("l_orderkey"), F.lit(1).alias("l_linenumber"), F.when(n < 20, n).otherwise(100 - n).alias("l_suppkey"))
+    rows = rows.select("*", F.lit(2.0).alias("l_quantity"), F.lit(10.0).alias("l_extendedprice"), F.lit("A").alias("l_returnflag"), F.lit("F").alias("l_linestatus"))
+    rows.coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    for name in ("a07_unique", "a08_protein_by_file"):
+        got = registry.QUERIES[name](spark, str(tmp_path))
+        con = duckdb.connect()
+        con.execute("SET threads = 1")
+        con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+        want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({registry.ORACLES[name]})").fetchall()
+        assert sorted(map(tuple, got.collect())) == sorted(want)
