@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from spectraloom.llm import bpe, chat, crf, lines, maxent, media, mixing, multiset, partenum, warc, words
@@ -244,6 +245,19 @@ def test_common_signatures_are_summed_up_before_they_are_dealt(spark):
     assert rows.groupBy(F.coalesce(F.get("met", F.lit(0)), "deal")).count().agg(F.max("count")).first()[0] > 1500
 
 
+def test_signed_rows_are_packed_before_they_are_dealt(spark):
+    """Ids come back whole, the key's upper 48 bits stay, one exchange moves 16 bits less a row."""
+    ids = [0, 1, 65_535, 65_536, -1, -65_537, 2**63 - 1, -(2**63)]
+    rows = [(deal, b, [7, 8, 9] if b == 1 else None) for b in ids for deal in (5 << 16 | 3, -(5 << 16) | 3, 2**63 - 1)]
+    frame = spark.createDataFrame(rows, "deal long, b long, met array<long>")
+    dealt = partenum.dealt_out(frame)
+    assert sorted((r.deal, r.b, r.met) for r in dealt.where("met IS NULL").collect()) == sorted((d >> 16, b, m) for d, b, m in rows if m is None)
+    assert dealt.where("met IS NOT NULL").select("b", "met").distinct().collect() == [(1, [7, 8, 9])]
+    window = dealt.withColumn("a", F.first("b").over(Window.partitionBy("deal").orderBy("b")))
+    assert window._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert {tuple(r) for r in partenum.packed(frame).where("x = 5 << 16 | 65535").select("y").collect()} == {(0,), (-1,), (-2,), (2**47 - 1,)}
+
+
 def test_components_of_texts(spark, docs):
     near = [(i, " ".join(f"v{(j * (1 if j != i * 7 else 31)) % 5000}" for j in range(400)), "z") for i in range(100, 140)]
     frame = docs.unionByName(spark.createDataFrame(near, SCHEMA))
