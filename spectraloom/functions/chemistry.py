@@ -146,6 +146,17 @@ def digest_rows(rows: DataFrame, key: str, sequence: str, missed: int = 2, least
     return each.where(F.length("peptide").between(least, most)).select(key, "start", (F.col("start") + F.length("peptide")).alias("end"), "peptide")
 
 
+def digest_peptides(sequence: Column, missed: int = 2, least: int = 7, most: int = 50, cuts: str = TRYPSIN) -> Column:
+    """The peptides of `digest_rows`, as an array by start and end: for what is asked of a sequence alone, without an exchange.
+
+    A row's work and memory grow with its own sequence.
+    """
+    # The pieces are bound once; a join with a piece past the end is null.
+    joined = lambda p: F.flatten(F.transform(p, lambda x, i: F.array(*[F.concat(x, *[F.get(p, i + j) for j in range(1, m + 1)]) for m in range(missed + 1)])))
+    each = F.get(F.transform(F.array(F.split(sequence, cuts)), joined), F.lit(0))
+    return F.filter(each, lambda x: F.length(x).between(least, most))
+
+
 def digest(sequence: Column, missed: int = 2, least: int = 7, most: int = 50) -> Column:
     """Distinct (start, end, peptide) spans, half-open from 0, of the tryptic digest within the length bounds.
 

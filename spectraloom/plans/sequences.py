@@ -83,8 +83,10 @@ SELECT a.doc_id, CAST(count(*) AS BIGINT) AS spans, CAST(sum(b.cut - a.cut) AS B
 FROM o a JOIN o b ON a.doc_id = b.doc_id AND b.n - a.n BETWEEN 1 AND 3 JOIN s ON s.doc_id = a.doc_id WHERE b.cut - a.cut BETWEEN 7 AND 50 GROUP BY 1""")
 def i12_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = F.upper(F.regexp_replace("text", "[^A-Za-z]", ""))
-    d = table(spark, sf_dir, "documents").select("doc_id", q.alias("q"))
-    return C.digest_rows(d, "doc_id", "q").groupBy("doc_id").agg(F.count("*").alias("spans"), F.sum(F.length("peptide")).alias("residues"), F.countDistinct("peptide").alias("peptides"))
+    residues = lambda xs: F.aggregate(xs, F.lit(0).cast("long"), lambda n, x: n + F.length(x))
+    told = lambda xs: F.struct(F.size(xs).cast("long").alias("spans"), residues(xs).alias("residues"), F.size(F.array_distinct(xs)).cast("long").alias("peptides"))
+    found = F.filter(F.transform(F.array(C.digest_peptides(q)), told), lambda x: x["spans"] > 0)
+    return table(spark, sf_dir, "documents").select("doc_id", F.inline(found))
 
 
 @query(None)

@@ -135,3 +135,17 @@ def test_postings_have_motifs_of_all_lengths(spark, tmp_path):
     spark.createDataFrame([(1, "acdefghiklmn"), (2, "acdef")], "p_partkey long, p_name string").write.parquet(f"{tmp_path}/part.parquet")
     found = registry.QUERIES["m06_postings"](spark, str(tmp_path)).collect()
     assert {len(r.motif_text) for r in found} == set(range(5, 13)) and {r.protein_id for r in found} == {1, 2}
+
+
+def test_digest_peptides_are_those_of_the_rows(spark, tmp_path):
+    """The array holds what digest_rows gives, and i12_digest takes it without an exchange."""
+    texts = ["", "K", "MKRPK", "AAAAAAAKBBBBBBBRPCCCCCCCKDDDDDDDKAAAAAAAK", "AAAAAAAK" * 40, None]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = sorted((r.doc_id, r.peptide) for r in C.digest_rows(frame, "doc_id", "text").collect())
+    got = frame.select("doc_id", F.explode(C.digest_peptides(F.col("text"))).alias("peptide"))
+    assert sorted(map(tuple, got.collect())) == rows and rows
+    frame.write.parquet(f"{tmp_path}/documents.parquet")
+    query = registry.QUERIES["i12_digest"](spark, str(tmp_path))
+    assert "Exchange" not in query._jdf.queryExecution().executedPlan().toString()
+    want = {i: (len(p), sum(map(len, p)), len(set(p))) for i in range(6) if (p := [x for d, x in rows if d == i])}
+    assert {r.doc_id: (r.spans, r.residues, r.peptides) for r in query.collect()} == want
