@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from spectraloom.functions.scalars import PROTON
 from spectraloom.operators import graph
-from spectraloom.operators.assembly import assemble
+from spectraloom.operators.assembly import assemble, mean_span, spans
 
 #: Fixed value: share of time that two lines of one isotope must have in common, unless one encloses the other.
 LEAST_MET = 0.5
@@ -56,6 +56,22 @@ def _order(members: Column) -> Column:
     return F.transform(F.reverse(F.array_sort(F.transform(members, lambda m, i: F.struct(m["area"].alias("area"), i.alias("i"))))), lambda s: s["i"])
 
 
+def alike(told: DataFrame, width: float) -> DataFrame:
+    """(file, o, n): distributions of charges z and z + 1 whose times meet, some of their base masses at most z's tolerance apart. width: the largest tolerance.
+
+    Ids and times alone meet, in cells of base mass and time; what the distributions hold joins the distinct pairs.
+    """
+    cell, span = lambda x: F.floor(x / F.lit(max(width, 1e-9))), mean_span(told)
+    base = told.select("file", "charge", "dist", "tolerance", "start", "end", F.explode("members.base").alias("base")).withColumn("span", spans(F.col("start"), F.col("end"), span))
+    o = base.where("tolerance IS NOT NULL").select(
+        "file", (F.col("charge") + 1).alias("charge"), F.col("dist").alias("o"), F.col("tolerance").alias("t"), F.col("base").alias("x"), F.col("start").alias("s"), F.col("end").alias("e"), "span",
+        F.explode(F.array(*[cell(F.col("base")) + k for k in (-1, 0, 1)])).alias("cell"),
+    )
+    n = base.select("file", "charge", F.col("dist").alias("n"), F.col("base").alias("y"), "start", "end", "span", cell(F.col("base")).alias("cell"))
+    met = o.join(n.hint("merge"), ["file", "charge", "span", "cell"]).where((F.abs(F.col("x") - F.col("y")) <= F.col("t")) & (F.col("s") < F.col("end")) & (F.col("e") > F.col("start")))
+    return met.select("file", "o", "n").distinct()
+
+
 def matches(dists: DataFrame) -> DataFrame:
     """(file, o, n): distributions of charges z and z + 1 that agree.
 
@@ -67,17 +83,13 @@ def matches(dists: DataFrame) -> DataFrame:
     width = told.agg(F.max("tolerance")).first()[0]
     if width is None:
         return dists.select("file", F.col("dist").alias("o"), F.col("dist").alias("n")).where("false")
-    cell = lambda x: F.floor(x / F.lit(max(float(width), 1e-9)))
     fields = F.struct("dist", "charge", "members", "start", "end", "tolerance")
-    base = told.select("file", "charge", fields.alias("d"), F.explode("members.base").alias("base"))
-    o = base.where("d.tolerance IS NOT NULL").select("file", (F.col("charge") + 1).alias("charge"), F.col("d.dist").alias("o"), F.col("d.tolerance").alias("t"), F.col("base").alias("x"), F.explode(F.array(*[cell(F.col("base")) + k for k in (-1, 0, 1)])).alias("cell"))
-    n = base.select("file", "charge", F.col("d.dist").alias("n"), F.col("base").alias("y"), cell(F.col("base")).alias("cell"))
-    # Ids alone meet; what they hold joins the distinct pairs.
-    near = o.join(n, ["file", "charge", "cell"]).where(F.abs(F.col("x") - F.col("y")) <= F.col("t")).select("file", "o", "n").distinct()
+    near = alike(told, float(width))
     side = lambda c, x: told.select("file", F.col("dist").alias(c), fields.alias(x))
-    pair = near.join(side("o", "a"), ["file", "o"]).join(side("n", "b"), ["file", "n"]).where("a.start < b.end AND a.end > b.start")
+    pair = near.join(side("o", "a"), ["file", "o"]).join(side("n", "b"), ["file", "n"])
     a, b = F.col("a.members"), F.col("b.members")
-    pair = pair.withColumn("at", _closest(b, a))
+    # Written first: inlined, the nearest members would be sought again for each line that is looked at.
+    pair = graph.settled(pair.withColumn("at", _closest(b, a)), "paired")
     shift = F.col("at.i") - F.col("at.j")  # a line k of a faces line k + shift of b
     first, last = F.greatest(F.lit(0), -shift), F.least(F.size(a), F.size(b) - shift) - 1
     faced = F.transform(F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<int>")), lambda k: _met(F.get(a, k), F.get(b, k + shift)))
@@ -163,7 +175,8 @@ def analytes(lines: DataFrame) -> DataFrame:
     lines: (file, dist, charge, mean, area, start, end); rows without a distribution or a charge do not take part.
     """
     dists = graph.settled(gathered(lines), "gathered")
-    good = graph.settled(scored(dists, runs(dists, matches(dists))), "good")
+    found = graph.settled(matches(dists), "matches")
+    good = graph.settled(scored(dists, runs(dists, found)), "good")
     got = assemble(*ranked(good))
     joined = got.select("file", F.col("line").alias("dist"), F.col("set").alias("_set"))
     return dists.select("file", "dist").join(joined, ["file", "dist"], "left").select("file", "dist", F.coalesce("_set", "dist").alias("analyte"))

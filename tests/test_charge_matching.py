@@ -177,3 +177,15 @@ def test_analytes(spark, runs):
 
 def test_no_lines(spark):
     assert C.analytes(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_distributions_of_one_mass_at_other_times_do_not_meet(spark):
+    """One mass at charges 2 and 3, again and again: candidates are as many as the times."""
+    from spectraloom.operators.charge_matching import PROTON, alike, gathered, matches, tolerances
+
+    rows = [("x", 2 * k + z - 2, z, (1000.0 + i * 1.003) / z + PROTON, 10.0 - i, 20.0 * k, 20.0 * k + 16) for k in range(120) for z in (2, 3) for i in range(3)]
+    dists = gathered(spark.createDataFrame(rows, "file string, dist long, charge int, mean double, area double, start double, end double"))
+    want = [(2 * k, 2 * k + 1) for k in range(120)]
+    told = dists.join(tolerances(dists), ["file", "charge"])
+    assert sorted((r["o"], r["n"]) for r in alike(told, 0.01).collect()) == want
+    assert sorted((r["o"], r["n"]) for r in matches(dists).collect()) == want
