@@ -70,17 +70,17 @@ def components(edges: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
 
     A node's label becomes the least among its neighbours' and then the label of its label,
     so distances halve from round to round. Every round is two joins on labels and a minimum
-    by node; nothing is collected but one count. Raises if labels still move after `rounds`.
+    by node, by exchange; nothing is collected but one count. Raises if labels still move after `rounds`.
     """
     one = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
     both = settled(one.unionByName(one.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "edges")
     own = edges.select(F.col(a).alias("id")).union(edges.select(F.col(b).alias("id"))).where("id IS NOT NULL").distinct()
     labels = settled(own.withColumn("component", F.col("id")), "labels")
     for _ in range(rounds):
-        offered = both.join(labels, both["v"] == labels["id"]).groupBy("u").agg(F.min("component").alias("low"))
-        met = labels.join(offered, labels["id"] == offered["u"], "left").select("id", F.col("component").alias("before"), F.least("component", "low").alias("now"))
+        offered = both.join(labels.hint("merge"), both["v"] == labels["id"]).groupBy("u").agg(F.min("component").alias("low"))
+        met = labels.join(offered.hint("merge"), labels["id"] == offered["u"], "left").select("id", F.col("component").alias("before"), F.least("component", "low").alias("now"))
         up = met.select(F.col("id").alias("now"), F.col("now").alias("above"))
-        after = settled(met.join(up, "now").select("id", "before", F.least("now", "above").alias("component")), "labels")
+        after = settled(met.join(up.hint("merge"), "now").select("id", "before", F.least("now", "above").alias("component")), "labels")
         moved = after.where("component < before").limit(1).count()
         labels = after.select("id", "component")
         if not moved:

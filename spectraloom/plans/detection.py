@@ -55,7 +55,7 @@ def _features(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     points = settled(detect.lines(planted(spark, sf_dir)), "lines")
     cut = settled(detect.pieces(points, detect.line_table(points)), "pieces")
     feats, key = detect.features(cut), ["file_id", "island", "line", "piece"]
-    return settled(feats, "features"), settled(cut.join(feats.select(*key, "feature_id"), key).select("file_id", "feature_id", "scan", "intensity"), "traces")
+    return settled(feats, "features"), settled(cut.join(feats.select(*key, "feature_id").hint("merge"), key).select("file_id", "feature_id", "scan", "intensity"), "traces")
 
 
 def _distributions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,6 +83,6 @@ def d18_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def d21_analytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Envelopes of one mass and time at different charges."""
     got = settled(_distributions(spark, sf_dir), "distributions")
-    grouped = detect.analytes(got).join(got.select("file_id", "distribution_id", "charge", "neutral_mass"), ["file_id", "distribution_id"])
+    grouped = detect.analytes(got).join(got.select("file_id", "distribution_id", "charge", "neutral_mass").hint("merge"), ["file_id", "distribution_id"])
     out = grouped.groupBy("file_id", "analyte_id").agg(F.round(F.avg("neutral_mass"), 2).alias("neutral_mass"), F.min("charge").alias("charge_min"), F.max("charge").alias("charge_max"), F.count("*").alias("n_distributions"))
     return out.drop("analyte_id")
