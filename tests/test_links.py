@@ -1,5 +1,6 @@
 """Addresses of links, and what pages lead to, against the standard library and a walk."""
 
+import random
 from urllib.parse import urljoin
 
 import pytest
@@ -43,3 +44,12 @@ def test_reachable_like_a_walk(spark):
     assert {(r.start, r.node): r.depth for r in got} == want and len(got) == len(want)
     with pytest.raises(RuntimeError):
         graph.reachable(spark.createDataFrame(edges, "a int, b int"), spark.createDataFrame([(0,)], "start int"), rounds=1)
+
+
+def test_components_of_long_chains(spark):
+    """Sets are joined by all their members' neighbours: a chain in no order settles in few rounds."""
+    draw = random.Random(4)
+    ids = draw.sample(range(10000), 3000)
+    edges = spark.createDataFrame([(ids[i], ids[i + 1]) for i in range(2999) if i != 1499], "a long, b long")
+    found = dict(map(tuple, graph.components(edges, "a", "b", rounds=9).collect()))
+    assert found == dict.fromkeys(ids[:1500], min(ids[:1500])) | dict.fromkeys(ids[1500:], min(ids[1500:]))
