@@ -14,6 +14,8 @@ gives an id rows of its own. A run without new files writes nothing.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,14 +26,38 @@ from spectraloom.functions import chemistry
 NAME = "peptide_index"
 
 
+def _counted(sequence: str, conf: dict) -> dict[int, dict[str, list[int]]]:
+    """By length, the peptides of a sequence with their places and the first of them."""
+    pieces, start, found = [x for x in re.split(chemistry.TRYPSIN, sequence) if x], 0, {}
+    for i, piece in enumerate(pieces):
+        for m in range(conf["missed_cleavages"] + 1):
+            peptide = "".join(pieces[i : i + m + 1])
+            if i + m < len(pieces) and conf["least_length"] <= len(peptide) <= conf["most_length"]:
+                found.setdefault(len(peptide), {}).setdefault(peptide, [0, start])[0] += 1
+        start += len(piece)
+    return found
+
+
 def digest(entries: DataFrame, conf: dict) -> DataFrame:
-    """(id, peptide, n_places, first_start, length) of a batch of entries."""
-    letters = F.upper(F.regexp_replace(F.col(conf["text"]), "[^A-Za-z]", ""))
-    # Each row is an entry of its own, whatever its id.
-    rows = entries.select(F.struct(F.col(conf["id"]).alias("id"), F.monotonically_increasing_id().alias("row")).alias("entry"), letters.alias("sequence"))
-    found = chemistry.digest_rows(rows, "entry", "sequence", conf["missed_cleavages"], conf["least_length"], conf["most_length"])
-    each = found.groupBy(F.col("entry.id").alias("id"), "peptide").agg(F.count("*").alias("n_places"), F.min("start").cast("long").alias("first_start"))
-    return each.withColumn("length", F.length("peptide"))
+    """(id, length, found) of a batch of entries; found: (peptide, n_places, first_start) of that id and length.
+
+    Peptides of an entry are made and counted in its row, and leave it in a list for each length. Only those of ids that other entries of the batch have, too, are summed by exchange.
+    """
+    rows = entries.select(F.col(conf["id"]).alias("id"), F.upper(F.regexp_replace(F.col(conf["text"]), "[^A-Za-z]", "")).alias("sequence"))
+    one = T.ArrayType(T.StructType([T.StructField("peptide", T.StringType()), T.StructField("n_places", T.LongType()), T.StructField("first_start", T.LongType())]))
+    lists = T.ArrayType(T.StructType([T.StructField("length", T.IntegerType()), T.StructField("found", one)]))
+
+    @F.udf(lists, useArrow=True)
+    def counted(sequence):
+        return [(length, [(p, *x) for p, x in own.items()]) for length, own in _counted(sequence or "", conf).items()]
+
+    shared = rows.groupBy("id").count().where("count > 1").select(F.col("id").alias("of"))
+    # Texts are dealt among all tasks first: a file of one row group is one task else, and peptides are many times a text.
+    dealt = rows.repartition(int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id", "sequence")
+    each = lambda how: dealt.join(shared, dealt["id"].eqNullSafe(shared["of"]), how).select("id", F.inline(counted("sequence")))
+    summed = each("left_semi").select("id", "length", F.inline("found")).groupBy("id", "length", "peptide").agg(F.sum("n_places").alias("n_places"), F.min("first_start").alias("first_start"))
+    again = summed.select("id", "length", F.array(F.struct("peptide", "n_places", "first_start")).alias("found"))
+    return each("left_anti").unionByName(again)
 
 
 def output(spark: SparkSession, target: str, kind: T.DataType) -> DataFrame:
@@ -50,7 +76,7 @@ def run(spark: SparkSession, entries: str, target: str, checkpoint: str, conf: d
         own = batch.sparkSession
         path = f"{target}/batch={number}"
         # Rebalanced, so that a length is a few files of a fair size and a common one is split.
-        digest(batch, conf).hint("rebalance", "length").write.mode("overwrite").partitionBy("length").parquet(path)
+        digest(batch, conf).hint("rebalance", "length").select("id", F.inline("found"), "length").write.mode("overwrite").partitionBy("length").parquet(path)
         kind = columns[conf["id"]].dataType
         written = own.read.schema(T.StructType([T.StructField("id", kind), T.StructField("length", T.IntegerType())])).parquet(path).count()
         read.append(batch.count())  # of the files' footers

@@ -55,6 +55,16 @@ def test_index_takes_only_what_is_new(spark, tmp_path, caplog):
     assert held(index) == want
 
 
+def test_digest_leaves_an_entry_in_lists(spark):
+    """A row for each length of an entry; ids that come again, null too, are summed."""
+    rows = [(1, "MAGICKPEPTIDERAAAAAAAKAAAAAAAK" * 3), (2, "CCCCCCCKDDDDDDDR"), (None, "EEEEEEEKEEEEEEEK"), (2, "ACCCCCCKCCCCCCCK"), (None, "EEEEEEEK"), (3, None), (4, "")]
+    found = peptide_index.digest(spark.createDataFrame(rows, "doc_id long, text string"), common.config(peptide_index.NAME)).collect()
+    assert sum(len(r.found) for r in found) == len(digests(rows))
+    assert {(r.id, x.peptide): (x.n_places, x.first_start) for r in found for x in r.found} == digests(rows)
+    own = [r.length for r in found if r.id == 1]
+    assert len(own) == len(set(own)) and all(len(x.peptide) == r.length for r in found for x in r.found)
+
+
 def test_index_repeats_a_batch_that_was_cut_off(spark, tmp_path):
     conf, places = common.config(peptide_index.NAME), [str(tmp_path / n) for n in ("in", "out", "state")]
     entries(spark, places[0], [(1, "aaaaaaakbbbbbbbbk", "x")])
