@@ -25,7 +25,7 @@ def _quant(spark: SparkSession, sf_dir: str) -> DataFrame:
     more = F.when(F.col("l_quantity") > 25, F.concat(F.lit("; S"), (F.col("l_suppkey") + 1).cast("string"))).otherwise("")
     return l.select(
         F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("peptide"), F.concat("l_returnflag", "l_linestatus", F.lit("_"), F.col("l_linenumber").cast("string")).alias("filename"),
-        F.when(F.col("l_quantity") >= 1.5, F.col("l_extendedprice")).alias("quantity"), F.concat(F.lit("S"), F.col("l_suppkey").cast("string"), more).alias("proteins"),
+        F.when(F.col("l_quantity") < 1.5, None).otherwise(F.col("l_extendedprice")).alias("quantity"), F.concat(F.lit("S"), F.col("l_suppkey").cast("string"), more).alias("proteins"),
         "l_orderkey", "l_linenumber", F.col("l_returnflag").alias("condition"), F.col("l_linestatus").alias("batch"),
         F.struct("_metadata.file_path", "_metadata.row_index").alias("stands"),
     )
@@ -36,8 +36,9 @@ def _matrix(rows: DataFrame) -> DataFrame:
 
 
 def _unique(rows: DataFrame) -> DataFrame:
-    # Of line items of one order and number the first in the table counts.
-    return quantify.unique_features(rows.where("quantity IS NOT NULL"), "peptide", "proteins", F.struct("l_orderkey", "l_linenumber", "stands"))
+    # Of line items of one order and number the first in the table counts; those without order, number or supplier do not.
+    rows = rows.withColumn("place", F.col("l_orderkey") * 10 + F.col("l_linenumber")).where("quantity IS NOT NULL AND proteins IS NOT NULL AND place IS NOT NULL")
+    return quantify.unique_features(rows, "peptide", "proteins", F.struct("place", "stands"))
 
 
 def query(sql: str | None, start: str = QUANT):

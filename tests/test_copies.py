@@ -144,3 +144,16 @@ def test_tied_line_items_go_by_their_place(spark, tmp_path):
         con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
         want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({registry.ORACLES[name]})").fetchall()
         assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_line_items_that_lack_values(spark, tmp_path):
+    # Parts 0 to 4: a first line item that lacks its order, number, supplier or quantity, and one that is whole; part 4 has none that is whole.
+    kind = "l_partkey long, l_orderkey long, l_linenumber int, l_suppkey long, l_quantity double, l_extendedprice double, l_returnflag string, l_linestatus string"
+    gaps = [(0, None, 1, 7, 2.0), (1, 1, None, 7, 2.0), (2, 1, 1, None, 2.0), (3, 1, 1, 7, None), (4, 1, 1, None, 2.0), (5, 1, 12, 7, 2.0), *[(p, 2, 1, 9, 2.0) for p in (0, 1, 2, 3, 5)]]
+    spark.createDataFrame([(*r, 10.0, "A", "F") for r in gaps], kind).coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    for name in ("a07_unique", "a08_protein_by_file"):
+        got = registry.QUERIES[name](spark, str(tmp_path))
+        con = duckdb.connect()
+        con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+        want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({registry.ORACLES[name]})").fetchall()
+        assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
