@@ -50,17 +50,15 @@ def planted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("file_id", scan.alias("scan"), (scan * 0.01).alias("rt"), F.col("mean").alias("mz"), (F.col("area") * F.exp(-F.col("dt") * F.col("dt") / 18.0)).alias("intensity"))
 
 
-def _features(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Features and their traces."""
+def _features(spark: SparkSession, sf_dir: str, traced: bool = False) -> DataFrame:
+    """Features, with their traces if asked. What is cut stays with its line's task, where its features are made."""
     points = settled(detect.lines(planted(spark, sf_dir)), "lines")
-    cut = settled(detect.pieces(points, detect.line_table(points)), "pieces")
-    feats, key = detect.features(cut), ["file_id", "island", "line", "piece"]
-    return settled(feats, "features"), settled(cut.join(feats.select(*key, "feature_id").hint("merge"), key).select("file_id", "feature_id", "scan", "intensity"), "traces")
+    return detect.features(detect.pieces(points, detect.line_table(points)), traced)
 
 
 def _distributions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    feats, traces = _features(spark, sf_dir)
-    return envelopes.with_bounds(envelopes.distributions(feats, traces), feats)
+    feats = settled(_features(spark, sf_dir, True), "features")
+    return envelopes.with_bounds(envelopes.distributions(feats, feats.select("file_id", "feature_id", F.inline("trace"))), feats)
 
 
 @query(f"""{_PLANTED}, i AS (SELECT *, unnest(range({_ISOTOPES})) AS i FROM e)
@@ -68,8 +66,7 @@ SELECT file_id, round(mass / charge + {PROTON} + i * {C13_STEP} / charge, 4) AS
   CAST({2 * _HALF + 1} AS BIGINT) AS n_points FROM i""")
 def d07_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points followed as lines, long lines cut, a row a piece."""
-    feats, _ = _features(spark, sf_dir)
-    return feats.select("file_id", *[F.round(c, 4).alias(c) for c in ("mz_mean", "rt_start", "rt_apex", "rt_end")], "n_points")
+    return _features(spark, sf_dir).select("file_id", *[F.round(c, 4).alias(c) for c in ("mz_mean", "rt_start", "rt_apex", "rt_end")], "n_points")
 
 
 @query(f"""{_PLANTED} SELECT file_id, charge, round(mass, 2) AS neutral_mass, round(apex * CAST(0.01 AS DOUBLE), 4) AS rt_apex_near, CAST({_ISOTOPES} AS BIGINT) AS n_members, true AS strict FROM e""")

@@ -153,3 +153,16 @@ def test_scans_of_few_points_are_followed_fast():
     took = time.process_time() - began
     assert got.tolist() == [0, 1] * n
     assert took < 4, took  # it took 15.8 s when a scan's lines were arrays
+
+
+def test_features_are_made_without_tables_between(spark, monkeypatch, tmp_path):
+    """Of the points one table is written, that of the lines; pieces and traces are not, and features of the planted customers have their traces."""
+    from spectraloom.plans import detection
+
+    spark.range(70).select((F.col("id") + 1).alias("c_custkey")).coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
+    wrote, settled = [], detection.settled
+    monkeypatch.setattr(detection, "settled", lambda rows, name: wrote.append(name) or settled(rows, name))
+    got = detection.d07_features(spark, str(tmp_path))
+    assert wrote == ["lines"] and got.count() == 5 * 105
+    feats = detection._features(spark, str(tmp_path), True)
+    assert feats.where(F.size("trace") != F.col("n_points")).count() == 0 and feats.count() == 5 * 105
