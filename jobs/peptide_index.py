@@ -24,6 +24,8 @@ from jobs.common import command, config, logger, session
 from spectraloom.functions import chemistry
 
 NAME = "peptide_index"
+#: Letters that a task digests: a few dozen MB of peptides, written in a file for each length.
+LETTERS = 1 << 24
 
 
 def _counted(sequence: str, conf: dict) -> dict[int, dict[str, list[int]]]:
@@ -52,8 +54,10 @@ def digest(entries: DataFrame, conf: dict) -> DataFrame:
         return [(length, [(p, *x) for p, x in own.items()]) for length, own in _counted(sequence or "", conf).items()]
 
     shared = rows.groupBy("id").count().where("count > 1").select(F.col("id").alias("of"))
-    # Texts are dealt among all tasks first: a file of one row group is one task else, and peptides are many times a text.
-    dealt = rows.repartition(int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id", "sequence")
+    # Texts are dealt among tasks first: a file of one row group is one task else. Peptides are many times a text, and stay where they are made.
+    letters = entries.agg(F.sum(F.length(conf["text"]))).first()[0] or 0
+    most = entries.sparkSession.sparkContext.defaultParallelism
+    dealt = rows.repartition(max(1, -(-letters // LETTERS), min(most, 16 * letters // LETTERS)), "id", "sequence")
     each = lambda how: dealt.join(shared, dealt["id"].eqNullSafe(shared["of"]), how).select("id", F.inline(counted("sequence")))
     summed = each("left_semi").select("id", "length", F.inline("found")).groupBy("id", "length", "peptide").agg(F.sum("n_places").alias("n_places"), F.min("first_start").alias("first_start"))
     again = summed.select("id", "length", F.array(F.struct("peptide", "n_places", "first_start")).alias("found"))
@@ -75,8 +79,7 @@ def run(spark: SparkSession, entries: str, target: str, checkpoint: str, conf: d
     def take(batch: DataFrame, number: int) -> None:
         own = batch.sparkSession
         path = f"{target}/batch={number}"
-        # Rebalanced, so that a length is a few files of a fair size and a common one is split.
-        digest(batch, conf).hint("rebalance", "length").select("id", F.inline("found"), "length").write.mode("overwrite").partitionBy("length").parquet(path)
+        digest(batch, conf).select("id", F.inline("found"), "length").write.mode("overwrite").partitionBy("length").parquet(path)
         kind = columns[conf["id"]].dataType
         written = own.read.schema(T.StructType([T.StructField("id", kind), T.StructField("length", T.IntegerType())])).parquet(path).count()
         read.append(batch.count())  # of the files' footers

@@ -138,3 +138,20 @@ def test_registered(spark, name):
     columns = sorted(got.columns)
     want = con.sql(f"SELECT {', '.join(columns)} FROM ({registered.ORACLES[name]})").fetchall()
     assert sorted(map(tuple, got.select(*columns).collect())) == sorted(want) and want
+
+
+def test_peptides_stay_where_they_are_made(spark, tmp_path, monkeypatch):
+    """Peptides go to their files without an exchange; a task more for each so many letters."""
+    import builtins
+
+    rows = [(n, "".join("ACDEFGHILK"[(n * 7 + i * i) % 10] for i in range(400))) for n in range(40)]
+    kind, conf = "doc_id long, text string", common.config(peptide_index.NAME)
+    spark.createDataFrame([(*r, "x") for r in rows], kind + ", lang string").write.parquet(str(tmp_path / "in"))
+    wrote, frame = [], type(spark.range(0))
+    before = frame.write
+    monkeypatch.setattr(frame, "write", builtins.property(lambda self: wrote.append(self._jdf.queryExecution().optimizedPlan().toString()) or before.fget(self)))
+    monkeypatch.setattr(peptide_index, "LETTERS", 4000)
+    got = held(peptide_index.run(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "state"), conf))
+    assert got == digests(rows)
+    assert len(wrote) == 1 and "RebalancePartitions" not in wrote[0]
+    assert len(list((tmp_path / "out/batch=0/length=10").glob("*.parquet"))) > 1
